@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import line_dedup, mixing, packing, personal_data, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,33 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources at the same weight, as many copies as documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mixing.mix_sources(docs)
+    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten documents or more hold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = line_dedup.drop_frequent_lines(docs.select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents, with the base kinds' counts and digest."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = personal_data.find_personal_data(docs.select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind_no"] < personal_data.N_BASE)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in personal_data.KINDS[: personal_data.N_BASE]]
+    return found.select("doc_id", *counts, F.sha2(personal_data.span_list(base), 256).alias("base_sha256"), personal_data.span_list(F.col("spans")).alias("spans"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 ids; the end id is 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -32,7 +60,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
+    "op5_poisson_mixing": op5_poisson_mixing,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_personal_data": op9_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_poisson_mixing": mixing.op5_sql(),
+    "op8_line_dedup": line_dedup.op8_sql(10, 1),
+}

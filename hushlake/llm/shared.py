@@ -32,3 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def names_without(df: DataFrame, names: list[str]) -> list[str]:
+    """Names of the columns of ``df`` other than ``names`` (without regard to case), which new columns can then take."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
