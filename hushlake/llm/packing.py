@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import ship, written
 from .tokens import encoder
 
 #: Share of a sequence from which a bin is emitted before the last round.
@@ -80,6 +80,7 @@ def pack_documents(
     items_per_task: int = ITEMS_PER_TASK,
 ) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    ship(docs.sparkSession)
     full = int(capacity * nearly_full)
     end = end_id.to_bytes(4, "little")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, personal_data, token_files
+from . import chat, line_dedup, mixing, packing, personal_data, quality, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted as a prefix tree and read back from the stream."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    segments, places = chat.format_conversations(turns.unionByName(planted))
+    read = chat.read_conversations(segments, places)
+    turns_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss_text = F.array_join(F.transform("turns", lambda t: t["loss_text"]), "")
+    digests = read.select(
+        "leaf_start",
+        F.sha2(turns_text, 256).alias("turns_sha256"),
+        F.length(loss_text).cast("long").alias("loss_chars"),
+        F.sha2(loss_text, 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+    return places.join(digests, "leaf_start").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written and read back; the end id is 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -25,6 +43,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page urls judged by the rules."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = url_filter.rules_table(spark, url_filter.HOST_RULES, url_filter.PATTERN_RULES)
+    return url_filter.judge_urls(pages.select("page_id", "url"), rules)[["page_id", "host", "path", "rule", "verdict", "pattern"]]
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by counts and by their distance from their language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    judged = quality.judge_quality(docs.select("doc_id", "text", "lang"))
+    distances = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *distances)
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources at the same weight, as many copies as documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -59,7 +92,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_token_files": op2_token_files,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_personal_data": op9_personal_data,
@@ -67,6 +103,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": url_filter.op3_sql(),
     "op5_poisson_mixing": mixing.op5_sql(),
     "op8_line_dedup": line_dedup.op8_sql(10, 1),
 }

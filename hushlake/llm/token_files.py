@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .seekable import Reader, Writer
-from .shared import new_folder, written
+from .shared import new_folder, ship, written
 from .tokens import encoder
 
 MANIFEST = "file_no int, path string, n_docs long, n_ids long"
@@ -33,6 +33,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
     Memory: a task holds one Arrow batch and twelve bytes of seek table for each of its documents.
     """
+    ship(docs.sparkSession)
     folder = folder or new_folder(docs.sparkSession, "token-files")
     end = end_id.to_bytes(4, "little")
 
@@ -59,6 +60,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Every document of the files with its place in the corpus: doc_id, start, n_tokens, ids_crc32."""
+    ship(manifest.sparkSession)
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,6 +90,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame, wanted: DataFrame)
 
     The ids wanted must be few enough for each task to hold (one list for all files).
     """
+    ship(spark)
     ids = {r[0] for r in wanted.select(F.col("doc_id").cast("long")).distinct().toLocalIterator()}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
