@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, packing, personal_data, quality, token_files, url_filter
+from . import chat, line_dedup, mixing, near_duplicates, packing, personal_data, quality, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,13 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents at a Jaccard similarity of 0.8 on five-word shingles, and each one's number of links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
+    return found.select(F.col("k1").alias("doc_id"), "class_id", "n_links")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten documents or more hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -97,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
