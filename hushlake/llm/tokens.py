@@ -1,33 +1,64 @@
-"""Token ids by the tokenizers library, asked once for each word that a task has not met before."""
+"""Token ids by the tokenizers library, asked once for each piece of text that a task has not met before."""
 
 from __future__ import annotations
 
-from itertools import chain
+import json
 
 import numpy as np
 
-#: Words that one Python worker remembers; about 130 MB. A full memory is emptied.
-CACHE_WORDS = 600_000
+#: Words and pieces that one Python worker remembers; about 200 MB. A full memory is emptied.
+CACHE_WORDS, CACHE_PIECES = 600_000, 300_000
 #: Characters that are split into words at a time.
 CHUNK_CHARS = 2_000_000
+#: Fixed value: the split that the byte-level pre-tokenizer uses when its own pattern is on.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of these characters only are split here: every normalisation form and Unicode version treats them alike.
+PLAIN = "[!-~\\nÀ-ÖØ-öø-ÿ]+"
+
+
+def byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
 
 
 class WordEncoder:
     """Encodes whole texts to little-endian uint32 bytes, word by word.
 
-    The two vocabularies used here never form a token over a single space between two
-    other characters, so a text's ids are its space-separated words' ids in order. Texts that
-    start or end with a space or hold two in a row are encoded in one piece.
-    Special tokens' strings in a text are ordinary text.
+    Byte-level vocabularies never form a token over a single space between two other
+    characters, so a text's ids are its space-separated words' ids in order. A new word of plain characters is
+    split into pieces by the tokenizer's own pattern, and the tokenizer's model is asked for new
+    pieces; any other new word, and a text that starts or ends with a space or holds two in a row, is encoded by
+    the tokenizer in one piece. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.cache_words, self.cache_pieces = cache_words, cache_pieces
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        self.plain = regex.compile(PLAIN).fullmatch
+        split, self.lower = self._split_of(json.loads(self.tokenizer.to_str()))
+        self.split = regex.compile(split).findall if split else None
+
+    @staticmethod
+    def _split_of(spec: dict) -> tuple[str | None, bool]:
+        """The pattern whose matches are the pieces, and whether texts are lower-cased; no pattern: ask for whole words."""
+        normal, split = spec["normalizer"], spec["pre_tokenizer"] or {}
+        kinds = [n["type"] for n in (normal.get("normalizers", [normal]) if normal else [])]
+        if split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not kinds:
+            return BYTE_LEVEL_SPLIT, False
+        steps = split.get("pretokenizers", [])
+        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and kinds == ["NFC", "Replace", "Lowercase"]:
+            return steps[0]["pattern"]["Regex"], True
+        return None, False
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (None: the empty text)."""
@@ -55,29 +86,36 @@ class WordEncoder:
     def _group(self, texts: list[str | None], group: list[int], out: list[bytes]) -> None:
         split = [texts[i].split(" ") for i in group]
         first = self._whole([words[0] for words in split])
-        if len(self.known) > self.cache_words:
-            self.known.clear()
-        new = set()
-        for words in split:
-            new.update(words[1:])
-        self._learn(list(new.difference(self.known)))
-        ids = self.known.__getitem__
+        if len(self.words) > self.cache_words:
+            self.words.clear()
+        if len(self.pieces) > self.cache_pieces:
+            self.pieces.clear()
+        known = self.words
         for i, head, words in zip(group, first, split, strict=True):
-            out[i] = head + b"".join(map(ids, words[1:]))
-
-    def _learn(self, words: list[str]) -> None:
-        """Ask for many words in one text and cut its ids where a word begins."""
-        if not words:
-            return
-        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        ends_of_tokens = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids))[1::2]
-        ends_of_words = np.cumsum([len(w) + 1 for w in words])
-        cuts = np.searchsorted(ends_of_tokens, ends_of_words, side="right").tolist()
-        whole, at = ids.tobytes(), 0
-        for word, cut in zip(words, cuts, strict=True):
-            self.known[word] = whole[4 * at : 4 * cut]
-            at = cut
+            words[0] = ""
+            found = list(map(known.get, words))
+            found[0] = head
+            for k, ids in enumerate(found):
+                if ids is None:
+                    word = words[k]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = self._word(word)
+                    found[k] = ids
+            out[i] = b"".join(found)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that follows a space."""
+        if self.split is None or not self.plain(word):
+            return self._whole([" " + word])[0]
+        known, out = self.pieces, []
+        for piece in self.split(" " + (word.lower() if self.lower else word)):
+            ids = known.get(piece)
+            if ids is None:
+                spelled = piece.encode().decode("latin-1").translate(self.letters)
+                ids = known[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+            out.append(ids)
+        return b"".join(out)
 
 
 _encoders: dict[str, WordEncoder] = {}
