@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, near_duplicates, packing, personal_data, quality, token_files, url_filter
+from . import chat, line_dedup, mixing, near_duplicates, packing, personal_data, quality, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,27 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op6_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every vector whose id is divisible by 100, among all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_sql() -> str:
+    """DuckDB SQL for the query's rows: every query against every vector."""
+    return """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id
+    ), r AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+    )
+    SELECT * FROM r WHERE rank <= 10"""
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents at a Jaccard similarity of 0.8 on five-word shingles, and each one's number of links."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -104,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_mtree_topk": op6_mtree_topk,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op9_personal_data": op9_personal_data,
@@ -113,5 +135,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.op3_sql(),
     "op5_poisson_mixing": mixing.op5_sql(),
+    "op6_mtree_topk": op6_sql(),
     "op8_line_dedup": line_dedup.op8_sql(10, 1),
 }
