@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import names_without
+from .shared import fenced, names_without
 
 OUTPUT = ["spans"]
 #: Kinds in the order in which spans at one start are listed; the first four are the base.
@@ -142,7 +142,7 @@ def find_personal_data(docs: DataFrame, least_score: float = LEAST_SCORE) -> Dat
         (F.size("base") > 0) | (F.size("more") > 0),
         F.array_sort(F.concat(F.transform("base", lambda s: _scored(s, text)), scored)),
     ).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,text:string,score:double>>"))
-    return found.select("row", spans.alias("spans")).select(*[F.col("row").getField(c).alias(c) for c in names], "spans")
+    return fenced(found, [*[F.col("row").getField(c).alias(c) for c in names], spans.alias("spans")])
 
 
 def span_list(spans: Column) -> Column:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import names_without, written
+from .shared import fenced, names_without, written
 from .text import SPACE, SPACES_PATTERN
 
 OUTPUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
@@ -187,7 +187,7 @@ def judge_quality(
         F.when(F.col("n") >= MIN_COMMON_WORDS, js_distance(shares(F.col("word_counts")), F.col("word_shares"))).alias("word_distance"),
     )
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
-    return distances.select(
+    columns = [
         *[F.col("row").getField(c).alias(c) for c in names],
         F.col("n").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
@@ -198,4 +198,5 @@ def judge_quality(
         "class_distance",
         "word_distance",
         (~F.col("base_failed") & ~far).alias("kept"),
-    )
+    ]
+    return fenced(distances, columns)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +53,12 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-hushlake-')}/hushlake", "zip", root.parent, root.name)
     sc.addPyFile(made)
     sc._hushlake_shipped = True
+
+
+def fenced(df: DataFrame, columns: list) -> DataFrame:
+    """``df.select(columns)`` behind a generator of one row.
+
+    A filter on a computed column is otherwise pushed below the projections that compute it, with a copy of their
+    expressions for each use; deep expressions then grow beyond planning.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
