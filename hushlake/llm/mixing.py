@@ -14,12 +14,10 @@ stays empty; input columns that bear an output's name are replaced, others stay.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import names_without
+from .shared import names_without, written
 
 OUTPUT = ["rate", "n_copies", "copy", "shuffle_key"]
 #: Largest rate of one draw, and the counts that one draw can have: beyond, less than 2^-52 is left.
@@ -55,10 +53,10 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, total
     else:
         named = docs.sparkSession.createDataFrame(list(weights.items()), "name string, weight double")
         weighed = counts.join(named, counts.mix_source.eqNullSafe(named.name), "left").drop("name").fillna({"weight": 0.0})
-    sums = weighed.agg(F.sum("weight").alias("all_weights"), F.sum("n").alias("all_docs"))
-    size = F.lit(float(total)) if total is not None else F.col("all_docs").cast("double")
-    rate = F.coalesce(F.try_divide(F.col("weight") * size, F.col("all_weights") * F.col("n")), F.lit(0.0))
-    rated = weighed.crossJoin(F.broadcast(sums)).select("mix_source", rate.alias("mix_rate"))  # one row of sums
+    every = Window.partitionBy(F.lit(0))  # a row for each source
+    size = F.lit(float(total)) if total is not None else F.sum("n").over(every).cast("double")
+    rate = F.coalesce(F.try_divide(F.col("weight") * size, F.sum("weight").over(every) * F.col("n")), F.lit(0.0))
+    rated = weighed.select("mix_source", rate.alias("mix_rate"))
     draws = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / STEP)).cast("int")
     drawn = rated.withColumn("draws", draws)
     return drawn.withColumn("thresholds", _thresholds(F.col("mix_rate") / F.col("draws")))
@@ -69,7 +67,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     Rows are in ascending shuffle_key within each partition, and a key's partition is random too.
     """
-    rates = source_rates(docs, weights, total)
+    # A written table has a known size, so Spark broadcasts the rates if they are few and shuffles by source otherwise.
+    rates = written(source_rates(docs, weights, total), "mix-rates")
     names = names_without(docs, OUTPUT)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("s"))
     joined = rows.join(rates, F.col("s").eqNullSafe(F.col("mix_source")), "left")
