@@ -135,5 +135,5 @@ def pack_documents(
     for more in finished[1:]:
         out = out.unionByName(more)
     # The bins are files by now, so a task that runs again numbers them alike.
-    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
-    return numbered.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    return numbered.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
