@@ -82,10 +82,6 @@ def shares(counts: Column) -> Column:
     return F.transform(counts, lambda c: F.coalesce(F.try_divide(c.cast("double"), total.cast("double")), F.lit(0.0)))
 
 
-def _common_words(text: Column) -> Column:
-    return split_words(F.lower(text))
-
-
 def language_references(docs: DataFrame) -> DataFrame:
     """A row for each language with its own reference, and one for ``*``: language, common, word_shares, class_shares."""
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
@@ -99,7 +95,7 @@ def language_references(docs: DataFrame) -> DataFrame:
     class_rows = own.select("language", classes.alias("classes")).unionByName(every)
 
     # Words of more characters than COMMON_CHARS only count towards the total: they are dropped before the shuffle.
-    short = rows.select("language", F.explode(F.transform(_common_words(F.col("t")), lambda w: F.when(F.length(w) <= COMMON_CHARS, w))).alias("word"))
+    short = rows.select("language", F.explode(F.transform(split_words(F.col("t")), lambda w: F.when(F.length(w) <= COMMON_CHARS, w))).alias("word"))
     counts = written(short.groupBy("language", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
     pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("language"), "word", "n")
     both = counts.join(F.broadcast(own.select("language")), "language", "left_semi").unionByName(pooled)
@@ -135,8 +131,12 @@ def _repeat_words(frame: DataFrame) -> DataFrame:
     def beside(name: str, same) -> Column:
         return F.filter(name, lambda x, i: F.coalesce(same(x, F.get(name, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(name, i + 1)), F.lit(False)))
 
-    one = frame.withColumn("bits", bits).withColumn("packed", F.sort_array(packed))
-    high = beside("packed", lambda a, b: F.call_function("shiftright", a, F.col("bits")) == F.call_function("shiftright", b, F.col("bits")))
+    def alike(a: Column, b: Column) -> Column:
+        return F.call_function("shiftright", a, F.col("bits")) == F.call_function("shiftright", b, F.col("bits"))
+
+    sorted_once = frame.withColumn("bits", bits).withColumn("packed", F.sort_array(packed))
+    one = sorted_once.withColumn("twice", F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("packed") - 1)), lambda i: alike(F.get("packed", i), F.get("packed", i - 1))))
+    high = F.when(F.col("twice"), beside("packed", alike)).otherwise(F.array().cast("array<long>"))
     place = F.transform(high, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int"))
     two = one.withColumn("likely", place)
     text = F.array_sort(F.transform("likely", lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("text"), i.alias("i"))))
@@ -144,7 +144,7 @@ def _repeat_words(frame: DataFrame) -> DataFrame:
     four = three.withColumn("starts", F.sort_array(F.transform(beside("windows", lambda a, b: a["text"] == b["text"]), lambda x: x["i"])))
     steps = F.transform("starts", lambda s, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - s, F.lit(3))))
     total = F.aggregate(steps, F.lit(0), lambda a, s: a + s).cast("long")
-    return four.withColumn("n_repeat_words", total).drop("bits", "packed", "likely", "windows", "starts")
+    return four.withColumn("n_repeat_words", total).drop("bits", "packed", "twice", "likely", "windows", "starts")
 
 
 def judge_quality(
@@ -168,7 +168,7 @@ def judge_quality(
     split = known.select("row", "t", split_words(F.col("t")).alias("w"), *chosen.values()).withColumn("n", F.size("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = _repeat_words(split).select(
-        "row", "t", "n", "n_repeat_words", "common", "word_shares", "class_shares",
+        "row", "t", "w", "n", "n_repeat_words", "common", "word_shares", "class_shares",
         F.length(F.array_join("w", "")).alias("word_chars"), lines.alias("lines"),
     )
     failed = (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n"))
@@ -177,11 +177,18 @@ def judge_quality(
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         failed.alias("base_failed"),
         class_counts(F.col("t"), F.col("word_chars")).alias("classes"),
-        F.filter(_common_words(F.col("t")), lambda w: F.array_contains("common", w)).alias("hits"),
+        F.filter("w", lambda w: (F.length(w) <= COMMON_CHARS) & F.array_contains("common", w)).alias("hits"),
     )
-    found = F.transform("common", lambda c: F.size(F.filter("hits", lambda h: h == c)).cast("long"))
-    word_counts = F.concat(found, F.array((F.col("n") - F.size("hits")).cast("long")))
-    distances = based.withColumn("word_counts", word_counts).select(
+    # How often a word stands in the list of common ones: what taking it out of their text shortens.
+    listed = based.withColumn("hit_text", F.concat(F.lit(" "), F.array_join("hits", "  "), F.lit(" ")))
+
+    def found(c: Column) -> Column:
+        marked = F.concat(F.lit(" "), c, F.lit(" "))
+        left = F.length(F.replace(F.col("hit_text"), marked, F.lit("")))
+        return F.floor((F.length("hit_text") - left) / F.length(marked))
+
+    word_counts = F.concat(F.transform("common", found), F.array((F.col("n") - F.size("hits")).cast("long")))
+    distances = listed.withColumn("word_counts", word_counts).select(
         "*",
         F.when(F.length("t") >= MIN_CLASS_CHARS, js_distance(shares(F.col("classes")), F.col("class_shares"))).alias("class_distance"),
         F.when(F.col("n") >= MIN_COMMON_WORDS, js_distance(shares(F.col("word_counts")), F.col("word_shares"))).alias("word_distance"),
