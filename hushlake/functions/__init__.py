@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: patterns, spans, masking, labels, text."""

@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: detectors, ensembles, evaluation, dataset work, annotation checks, generation plans."""

@@ -1 +1 @@
-"""See the package README."""
+"""End-to-end jobs, and the queries that the driver checks."""

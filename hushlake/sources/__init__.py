@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: dialog files, metric tables, settings."""

@@ -1 +1 @@
-"""See the package README."""
+"""The same expressions over streams."""
