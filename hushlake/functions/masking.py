@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Types that are masked only above the second threshold; all others above the first.
 SENSITIVE = ("PERSON", "PHONE", "EMAIL", "PASSPORT", "SNILS", "INN")
 GATE, SENSITIVE_GATE = 0.1, 0.3
@@ -103,16 +105,18 @@ def mask(text: Column, spans: Column, policy: Policy = placeholder, aggressivene
 
     Each span contributes the text since the last one and its replacement, so the work is linear in the text.
     """
-    chosen = F.filter(spans, lambda s: will_mask(s["type"], aggressiveness))
     row = row if row is not None else F.lit(0)
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(chosen, i - 1)["end"], F.lit(0))
-        return F.concat(F.substring(text, before + 1, s["start"] - before), policy(s, row))
+    def masked(chosen: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(chosen, i - 1)["end"], F.lit(0))
+            return F.concat(F.substring(text, before + 1, s["start"] - before), policy(s, row))
 
-    end = F.coalesce(F.try_element_at(chosen, F.lit(-1))["end"], F.lit(0))
-    masked = F.concat(F.array_join(F.transform(chosen, piece), ""), F.substring(text, end + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(masked)
+        end = F.coalesce(F.try_element_at(chosen, F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(chosen, piece), ""), F.substring(text, end + 1, F.length(text)))
+
+    chosen = F.filter(spans, lambda s: will_mask(s["type"], aggressiveness))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(chosen, masked))
 
 
 def report(spans: Column, aggressiveness: float = 0.8) -> Column:

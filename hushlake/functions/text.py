@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from .patterns import MOST_NAME_WORDS, NOT_NAMES, SCREEN
 DOUBLES = "!,.:;?"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression that stands in a lambda is else computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -57,9 +64,7 @@ def _hinted(words: Column, i: Column, hints: list[str]) -> Column:
 
 def hints(text: Column) -> Column:
     """Each word with what its context hints at: structs of word, name, organisation, place."""
-    words = F.split(strip(text), r"(?U)\s+")
-
-    def one(w: Column, i: Column) -> Column:
+    def one(words: Column, w: Column, i: Column) -> Column:
         capital = F.regexp_like(w, F.lit(r"(?U)^\p{Lu}")) & (F.length(w) >= 2)
         form = F.lower(w).isin(*ORGANISATION_FORMS)
         return F.struct(
@@ -67,4 +72,4 @@ def hints(text: Column) -> Column:
             (form | _hinted(words, i, ORGANISATION_HINTS)).alias("organisation"), _hinted(words, i, PLACE_HINTS).alias("place"),
         )
 
-    return F.transform(words, one)
+    return bound(F.split(strip(text), r"(?U)\s+"), lambda words: F.transform(words, lambda w, i: one(words, w, i)))

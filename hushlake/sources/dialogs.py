@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,10 @@ def read_dialogs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     rows = read_documents(spark, paths)
     whole = rows.where("dialogs IS NOT NULL").select("file", F.posexplode("dialogs").alias("pos", "d"))
-    bare = rows.where("dialogs IS NULL AND text IS NOT NULL").select("file", F.monotonically_increasing_id().cast("int").alias("pos"), F.struct(*[f.name for f in _DIALOG.fields]).alias("d"))
+    # A file of a bare list is one document, which one task reads: its rows are numbered in their order.
+    listed = rows.where("dialogs IS NULL AND text IS NOT NULL").withColumn("n", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
+    bare = listed.select("file", place.alias("pos"), F.struct(*[f.name for f in _DIALOG.fields]).alias("d"))
     found = F.coalesce("d.entities", "d.personal_data", F.array().cast(T.ArrayType(_ENTITY)))
     named = F.transform(found, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type"].alias("type"), F.coalesce(e["text"], e["value"], F.lit("")).alias("text"))).cast(f"array<{ENTITY}>")
     return whole.unionByName(bare).select(
