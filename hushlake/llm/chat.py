@@ -155,3 +155,22 @@ def read_conversations(segments: DataFrame, places: DataFrame) -> DataFrame:
     )
     joined = seen.join(segments.select("stream_start", "segment", "loss_start", "loss_end"), "stream_start").select("leaf_start", turn.alias("turn"))
     return joined.groupBy("leaf_start").agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.sum("turn.chars").alias("formatted_chars"))
+
+
+def op1_sql() -> str:
+    """DuckDB SQL for the query's rows: each conversation formatted on its own."""
+    angle = "|".join(re.escape(c[1:]) for c in CONTROLS if c[0] == "<")
+    square = "|".join(re.escape(c[1:]) for c in CONTROLS if c[0] == "[")
+    escaped = rf"regexp_replace(regexp_replace(replace({{}}, '{ESCAPE}', '{ESCAPE}0'), '(<)({angle})', '\1{ESCAPE}1\2', 'g'), '(\[)({square})', '\1{ESCAPE}1\2', 'g')"
+    newline = f"replace({escaped.format('role')}, chr(10), '{ESCAPE}2')"
+    return f"""
+    WITH turn AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), whole AS (
+      SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum({len(OPEN) + len(CLOSE) + 1} + length({newline}) + length({escaped.format("text")}))::BIGINT AS formatted_chars
+      FROM turn GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole"""

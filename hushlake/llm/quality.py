@@ -207,3 +207,45 @@ def judge_quality(
         (~F.col("base_failed") & ~far).alias("kept"),
     ]
     return fenced(distances, columns)
+
+
+def op4_sql() -> str:
+    """DuckDB SQL for the query's rows."""
+    space = r"[\x20\x09-\x0D]"
+    strip = f"regexp_replace(t, '^{space}+|{space}+$', '', 'g')"
+    only = lambda members: f"length(regexp_replace(t, '[^{members}]+', '', 'g'))"
+    classes = [only(c) for c in CLASSES.values()]
+    names = [*CLASSES, "space", "rest"]
+    jsd = lambda p, q: (
+        f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ((CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END) + (CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END)) / 2))))"
+    )
+    shares = lambda c: f"list_transform({c}, lambda x: coalesce(x / nullif(list_sum({c}), 0), 0)::DOUBLE)"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS language, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, CASE WHEN {strip} = '' THEN [] ELSE string_split_regex({strip}, '{space}+') END AS w FROM d),
+    c AS (SELECT *, length(t) AS n_chars, {", ".join(f"{x} AS {n}" for x, n in zip(classes, names, strict=False))}, length(t) - {only(space[1:-1])} AS in_words, {only("#*$%&|<>")} AS n_symbols FROM w),
+    classed AS (SELECT *, len(w) AS n, {only(space[1:-1])} AS space, in_words - {" - ".join(CLASSES)} AS rest FROM c),
+    win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM win) WHERE k > 1),
+    covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
+    line AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+    own AS (SELECT language FROM d GROUP BY language HAVING count(*)::DOUBLE / (SELECT count(*) FROM d) >= {LANGUAGE_SHARE}),
+    labelled AS (SELECT rid, CASE WHEN language IN (SELECT language FROM own) THEN language ELSE '{ANY}' END AS ref FROM d),
+    ref_class AS (SELECT language AS ref, [{", ".join(f"sum({n})" for n in names)}] AS k FROM classed WHERE language IN (SELECT language FROM own) GROUP BY language
+                  UNION ALL SELECT '{ANY}', [{", ".join(f"sum({n})" for n in names)}] FROM classed),
+    word AS (SELECT language, unnest(w) AS word FROM w),
+    counts AS (SELECT language AS ref, word, count(*) AS n FROM word WHERE language IN (SELECT language FROM own) GROUP BY ALL UNION ALL SELECT '{ANY}', word, count(*) FROM word GROUP BY word),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM counts WHERE length(word) <= {COMMON_CHARS}) WHERE place <= {N_COMMON}),
+    ref_word AS (SELECT ref, list(word ORDER BY place) AS common, list(n ORDER BY place) || [(SELECT sum(n) FROM counts x WHERE x.ref = top.ref) - sum(n)] AS k FROM top GROUP BY ref),
+    doc AS (
+      SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_dup_lines, [{", ".join(f"c.{n}" for n in names)}] AS classes, rc.k AS ref_classes, rw.k AS ref_words,
+             list_transform(rw.common, lambda x: len(list_filter(c.w, lambda y: y = x))) AS hits
+      FROM classed c JOIN labelled b USING (rid) JOIN ref_class rc ON rc.ref = b.ref LEFT JOIN ref_word rw ON rw.ref = b.ref LEFT JOIN covered v USING (rid) LEFT JOIN line l USING (rid)
+    ), judged AS (
+      SELECT *, n < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n AS base_failed,
+             CASE WHEN n_chars >= {MIN_CLASS_CHARS} THEN {jsd(shares("classes"), shares("ref_classes"))} END AS class_distance,
+             CASE WHEN n >= {MIN_COMMON_WORDS} THEN {jsd(shares("(hits || [n - list_sum(hits)])"), shares("ref_words"))} END AS word_distance FROM doc
+    )
+    SELECT doc_id, n::BIGINT AS n_words, in_words::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+           NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept,
+           round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM judged"""

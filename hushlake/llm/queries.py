@@ -133,7 +133,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_prefix_tree": chat.op1_sql(),
     "op3_url_filter": url_filter.op3_sql(),
+    "op4_quality_rules": quality.op4_sql(),
     "op5_poisson_mixing": mixing.op5_sql(),
     "op6_mtree_topk": op6_sql(),
     "op8_line_dedup": line_dedup.op8_sql(10, 1),
