@@ -204,8 +204,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, most_pivots: int
 
     rows = clean(vectors)
     first_ids = Window.partitionBy("key").orderBy("vec_id")
-    few = rows.select("key", "v", "vec_id").withColumn("place", F.dense_rank().over(first_ids)).where(F.col("place") <= k + 1)
-    distinct = written(few.groupBy("key").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
+    known = rows.groupBy("key", "vec_id").agg(F.first("v").alias("v"))  # equal rows meet before any window
+    few = known.withColumn("place", F.row_number().over(first_ids)).where(F.col("place") <= k + 1)
+    distinct = written(few.groupBy("key").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, dim, most = distinct.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm2)).first()
     if not n:
