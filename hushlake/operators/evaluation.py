@@ -51,24 +51,39 @@ def _greedy(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("scope", "type").applyInPandas(match, "scope string, type string, start long, end long, p_start long, p_end long")
 
 
+def _labelled(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Each distinct span with whether it is in gold and in predicted. All uses of it share one shuffle."""
+    sides = gold.select(*KEYS, F.lit(1).alias("gold"), F.lit(0).alias("predicted")).unionByName(predicted.select(*KEYS, F.lit(0).alias("gold"), F.lit(1).alias("predicted")))
+    return sides.groupBy(KEYS).agg(F.max("gold").alias("gold"), F.max("predicted").alias("predicted"))
+
+
+def _not_exact(both: DataFrame, threshold: float) -> DataFrame:
+    """Greedy matches: of spans without an exact partner at threshold 1, and of all spans below."""
+    if threshold < 1.0:
+        g, p = both.where("gold = 1"), both.where("predicted = 1")
+    else:
+        g, p = both.where("gold = 1 AND predicted = 0"), both.where("gold = 0 AND predicted = 1")
+    places = p.select("scope", "type", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    if threshold < 1.0:
+        pairs = g.select(KEYS).join(places, ["scope", "type"]).where((F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end")))
+        scored = pairs.withColumn("score", overlap_score(*map(F.col, ("start", "end", "p_start", "p_end"))))
+        return _greedy(scored.where(F.col("score") >= threshold))
+    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+    moved = g.select(*KEYS, shifts.alias("shift")).select(*KEYS, (F.col("start") + F.col("shift.a")).alias("p_start"), (F.col("end") + F.col("shift.b")).alias("p_end"))
+    return _greedy(moved.join(places, ["scope", "type", "p_start", "p_end"], "left_semi").withColumn("score", F.lit(0.0)))
+
+
 def match_spans(gold: DataFrame, predicted: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """Matched spans: KEYS of the gold span with p_start, p_end. At threshold 1: exact ones, then near ones; below: by overlap.
+    """Matched spans: scope, type, start, end of the gold span, p_start, p_end. At threshold 1: exact ones, then near ones; below: by overlap.
 
     Only candidate pairs reach the greedy step, so a group holds a type's near misses in one scope.
     """
-    g, p = gold.select(KEYS).distinct(), predicted.select(KEYS).distinct()
-    renamed = p.select("scope", "type", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    both = _labelled(gold, predicted)
+    found = _not_exact(both, threshold)
     if threshold < 1.0:
-        pairs = g.join(renamed, ["scope", "type"]).where((F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end")))
-        scored = pairs.withColumn("score", overlap_score(*map(F.col, ("start", "end", "p_start", "p_end")))).where(F.col("score") >= threshold)
-        return _greedy(scored)
-    exact = g.join(p, KEYS, "left_semi").select("scope", "type", "start", "end", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
-    rest = g.join(exact, KEYS, "left_anti").withColumn("shift", shifts)
-    moved = rest.select("scope", "type", "start", "end", (F.col("start") + F.col("shift.a")).alias("p_start"), (F.col("end") + F.col("shift.b")).alias("p_end"))
-    free = renamed.join(exact.select("scope", "type", "p_start", "p_end"), ["scope", "type", "p_start", "p_end"], "left_anti")
-    close = moved.join(free, ["scope", "type", "p_start", "p_end"], "left_semi").withColumn("score", F.lit(0.0))
-    return exact.unionByName(_greedy(close).select(exact.columns))
+        return found
+    exact = both.where("gold = 1 AND predicted = 1").select("scope", "type", "start", "end", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    return exact.unionByName(found)
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -78,23 +93,34 @@ def _rates(df: DataFrame) -> DataFrame:
     return with_pr.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-METRICS = ["entity_type", "precision", "recall", "f1", "tp", "fp", "fn", "total_true", "total_pred", "class_proportion"]
+RATES, COUNTS = ["precision", "recall", "f1"], ["tp", "fp", "fn", "total_true", "total_pred"]
+METRICS = ["entity_type", *RATES, *COUNTS, "class_proportion"]
 
 
 def metrics_by_type(gold: DataFrame, predicted: DataFrame, threshold: float = 1.0) -> DataFrame:
     """A row for each type in either, then ALL_MICRO and ALL_MACRO. Macro rates are means over types with gold spans."""
-    count = lambda df, name: df.select(KEYS).distinct().groupBy("type").agg(F.count(F.lit(1)).alias(name))
-    matched = match_spans(gold, predicted, threshold).groupBy("type").agg(F.count(F.lit(1)).alias("tp"))
-    joined = count(gold, "total_true").join(count(predicted, "total_pred"), "type", "full").join(matched, "type", "left").fillna(0)
+    both = _labelled(gold, predicted)
+    exact = F.sum(F.col("gold") * F.col("predicted")) if threshold >= 1.0 else F.lit(0).cast("long")
+    totals = both.groupBy("type").agg(F.sum("gold").alias("total_true"), F.sum("predicted").alias("total_pred"), exact.alias("exact"))
+    matched = _not_exact(both, threshold).groupBy("type").agg(F.count(F.lit(1)).alias("more"))
+    joined = totals.join(matched, "type", "left").fillna(0).withColumn("tp", F.col("exact") + F.col("more"))
     counts = joined.select(F.col("type").alias("entity_type"), "tp", (F.col("total_pred") - F.col("tp")).alias("fp"), (F.col("total_true") - F.col("tp")).alias("fn"), "total_true", "total_pred")
-    every = Window.partitionBy(F.lit(0))  # a row for each type
-    share = F.coalesce(F.try_divide(F.col("total_true").cast("double"), F.sum("total_true").over(every).cast("double")), F.lit(0.0))
-    types = _rates(counts).withColumn("class_proportion", share)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "total_true", "total_pred")]
-    micro = _rates(counts.agg(*sums)).select(F.lit("ALL_MICRO").alias("entity_type"), "*", F.lit(1.0).alias("class_proportion"))
-    means = [F.coalesce(F.avg(F.when(F.col("total_true") > 0, F.col(c))), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")]
-    macro = types.agg(*means, *sums).select(F.lit("ALL_MACRO").alias("entity_type"), "*", F.lit(1.0).alias("class_proportion"))
-    return types.select(METRICS).unionByName(micro.select(METRICS)).unionByName(macro.select(METRICS))
+    # One plan for all rows: each type counts for itself and for the whole, and a row of zeros keeps the whole there when nothing was found.
+    zeros = counts.sparkSession.range(1).select(F.lit(None).cast("string").alias("entity_type"), *[F.lit(0).cast("long").alias(c) for c in COUNTS])
+    types = _rates(counts.select("entity_type", *COUNTS).unionByName(zeros))
+    grains = F.when(F.col("entity_type").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    spread = types.withColumn("whole", F.explode(grains)).withColumn("grain", F.when(~F.col("whole"), F.col("entity_type")))
+    means = [F.coalesce(F.avg(F.when(F.col("total_true") > 0, F.col(c))), F.lit(0.0)).alias(f"mean_{c}") for c in RATES]
+    summed = _rates(spread.groupBy("whole", "grain").agg(*[F.sum(c).alias(c) for c in COUNTS], *means))
+    all_true = F.max(F.when(F.col("whole"), F.col("total_true"))).over(Window.partitionBy(F.lit(0)))  # a row for each type
+    share = F.coalesce(F.try_divide(F.col("total_true").cast("double"), all_true.cast("double")), F.lit(0.0))
+
+    def row(name: Column, prefix: str, proportion: Column) -> Column:
+        return F.struct(name.alias("entity_type"), *[F.col(prefix + c).alias(c) for c in RATES], *[F.col(c) for c in COUNTS], proportion.alias("class_proportion"))
+
+    one = F.array(row(F.col("grain"), "", F.col("share")))
+    both_means = F.array(row(F.lit("ALL_MICRO"), "", F.lit(1.0)), row(F.lit("ALL_MACRO"), "mean_", F.lit(1.0)))
+    return summed.withColumn("share", share).select(F.inline(F.when(F.col("whole"), both_means).otherwise(one))).select(METRICS)
 
 
 def overall_metrics(gold: DataFrame, predicted: DataFrame, threshold: float = 1.0) -> DataFrame:
