@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality import split_words
-from .shared import ship, written
+from .shared import ship, slices, written
 
 THRESHOLD, NGRAM, RECALL, MOST_HASHES = 0.8, 5, 0.9999, 256
 #: Nodes of a component up to which its nodes meet as a whole, and bounds of a block.
@@ -75,7 +75,7 @@ def _sketcher(bands: int, rows: int, seed: int):
         return x ^ (x >> np.uint64(31))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             listed = batch.column("shingles")
             at = listed.offsets.to_numpy().astype(np.int64)
             values = listed.values.to_numpy()[at[0] : at[-1]].view(np.uint64)

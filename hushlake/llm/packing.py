@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship, written
+from .shared import ship, slices, written
 from .tokens import encoder
 
 #: Share of a sequence from which a bin is emitted before the last round.
@@ -86,7 +86,7 @@ def pack_documents(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[tuple[int, list]] = []
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             whole: list[tuple[int, list]] = []
             ids = encoder(tokenizer_path).encode_many(batch.column("text").to_pylist())
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), ids, strict=True):

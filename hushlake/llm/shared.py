@@ -62,3 +62,9 @@ def fenced(df: DataFrame, columns: list) -> DataFrame:
     expressions for each use; deep expressions then grow beyond planning.
     """
     return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def slices(batch, rows: int = 1000):
+    """An Arrow batch in parts of so many rows, without copying it: what Python makes of a part is freed before the next."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -16,12 +16,13 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .seekable import Reader, Writer
-from .shared import new_folder, ship, written
+from .shared import new_folder, ship, slices, written
 from .tokens import encoder
 
 MANIFEST = "file_no int, path string, n_docs long, n_ids long"
@@ -37,25 +38,25 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     folder = folder or new_folder(docs.sparkSession, "token-files")
     end = end_id.to_bytes(4, "little")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number, out, n_ids = task.partitionId(), None, 0
         path = f"{folder}/part-{number:06d}.ids.zst"
-        for batch in batches:
-            texts = [x if isinstance(x, str) else None for x in batch["text"]]
-            ids = encoder(tokenizer_path).encode_many(texts)
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
+            ids = encoder(tokenizer_path).encode_many(batch.column("text").to_pylist())
             if out is None and len(ids):
                 out = Writer(path, str(task.taskAttemptId()))
-            for doc_id, content in zip(batch["doc_id"].tolist(), ids, strict=True):
-                out.add(int(doc_id) if doc_id is not None else None, content + end)
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
+                out.add(doc_id, content + end)
                 n_ids += len(content) // 4 + 1
         if out is not None:
             out.close()
-            yield pd.DataFrame({"file_no": [number], "path": [path], "n_docs": [len(out.ids)], "n_ids": [n_ids]})
+            row = {"file_no": number, "path": path, "n_docs": len(out.ids), "n_ids": n_ids}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file_no", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
-    ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("doc_id", "text")
-    return written(ordered.mapInPandas(write, MANIFEST), "token-manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    return written(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
