@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words and pieces that one Python worker remembers; about 200 MB. A full memory is emptied.
-CACHE_WORDS, CACHE_PIECES = 600_000, 300_000
+#: Words and pieces that one Python worker remembers; about 140 MB. A full memory is emptied.
+CACHE_WORDS, CACHE_PIECES = 400_000, 250_000
 #: Characters that are split into words at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 4_000_000
 #: Fixed value: the split that the byte-level pre-tokenizer uses when its own pattern is on.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters of plain words.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Words of these characters only are split here: every normalisation form and Unicode version treats them alike.
-PLAIN = "[!-~\\nÀ-ÖØ-öø-ÿ]+"
+PLAIN = "\\n?[!-~À-ÖØ-öø-ÿ]+"
+#: Texts of these characters only can be lower-cased as a whole, where the vocabulary is lower-cased and drops white space.
+PLAIN_TEXT = "[ \\n!-~À-ÖØ-öø-ÿ]+"
+#: A text that holds one of these is encoded in one piece: its white space may form tokens of several characters.
+UNSAFE = ("  ", " \n", "\n ", "\n\n")
 
 
 def byte_letters() -> str:
@@ -23,18 +32,24 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
 
 
+def plain_split(pattern: str) -> str:
+    """A split pattern for plain words, with the letters and digits that these can hold spelled out."""
+    inside = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", f"[^\\s{LETTERS}0-9]")
+    return inside.replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
+
+
 class WordEncoder:
     """Encodes whole texts to little-endian uint32 bytes, word by word.
 
-    Byte-level vocabularies never form a token over a single space between two other
-    characters, so a text's ids are its space-separated words' ids in order. A new word of plain characters is
+    Byte-level vocabularies never form a token over a single space or newline between two other
+    characters, so a text's ids are its words' ids in order; the first word of a line is
+    remembered with its newline. A new word of plain characters is
     split into pieces by the tokenizer's own pattern, and the tokenizer's model is asked for new
-    pieces; any other new word, and a text that starts or ends with a space or holds two in a row, is encoded by
+    pieces; any other new word, and a text with other runs of spaces and newlines, is encoded by
     the tokenizer in one piece. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,9 +59,10 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = dict(enumerate(byte_letters()))
-        self.plain = regex.compile(PLAIN).fullmatch
+        self.plain, self.plain_text = re.compile(PLAIN).fullmatch, re.compile(PLAIN_TEXT).fullmatch
         split, self.lower = self._split_of(json.loads(self.tokenizer.to_str()))
-        self.split = regex.compile(split).findall if split else None
+        self.split = re.compile(plain_split(split)).findall if split else None
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     @staticmethod
     def _split_of(spec: dict) -> tuple[str | None, bool]:
@@ -62,13 +78,21 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (None: the empty text)."""
+        texts = list(texts)
         out: list[bytes] = [b""] * len(texts)
         group: list[int] = []
         chars = 0
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "  " in text or text[0] == " " or text[-1] == " ":
+            if self.lower and self.plain_text(text):
+                text = text.lower().replace("\n", " ").strip(" ")
+                while "  " in text:
+                    text = text.replace("  ", " ")
+                if not text:
+                    continue
+                texts[i] = text
+            if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNSAFE):
                 out[i] = self._whole([text])[0]
                 continue
             group.append(i)
@@ -84,36 +108,47 @@ class WordEncoder:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _group(self, texts: list[str | None], group: list[int], out: list[bytes]) -> None:
-        split = [texts[i].split(" ") for i in group]
-        first = self._whole([words[0] for words in split])
+        """Split many texts at once, look up each distinct word once, and gather the ids of all words in order."""
+        if not group:
+            return
+        parted = [texts[i].replace("\n", " \n").partition(" ") for i in group]
+        first = self._whole([head for head, _, _ in parted])
         if len(self.words) > self.cache_words:
             self.words.clear()
         if len(self.pieces) > self.cache_pieces:
             self.pieces.clear()
-        known = self.words
-        for i, head, words in zip(group, first, split, strict=True):
-            words[0] = ""
-            found = list(map(known.get, words))
-            found[0] = head
-            for k, ids in enumerate(found):
-                if ids is None:
-                    word = words[k]
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = self._word(word)
-                    found[k] = ids
-            out[i] = b"".join(found)
+        split = pc.split_pattern(pa.array([rest for _, _, rest in parted], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        known, found = self.words, []
+        for word in coded.dictionary.to_pylist():
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word)
+            found.append(ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        number = coded.indices.to_numpy()
+        of_word = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(of_word)])
+        shift = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
+        ids = flat[np.repeat(shift, of_word) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        for k, (i, head) in enumerate(zip(group, first, strict=True)):
+            out[i] = head + ids[cuts[k] : cuts[k + 1]].tobytes()
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word that follows a space."""
+        """The ids of a word that follows a space, or that starts with its line's newline; none for no word."""
+        if not word:
+            return b""
+        placed = word if word[0] == "\n" else " " + word
         if self.split is None or not self.plain(word):
-            return self._whole([" " + word])[0]
+            return self._whole([placed])[0]
         known, out = self.pieces, []
-        for piece in self.split(" " + (word.lower() if self.lower else word)):
+        for piece in self.split(placed.lower() if self.lower else placed):
             ids = known.get(piece)
             if ids is None:
-                spelled = piece.encode().decode("latin-1").translate(self.letters)
-                ids = known[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+                spelled = piece.replace(" ", self.letters[32]) if piece.isascii() and "\n" not in piece else piece.encode().decode("latin-1").translate(self.letters)
+                ids = known[piece] = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(spelled)])
             out.append(ids)
         return b"".join(out)
 
