@@ -10,6 +10,11 @@ References come from all documents. A language has one of its own if it has ``LA
 more, so there are at most 1 / LANGUAGE_SHARE of them, and they can be broadcast; the others share
 the reference of the whole corpus.
 
+A text with none of its language's common words is only as far from it as these cover the language, 0.33 at 20 %. So a language's own
+limit is a share of that distance, over the listed words that hold a letter, and ``max_word_distance`` holds besides. It counts for
+texts in which the language lets ``MIN_EXPECTED`` such words be expected, and neither for the whole corpus' reference nor for null
+languages, whose texts may be in any language.
+
 Repeated windows are found without comparing all pairs: sorting 64-bit numbers, a hash of each window above
 its position, puts equal windows side by side; only those are then compared as text.
 
@@ -37,6 +42,8 @@ LANGUAGE_SHARE = 0.001
 #: Shortest texts that are compared, and the distances up to which they are kept.
 MIN_CLASS_CHARS, MIN_COMMON_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
+#: A language's limit as a share of the distance of a text without its common words, and how many of them a text must let expect.
+LACKING_SHARE, MIN_EXPECTED = 0.9, 15
 ANY = "*"
 
 
@@ -116,6 +123,18 @@ def language_references(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_limits(references: DataFrame) -> DataFrame:
+    """Adds the places of the listed words that hold a letter, their shares with the rest's, and the language's limit (null: none)."""
+    places = F.filter(F.transform("common", lambda w, i: F.when(F.regexp_like(w, F.lit(r"\p{L}")), i)), lambda i: i.isNotNull())
+    of_words = F.transform("places", lambda i: F.get("word_shares", i))
+    covered = F.aggregate("of_words", F.lit(0.0), lambda a, x: a + x)
+    with_shares = references.withColumn("places", places).withColumn("of_words", of_words).withColumn("covered", covered)
+    none = F.concat(F.transform("of_words", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
+    listed = with_shares.withColumn("letter_shares", F.concat("of_words", F.array(1 - F.col("covered"))))
+    limit = F.when(~F.col("language").isin(ANY, ""), LACKING_SHARE * js_distance(none, F.col("letter_shares")))
+    return listed.withColumn("word_limit", limit).drop("of_words")
+
+
 def _repeat_words(frame: DataFrame) -> DataFrame:
     """Adds n_repeat_words to a frame with the words ``w`` and their number ``n``."""
 
@@ -155,25 +174,26 @@ def judge_quality(
 ) -> DataFrame:
     """``docs`` (text, lang, ...) with the counts of OUTPUT, both distances (null where a text is too short) and ``kept``."""
     names = names_without(docs, OUTPUT)
-    references = references if references is not None else written(language_references(docs), "quality-references")
+    references = _with_limits(references if references is not None else written(language_references(docs), "quality-references"))
+    names_of = references.columns[1:]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.coalesce(F.col("text"), F.lit("")).alias("t"),
         F.coalesce(F.col("lang"), F.lit("")).alias("language"),
     )
-    every = references.where(F.col("language") == ANY).select(*[F.col(c).alias(f"any_{c}") for c in references.columns[1:]])
+    every = references.where(F.col("language") == ANY).select(*[F.col(c).alias(f"any_{c}") for c in names_of])
     # At most 1 / LANGUAGE_SHARE small rows, and one row.
     known = rows.join(F.broadcast(references), "language", "left").join(F.broadcast(every), F.lit(True), "left")
-    chosen = {c: F.coalesce(F.col(c), F.col(f"any_{c}")).alias(c) for c in references.columns[1:]}
+    chosen = {c: F.coalesce(F.col(c), F.col(f"any_{c}")).alias(c) for c in names_of}
     split = known.select("row", "t", split_words(F.col("t")).alias("w"), *chosen.values()).withColumn("n", F.size("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = _repeat_words(split).select(
-        "row", "t", "w", "n", "n_repeat_words", "common", "word_shares", "class_shares",
+        "row", "t", "w", "n", "n_repeat_words", *names_of,
         F.length(F.array_join("w", "")).alias("word_chars"), lines.alias("lines"),
     )
     failed = (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n"))
     based = counted.select(
-        "row", "t", "n", "n_repeat_words", "common", "word_shares", "class_shares", "word_chars",
+        "row", "t", "n", "n_repeat_words", *names_of, "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         failed.alias("base_failed"),
         class_counts(F.col("t"), F.col("word_chars")).alias("classes"),
@@ -188,12 +208,18 @@ def judge_quality(
         return F.floor((F.length("hit_text") - left) / F.length(marked))
 
     word_counts = F.concat(F.transform("common", found), F.array((F.col("n") - F.size("hits")).cast("long")))
-    distances = listed.withColumn("word_counts", word_counts).select(
+    of_letters = F.transform("places", lambda i: F.get("word_counts", i))
+    others = F.col("n") - F.aggregate("of_letters", F.lit(0).cast("long"), lambda a, c: a + c)
+    lettered = listed.withColumn("word_counts", word_counts).withColumn("of_letters", of_letters)
+    tested = (F.col("n") >= MIN_COMMON_WORDS) & (F.col("n") * F.col("covered") >= MIN_EXPECTED) & F.col("word_limit").isNotNull() & ~F.col("base_failed")
+    lacking = F.when(tested, js_distance(shares(F.concat("of_letters", F.array(others))), F.col("letter_shares")) > F.col("word_limit"))
+    distances = lettered.select(
         "*",
+        F.coalesce(lacking, F.lit(False)).alias("lacking"),
         F.when(F.length("t") >= MIN_CLASS_CHARS, js_distance(shares(F.col("classes")), F.col("class_shares"))).alias("class_distance"),
         F.when(F.col("n") >= MIN_COMMON_WORDS, js_distance(shares(F.col("word_counts")), F.col("word_shares"))).alias("word_distance"),
     )
-    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
+    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance) | F.col("lacking")
     columns = [
         *[F.col("row").getField(c).alias(c) for c in names],
         F.col("n").cast("long").alias("n_words"),

@@ -46,3 +46,21 @@ def test_divergent_texts_go_and_clean_ones_stay(spark):
 def test_empty_table(spark):
     empty = judge_quality(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert empty.count() == 0 and empty.columns[3:] == OUTPUT
+
+
+def fifth(rng, common, letters, n=200):
+    """Prose of which common words, the first ones more often, make up about 20 %."""
+    weights = [1 / (k + 1) for k in range(len(common))]
+    return " ".join(rng.choices(common, weights)[0] if rng.random() < 0.2 else "".join(rng.choice(letters) for _ in range(7)) + rng.choice(["", "", " |"]) for _ in range(n))
+
+
+def test_texts_without_their_language_s_words_go_at_a_fifth_coverage(spark):
+    rng = random.Random(5)
+    words = {"en": "the of and to in is that it for was on with as be by are at this".split(), "de": "der die und den von zu das sich mit auf des ist im dem nicht ein".split()}
+    rows = [(i, fifth(rng, words[lang], "abcdefghij"), lang) for i, lang in enumerate(["en", "de"] * 150)]
+    rows += [(1000 + i, fifth(rng, words["de"], "abcdefghij"), "en") for i in range(5)]
+    rows += [(2000 + i, fifth(rng, ["abcabca"], "abcdefghij"), "de") for i in range(5)]
+    rows += [(3000, fifth(rng, words["de"], "abcdefghij"), None), (3001, rows[0][1], None)]
+    got = {r.doc_id: r.kept for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(300)) and got[3000] and got[3001]
+    assert not any(kept for i, kept in got.items() if 1000 <= i < 3000)
