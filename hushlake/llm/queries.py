@@ -23,16 +23,7 @@ def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     segments, places = chat.format_conversations(turns.unionByName(planted))
-    read = chat.read_conversations(segments, places)
-    turns_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss_text = F.array_join(F.transform("turns", lambda t: t["loss_text"]), "")
-    digests = read.select(
-        "leaf_start",
-        F.sha2(turns_text, 256).alias("turns_sha256"),
-        F.length(loss_text).cast("long").alias("loss_chars"),
-        F.sha2(loss_text, 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"),
-    )
+    digests = chat.digest_conversations(segments, places)
     return places.join(digests, "leaf_start").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

@@ -63,3 +63,13 @@ def test_null_keys_and_empty_table(spark):
     read = read_conversations(segments, places).first()
     assert [(t.role, t.text) for t in read.turns] == [("", ""), ("user", "x")]
     assert brute.sha("") and format_conversations(spark.createDataFrame([], schema))[1].count() == 0
+
+
+def test_a_long_conversation_stays_linear(spark):
+    turns = [("user" if k % 2 else "assistant", f"turn {k}") for k in range(6000)]
+    conversations = [(None, turns), (1, turns[:3000] + [("user", "other")]), (2, turns[:1]), (3, turns[:10] + [("user", "x")]), (4, turns[:10] + [("user", "y")])]
+    segments, places = format_conversations(table(spark, conversations))
+    rows = segments.collect()
+    assert len(rows) == 6003 and sum(len(r.ancestors) for r in rows) < 3 * len(rows)
+    read = {r.leaf_start: [(t.role, t.text) for t in r.turns] for r in read_conversations(segments, places).collect()}
+    assert {r.conv_id: read[r.leaf_start] for r in places.collect()} == dict(conversations)
