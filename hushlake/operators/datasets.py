@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..scratch import written
 
 ENTITY = "struct<start:long,end:long,type:string,text:string>"
 
@@ -91,48 +92,70 @@ def report_lines(dialogs: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "id", start: int = 1) -> DataFrame:
-    """Adds consecutive numbers in the given order without one task seeing all rows.
+    """Adds consecutive numbers in the given order without one task seeing all rows; a column named ``out`` is replaced."""
+    rows, _ = _numbered(df, [F.col(f"`{c}`") for c in order])
+    return rows.select(*_fields(df, out), (F.col("number") + (start - 1)).alias(out))
 
-    Rows are range-partitioned by the order; each partition's offset is the number of rows before it, a sum over one row for each partition.
+
+def _fields(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of a struct ``row``, but for those named (without regard to case)."""
+    taken = {c.lower() for c in without}
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in taken]
+
+
+def _numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """Each row as a struct ``row`` with its ``number`` from 1, and how many there are.
+
+    Rows are range-partitioned by the order and written with their partition and their place in it, so that all later steps see
+    one and the same partitioning. A partition starts where those before it end: a number for each partition. Equal keys are
+    dealt apart by a hash of the row; rows that are equal in that too have any order, and keep it.
     """
-    placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    placed = placed.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return placed.join(offsets, "_part").withColumn(out, (F.col("_before") + F.col("_row") + (start - 1)).cast("long")).drop("_part", "_row", "_before")
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("rest")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(f"k{i}") for i, c in enumerate(order)], rest)
+    by = [*[f"k{i}" for i in range(len(order))], "rest"]
+    # The number that Spark gives here is the partition's in its upper bits and the row's in the lower 33.
+    placed = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("row", F.monotonically_increasing_id().alias("at"))
+    table = written(placed.select("row", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(2**33 - 1).alias("place")), "numbered")
+    before, offsets = 0, []
+    for part, n in sorted(table.groupBy("part").count().collect()):  # a row for each partition
+        offsets.append((part, before + 1))
+        before += n
+    known = df.sparkSession.createDataFrame(offsets, "part int, first long")
+    return table.join(F.broadcast(known), "part").select("row", (F.col("first") + F.col("place")).alias("number")), before
 
 
 def merge_datasets(parts: list[DataFrame]) -> DataFrame:
     """All dialogs in the order of the parts and their ids, numbered from 1; ``original_id`` and ``part`` say where they come from."""
     out = None
     for k, df in enumerate(parts):
-        rows = df.withColumn("part", F.lit(k)).withColumnRenamed("id", "original_id")
+        rows = df.drop("part", "original_id").withColumn("part", F.lit(k)).withColumnRenamed("id", "original_id")
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return numbered(out, ["part", "original_id"])
 
 
 def split_dataset(dialogs: DataFrame, train_ratio: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and validation sets of exactly floor(n * ratio) and the other dialogs, in an order shuffled by a seeded hash, numbered from 1."""
-    shuffled = numbered(dialogs.withColumnRenamed("id", "original_id").withColumn("_key", shuffle_key(F.col("original_id"), seed)), ["_key", "original_id"], "_place")
-    n = dialogs.count()
+    """Train and validation sets of exactly floor(n * ratio) and the other dialogs, in an order shuffled by a seeded hash, numbered from 1.
+
+    ``original_id`` is the id before. Rows that share an id, or have none, are shuffled by a hash of the whole row.
+    """
+    rows = dialogs.drop("original_id").withColumnRenamed("id", "original_id")
+    shuffled, n = _numbered(rows, [shuffle_key(F.col("original_id"), seed), F.col("original_id")])
     cut = int(n * train_ratio)
-    train = shuffled.where(F.col("_place") <= cut).withColumn("id", F.col("_place"))
-    val = shuffled.where(F.col("_place") > cut).withColumn("id", F.col("_place") - cut)
-    return train.drop("_key", "_place"), val.drop("_key", "_place")
+    train = shuffled.where(F.col("number") <= cut).select(*_fields(rows), F.col("number").alias("id"))
+    return train, shuffled.where(F.col("number") > cut).select(*_fields(rows), (F.col("number") - cut).alias("id"))
 
 
 def shuffle_key(id_: Column, seed: int = 42) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit(""))))
 
 
 def shards(dialogs: DataFrame, size: int = 50, order: str = "id") -> DataFrame:
-    """Adds shard (from 1), and dialog_range ``first-last`` of its places."""
-    placed = numbered(dialogs, [order], "place")
-    shard = F.floor((F.col("place") - 1) / size) + 1
-    n = dialogs.count()
-    last = F.least(shard * size, F.lit(n))
-    return placed.withColumn("shard", shard.cast("long")).withColumn("dialog_range", F.concat(((shard - 1) * size + 1).cast("string"), F.lit("-"), last.cast("string")))
+    """Adds place (from 1), shard (from 1), and dialog_range ``first-last`` of the shard's places; columns of these names are replaced."""
+    placed, n = _numbered(dialogs, [F.col(f"`{order}`")])
+    shard = F.floor((F.col("number") - 1) / size) + 1
+    label = F.concat(((shard - 1) * size + 1).cast("string"), F.lit("-"), F.least(shard * size, F.lit(n)).cast("string"))
+    return placed.select(*_fields(dialogs, "place", "shard", "dialog_range"), F.col("number").alias("place"), shard.cast("long").alias("shard"), label.alias("dialog_range"))
 
 
 def merge_metadata(metadata: DataFrame) -> DataFrame:

@@ -156,3 +156,29 @@ def test_streams(spark, tmp_path):
         query.awaitTermination(120)
     assert sorted(r.masked for r in spark.table("masked").collect()) == ["<EMAIL>", "<IP_ADDRESS> <EMAIL>", "нет"]
     assert {(r.type, r.n) for r in spark.table("counts").collect()} == {("EMAIL", 2), ("IP_ADDRESS", 1)}
+
+
+@pytest.mark.parametrize("partitions", ["8", "211"])
+@pytest.mark.parametrize("n", [50_000, 300_000])
+def test_numbers_are_whole_at_size(spark, tmp_path, n, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        wide = spark.range(n).select((F.lit(n) - F.col("id")).alias("id"), F.repeat(F.lit("wide"), 40).alias("text"), F.lit("clash").alias("part"), F.lit("clash").alias("row")).repartition(5)
+        datasets.numbered(wide, ["id"], "number").write.parquet(f"{tmp_path}/numbered")
+        r = spark.read.parquet(f"{tmp_path}/numbered")
+        assert r.agg(F.count_distinct("number"), F.min("number"), F.max("number"), F.count_if(F.col("number") != F.col("id"))).first() == (n, 1, n, 0)
+        assert r.where("part <> 'clash' OR row <> 'clash'").count() == 0
+        train, val = datasets.split_dataset(wide)
+        assert (train.count(), val.count(), train.unionByName(val).select("original_id").distinct().count()) == (int(n * 0.7), n - int(n * 0.7), n)
+        shards = datasets.shards(wide, 1000).groupBy("shard").count().collect()
+        assert sorted(r[0] for r in shards) == list(range(1, n // 1000 + 1)) and {r[1] for r in shards} == {1000}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_repeated_and_missing_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, f"t{i}") for i in range(500)] + [(1, "same")] * 300, "id long, text string")
+    train, val = datasets.split_dataset(df, 0.5)
+    assert sorted(r.id for r in train.collect()) == list(range(1, 401)) and sorted(r.id for r in val.collect()) == list(range(1, 401))
+    assert datasets.numbered(df, ["id"], "no").agg(F.count_distinct("no")).first()[0] == 800
