@@ -2,19 +2,19 @@
 
 A source's rate is the mean number of copies of each of its documents with which it has its share of
 the mixture. Each document draws its count by inverting the Poisson distribution at a hash of the
-seed and its id, is exploded to that many copies, and all copies are dealt out by another hash: a global
+seed, its id and its text, is exploded to that many copies, and all copies are dealt out by another hash: a global
 shuffle that any run repeats. DataFrame functions only.
 
 A rate above ``STEP`` is drawn as a sum of independent draws of at most ``STEP``, so no rate is too large.
 
 Defined results: a null source is a source of its own; a source without a weight, or with weight 0, has no
-copies; rows that share a doc_id and a text have the same number of copies; a null text counts as a document; an empty table
+copies; rows that share a doc_id (or have none) and a text have the same number of copies; a null text counts as an empty one; an empty table
 stays empty; input columns that bear an output's name are replaced, others stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import names_without, written
@@ -47,15 +47,16 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, total
 
     ``weights`` None: every source the same. ``total`` None: as many copies as there are documents.
     """
-    counts = docs.groupBy(F.col("source").alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+    # A row for each source, and their two sums.
+    counts = written(docs.groupBy(F.col("source").alias("mix_source")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     if weights is None:
         weighed = counts.withColumn("weight", F.lit(1.0))
     else:
         named = docs.sparkSession.createDataFrame(list(weights.items()), "name string, weight double")
         weighed = counts.join(named, counts.mix_source.eqNullSafe(named.name), "left").drop("name").fillna({"weight": 0.0})
-    every = Window.partitionBy(F.lit(0))  # a row for each source
-    size = F.lit(float(total)) if total is not None else F.sum("n").over(every).cast("double")
-    rate = F.coalesce(F.try_divide(F.col("weight") * size, F.sum("weight").over(every) * F.col("n")), F.lit(0.0))
+    n, of_weights = weighed.agg(F.sum("n"), F.sum("weight")).first()
+    size = float(total if total is not None else n or 0)
+    rate = F.coalesce(F.try_divide(F.col("weight") * F.lit(size), F.lit(of_weights or 0.0) * F.col("n")), F.lit(0.0))
     rated = weighed.select("mix_source", rate.alias("mix_rate"))
     draws = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / STEP)).cast("int")
     drawn = rated.withColumn("draws", draws)
@@ -70,18 +71,18 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     # A written table has a known size, so Spark broadcasts the rates if they are few and shuffles by source otherwise.
     rates = written(source_rates(docs, weights, total), "mix-rates")
     names = names_without(docs, OUTPUT)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("s"))
+    who = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("s"), who.alias("who"))
     joined = rows.join(rates, F.col("s").eqNullSafe(F.col("mix_source")), "left")
-    who = F.col("row.doc_id")
 
     def draw(acc: Column, k: Column) -> Column:
-        u = uniform(F.lit(seed), who, k)
+        u = uniform(F.lit(seed), F.col("who"), k)
         return acc + F.size(F.filter(F.col("thresholds"), lambda t: t <= u))
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), draw)
-    counted = joined.select("row", F.col("mix_rate").alias("rate"), count.alias("n_copies")).where("n_copies > 0")
-    copies = counted.select("row", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", uniform(F.lit(seed + 1), who, F.col("copy")))
+    counted = joined.select("row", "who", F.col("mix_rate").alias("rate"), count.alias("n_copies")).where("n_copies > 0")
+    copies = counted.select("row", "who", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", uniform(F.lit(seed + 1), F.col("who"), F.col("copy")))
     dealt = keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
     return dealt.select(*[F.col("row").getField(c).alias(c) for c in names], *OUTPUT)
 
@@ -89,8 +90,9 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 def op5_sql(seed: int = 42) -> str:
     """DuckDB SQL for the query's rows: equal weights, as many copies as documents."""
     u = "CAST(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
-    one = u.format(f"'{seed}|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || k.k")
-    two = u.format(f"'{seed + 1}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy")
+    who = "coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) || '|'"
+    one = u.format(f"'{seed}|' || {who} || k.k")
+    two = u.format(f"'{seed + 1}|' || {who} || copy")
     return f"""
     WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
     rate AS (

@@ -1,38 +1,15 @@
-"""Written tables in the folder that the cluster shares (``spark.checkpoint.dir``)."""
+"""What several operators share: written tables, this package on the workers, fences and slices."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_folder, release, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-hushlake-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/hushlake/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends at files that survive executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fenced", "names_without", "new_folder", "release", "ship", "slices", "written"]
 
 
 def names_without(df: DataFrame, names: list[str]) -> list[str]:

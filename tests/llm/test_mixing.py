@@ -46,3 +46,13 @@ def test_empty_table_and_null_text(spark):
     schema = "doc_id long, text string, source string"
     assert mix_sources(spark.createDataFrame([], schema)).count() == 0
     assert mix_sources(spark.createDataFrame([(None, None, None)], schema), total=30).count() > 5
+
+
+def test_rows_without_an_id_draw_on_their_own(spark):
+    table = spark.createDataFrame([(None, f"text {i}", "a") for i in range(4000)] + [(7, "same", "a")] * 50 + [(8, "long " * 200_000, None)], "doc_id long, text string, source string")
+    rows = mix_sources(table, {"a": 1.0, None: 0.0}, total=4050).collect()
+    assert 3700 < len(rows) < 4400 and len({r.text for r in rows}) > 2300
+    assert len({r.shuffle_key for r in rows if r.doc_id is None}) == sum(r.doc_id is None for r in rows)
+    same = [r.n_copies for r in rows if r.doc_id == 7]
+    assert len(same) == 50 * (same[0] if same else 0)
+    assert mix_sources(table, {None: 1.0}, total=3).count() in range(20)
