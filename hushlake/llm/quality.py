@@ -2,23 +2,24 @@ r"""Operator 4: quality rules, with the divergence of a document from its langua
 
 Counted rules come first: too few words, or too many words in three-word windows that the text
 repeats. A document that passes them is compared with its language: the histogram of its character
-classes, and of its most common words, against the language's own over the whole corpus, by the
+classes, and of its language's most common words (in any case), against the language's own over the whole corpus, by the
 Jensen-Shannon distance (base 2, between 0 and 1). A comparison counts only for texts that are long enough for it.
 DataFrame functions only.
 
-References come from all documents. A language has one of its own if it has ``LANGUAGE_SHARE`` of the documents or
-more, so there are at most 1 / LANGUAGE_SHARE of them, and they can be broadcast; the others share
-the reference of the whole corpus.
+References come from all documents, in one pass: each text gives its words and one entry of its class counts, which meet
+pre-aggregated. Every language whose documents hold ``MIN_REFERENCE_WORDS`` words has a reference; a shorter one could not be
+told from chance, so texts of other languages have no distances and are judged by the counted rules alone. Texts without a
+language are compared with the whole corpus. References are a written table of one small row for each language: Spark
+broadcasts it under its threshold and joins by language beyond.
 
-A text with none of its language's common words is only as far from it as these cover the language, 0.33 at 20 %. So a language's own
+A text with none of its language's common words is only as far from it as these cover the language. So a language's own
 limit is a share of that distance, over the listed words that hold a letter, and ``max_word_distance`` holds besides. It counts for
-texts in which the language lets ``MIN_EXPECTED`` such words be expected, and neither for the whole corpus' reference nor for null
-languages, whose texts may be in any language.
+texts in which the language lets ``MIN_EXPECTED`` such words be expected, but not for texts without a language.
 
-Repeated windows are found without comparing all pairs: sorting 64-bit numbers, a hash of each window above
-its position, puts equal windows side by side; only those are then compared as text.
+Repeated windows are found without comparing all pairs: equal windows have equal hashes, and only where a text's hashes repeat, they are
+sorted with their positions and the windows of equal ones are compared as text.
 
-Defined results: a null or empty text has no words and fails; a null language counts as a language; every row is judged on
+Defined results: a null or empty text has no words and fails; every row is judged on
 its own, so equal rows have equal results; an empty table stays empty; input columns that bear an
 output's name are replaced, others stay.
 """
@@ -29,28 +30,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fenced, names_without, written
-from .text import SPACE, SPACES_PATTERN
+from .text import SPACE
 
 OUTPUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Characters that are in no class: most letters, and white space.
+COMMON_CLASS = r"[a-z\x20\x09-\x0D]+"
 #: Character classes besides letters that are not capitals, which are the rest.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "punctuation": r"\p{P}", "symbol": r"\p{S}"}
-#: Common words: so many of each language, of so many characters at most.
-N_COMMON, COMMON_CHARS = 20, 5
-#: A language with this share of the documents has its own reference.
-LANGUAGE_SHARE = 0.001
+SYMBOLS = "#*$%&|<>"
+#: Words in a language's histogram, and words that a language must have for a reference.
+N_COMMON, MIN_REFERENCE_WORDS = 40, 2000
 #: Shortest texts that are compared, and the distances up to which they are kept.
 MIN_CLASS_CHARS, MIN_COMMON_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
 #: A language's limit as a share of the distance of a text without its common words, and how many of them a text must let expect.
 LACKING_SHARE, MIN_EXPECTED = 0.9, 15
-ANY = "*"
+#: One character for each place in a language's list of words, and the start of an entry of class counts, which no word has.
+PLACES = "".join(chr(0x100 + i) for i in range(N_COMMON))
+ENTRY = "\n"
 
 
 def split_words(text: Column) -> Column:
     """The words of a text that is not null."""
-    bare = F.btrim(text, F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES_PATTERN, -1))
+    for c in SPACE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(SPACE[0]))
+    return F.array_remove(F.split(text, SPACE[0], -1), "")
 
 
 def count_class(text: Column, members: str) -> Column:
@@ -58,12 +63,15 @@ def count_class(text: Column, members: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{members}]+", ""))
 
 
-def class_counts(text: Column, word_chars: Column) -> Column:
-    """Array of counts: each class of CLASSES, white space, and the rest."""
-    counts = [count_class(text, c) for c in CLASSES.values()]
-    space = F.length(text) - word_chars
-    named = [*counts, space]
-    rest = F.length(text)
+def uncommon(text: Column) -> Column:
+    """A text without the characters of COMMON_CLASS: all of CLASSES and SYMBOLS are left."""
+    return F.regexp_replace(text, COMMON_CLASS, "")
+
+
+def class_counts(few: Column, n_chars: Column, word_chars: Column) -> Column:
+    """Array of counts: each class of CLASSES (in the text's ``uncommon`` characters), white space, and the rest."""
+    named = [*[count_class(few, c) for c in CLASSES.values()], n_chars - word_chars]
+    rest = n_chars
     for c in named:
         rest = rest - c
     return F.array(*[c.cast("long") for c in [*named, rest]])
@@ -90,49 +98,52 @@ def shares(counts: Column) -> Column:
 
 
 def language_references(docs: DataFrame) -> DataFrame:
-    """A row for each language with its own reference, and one for ``*``: language, common, word_shares, class_shares."""
-    rows = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    """A row for each language that has enough words, and one of the whole corpus with a null language: language, common, word_shares, class_shares."""
+    rows = docs.select(F.col("lang").alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("t")).select("language", "t", uncommon(F.col("t")).alias("few"), split_words(F.col("t")).alias("w"))
+    counts = class_counts(F.col("few"), F.length("t"), F.length(F.array_join("w", "")))
+    entry = F.concat(F.lit(ENTRY), F.array_join(F.transform(counts, lambda c: c.cast("string")), ","))
+    exact = rows.select("language", F.explode(F.concat("w", F.array(entry))).alias("word")).groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
+    folded = written(exact.groupBy("language", F.lower("word").alias("word")).agg(F.sum("n").alias("n")), "quality-words")
+    is_entry = F.startswith("word", F.lit(ENTRY))
+    entries = folded.where(is_entry).select("language", "n", F.split(F.substring("word", len(ENTRY) + 1, 1000), ",").alias("c"))
     n_classes = len(CLASSES) + 2
-    counted = rows.select("language", class_counts(F.col("t"), F.length(F.col("t")) - count_class(F.col("t"), r"\x20\x09-\x0D")).alias("c"))
-    sums = [F.sum(F.get("c", i)).alias(f"c{i}") for i in range(n_classes)]
-    by_language = written(counted.groupBy("language").agg(F.count(F.lit(1)).alias("n_docs"), *sums), "quality-classes")
-    own = by_language.withColumn("share", F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy(F.lit(0)))).where(F.col("share") >= LANGUAGE_SHARE)
-    classes = F.array(*[F.col(f"c{i}") for i in range(n_classes)])
-    every = by_language.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]).select(F.lit(ANY).alias("language"), classes.alias("classes"))
-    class_rows = own.select("language", classes.alias("classes")).unionByName(every)
-
-    # Words of more characters than COMMON_CHARS only count towards the total: they are dropped before the shuffle.
-    short = rows.select("language", F.explode(F.transform(split_words(F.col("t")), lambda w: F.when(F.length(w) <= COMMON_CHARS, w))).alias("word"))
-    counts = written(short.groupBy("language", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
-    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("language"), "word", "n")
-    both = counts.join(F.broadcast(own.select("language")), "language", "left_semi").unionByName(pooled)
+    sums = entries.groupBy("language").agg(*[F.sum(F.get("c", i).cast("long") * F.col("n")).alias(f"c{i}") for i in range(n_classes)])
+    classes = written(sums, "quality-classes").select("language", F.array(*[F.col(f"c{i}") for i in range(n_classes)]).alias("classes"))
+    words = folded.where(~is_entry)
+    totals = words.groupBy("language").agg(F.sum("n").alias("total"))
+
+    pooled = words.groupBy("word").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("language").orderBy(F.desc("n"), "word")
-    top = both.where("word IS NOT NULL").withColumn("place", F.row_number().over(best)).where(F.col("place") <= N_COMMON)
-    totals = both.groupBy("language").agg(F.sum("n").alias("total"))
+    both = words.where("language IS NOT NULL").select("language", "word", "n").unionByName(pooled.select(F.lit(None).cast("string").alias("language"), "word", "n"))
+    top = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= N_COMMON)
     listed = top.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+    of_all = totals.agg(F.sum("total").alias("total")).select(F.lit(None).cast("string").alias("language"), "total")
+    enough = totals.where(F.col("language").isNotNull() & (F.col("total") >= MIN_REFERENCE_WORDS)).unionByName(of_all)
+    every = [F.coalesce(F.sum(F.get("classes", i)), F.lit(0)).alias(f"c{i}") for i in range(n_classes)]
+    of_all = classes.agg(*every).select(F.lit(None).cast("string").alias("language"), F.array(*[F.col(f"c{i}") for i in range(n_classes)]).alias("classes"))
+    with_classes = classes.where("language IS NOT NULL").unionByName(of_all)
     word_counts = F.concat(F.col("top.n"), F.array(F.col("total") - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)))
-    return (
-        class_rows.join(totals, "language", "left")
-        .join(listed, "language", "left")
-        .select(
-            "language",
-            F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
-            F.coalesce(shares(word_counts), F.array(F.lit(0.0))).alias("word_shares"),
-            shares(F.col("classes")).alias("class_shares"),
-        )
+    key = F.col("e.language")
+    joined = enough.alias("e").join(with_classes.alias("c"), key.eqNullSafe(F.col("c.language"))).join(listed.alias("l"), key.eqNullSafe(F.col("l.language")), "left")
+    return joined.select(
+        key.alias("language"),
+        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
+        F.coalesce(shares(word_counts), F.array(F.lit(0.0))).alias("word_shares"),
+        shares(F.col("classes")).alias("class_shares"),
     )
 
 
 def _with_limits(references: DataFrame) -> DataFrame:
-    """Adds the places of the listed words that hold a letter, their shares with the rest's, and the language's limit (null: none)."""
+    """Adds the places of the listed words that hold a letter, their shares with the rest's, the language's limit (null: none), and the longest word's length."""
     places = F.filter(F.transform("common", lambda w, i: F.when(F.regexp_like(w, F.lit(r"\p{L}")), i)), lambda i: i.isNotNull())
     of_words = F.transform("places", lambda i: F.get("word_shares", i))
     covered = F.aggregate("of_words", F.lit(0.0), lambda a, x: a + x)
     with_shares = references.withColumn("places", places).withColumn("of_words", of_words).withColumn("covered", covered)
     none = F.concat(F.transform("of_words", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
     listed = with_shares.withColumn("letter_shares", F.concat("of_words", F.array(1 - F.col("covered"))))
-    limit = F.when(~F.col("language").isin(ANY, ""), LACKING_SHARE * js_distance(none, F.col("letter_shares")))
-    return listed.withColumn("word_limit", limit).drop("of_words")
+    limit = F.when(F.col("language").isNotNull(), LACKING_SHARE * js_distance(none, F.col("letter_shares")))
+    longest = F.coalesce(F.array_max(F.transform("common", lambda w: F.length(w))), F.lit(0))
+    return listed.withColumn("word_limit", limit).withColumn("longest", longest).drop("of_words")
 
 
 def _repeat_words(frame: DataFrame) -> DataFrame:
@@ -141,29 +152,25 @@ def _repeat_words(frame: DataFrame) -> DataFrame:
     def window(i: Column) -> list[Column]:
         return [F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)]
 
-    bits = F.when(F.col("n") < 2**21, 21).otherwise(31)
     places = F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>"))
-    packed = F.transform(
-        places, lambda i: F.expr("0L").bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(*window(i)), F.col("bits")), F.col("bits"))).bitwiseOR(i.cast("long"))
-    )
+    hashed = frame.withColumn("hashes", F.transform(places, lambda i: F.xxhash64(*window(i))))
 
     def beside(name: str, same) -> Column:
         return F.filter(name, lambda x, i: F.coalesce(same(x, F.get(name, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(name, i + 1)), F.lit(False)))
 
-    def alike(a: Column, b: Column) -> Column:
-        return F.call_function("shiftright", a, F.col("bits")) == F.call_function("shiftright", b, F.col("bits"))
-
-    sorted_once = frame.withColumn("bits", bits).withColumn("packed", F.sort_array(packed))
-    one = sorted_once.withColumn("twice", F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("packed") - 1)), lambda i: alike(F.get("packed", i), F.get("packed", i - 1))))
-    high = F.when(F.col("twice"), beside("packed", alike)).otherwise(F.array().cast("array<long>"))
-    place = F.transform(high, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int"))
-    two = one.withColumn("likely", place)
+    # Where a hash repeats: the hashes with their positions instead of their lower 31 bits, sorted.
+    high = F.lit(-(2**31)).cast("long")
+    packed = F.sort_array(F.transform("hashes", lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    one = hashed.withColumn("packed", F.when(repeats, packed).otherwise(F.array().cast("array<long>")))
+    likely = F.transform(beside("packed", lambda a, b: a.bitwiseAND(high) == b.bitwiseAND(high)), lambda x: x.bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int"))
+    two = one.withColumn("likely", likely)
     text = F.array_sort(F.transform("likely", lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("text"), i.alias("i"))))
     three = two.withColumn("windows", text)
     four = three.withColumn("starts", F.sort_array(F.transform(beside("windows", lambda a, b: a["text"] == b["text"]), lambda x: x["i"])))
     steps = F.transform("starts", lambda s, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - s, F.lit(3))))
     total = F.aggregate(steps, F.lit(0), lambda a, s: a + s).cast("long")
-    return four.withColumn("n_repeat_words", total).drop("bits", "packed", "twice", "likely", "windows", "starts")
+    return four.withColumn("n_repeat_words", total).drop("hashes", "packed", "likely", "windows", "starts")
 
 
 def judge_quality(
@@ -172,61 +179,53 @@ def judge_quality(
     max_word_distance: float = MAX_WORD_DISTANCE,
     references: DataFrame | None = None,
 ) -> DataFrame:
-    """``docs`` (text, lang, ...) with the counts of OUTPUT, both distances (null where a text is too short) and ``kept``."""
+    """``docs`` (text, lang, ...) with the counts of OUTPUT, both distances (null where a text is too short or has no reference) and ``kept``."""
     names = names_without(docs, OUTPUT)
-    references = _with_limits(references if references is not None else written(language_references(docs), "quality-references"))
-    names_of = references.columns[1:]
+    references = written(_with_limits(references if references is not None else language_references(docs)), "quality-references")
+    of_reference = [c for c in references.columns if c != "language"]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.coalesce(F.col("text"), F.lit("")).alias("t"),
-        F.coalesce(F.col("lang"), F.lit("")).alias("language"),
+        F.col("lang").alias("of"),
     )
-    every = references.where(F.col("language") == ANY).select(*[F.col(c).alias(f"any_{c}") for c in names_of])
-    # At most 1 / LANGUAGE_SHARE small rows, and one row.
-    known = rows.join(F.broadcast(references), "language", "left").join(F.broadcast(every), F.lit(True), "left")
-    chosen = {c: F.coalesce(F.col(c), F.col(f"any_{c}")).alias(c) for c in names_of}
-    split = known.select("row", "t", split_words(F.col("t")).alias("w"), *chosen.values()).withColumn("n", F.size("w"))
+    known = rows.join(references, F.col("of").eqNullSafe(F.col("language")), "left")
+    split = known.select("row", "t", split_words(F.col("t")).alias("w"), uncommon(F.col("t")).alias("few"), *of_reference).withColumn("n", F.size("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = _repeat_words(split).select(
-        "row", "t", "w", "n", "n_repeat_words", *names_of,
+        "row", "t", "w", "few", "n", "n_repeat_words", *of_reference,
         F.length(F.array_join("w", "")).alias("word_chars"), lines.alias("lines"),
     )
     failed = (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n"))
+    # A text's common words, each as the character of its place in the list. Only words as short as some listed one are looked up.
+    hits = F.filter("w", lambda w: (F.length(w) <= F.col("longest")) & F.array_contains("common", F.lower(w)))
+    coded = F.array_join(F.transform(hits, lambda w: F.substring(F.lit(PLACES), F.array_position("common", F.lower(w)).cast("int"), F.lit(1))), "")
     based = counted.select(
-        "row", "t", "n", "n_repeat_words", *names_of, "word_chars",
+        "row", "t", "n", "n_repeat_words", *of_reference, "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         failed.alias("base_failed"),
-        class_counts(F.col("t"), F.col("word_chars")).alias("classes"),
-        F.filter("w", lambda w: (F.length(w) <= COMMON_CHARS) & F.array_contains("common", w)).alias("hits"),
+        count_class(F.col("few"), SYMBOLS).alias("n_symbols"),
+        class_counts(F.col("few"), F.length("t"), F.col("word_chars")).alias("classes"),
+        F.coalesce(F.when(F.col("n") >= MIN_COMMON_WORDS, coded), F.lit("")).alias("hits"),
     )
-    # How often a word stands in the list of common ones: what taking it out of their text shortens.
-    listed = based.withColumn("hit_text", F.concat(F.lit(" "), F.array_join("hits", "  "), F.lit(" ")))
-
-    def found(c: Column) -> Column:
-        marked = F.concat(F.lit(" "), c, F.lit(" "))
-        left = F.length(F.replace(F.col("hit_text"), marked, F.lit("")))
-        return F.floor((F.length("hit_text") - left) / F.length(marked))
-
-    word_counts = F.concat(F.transform("common", found), F.array((F.col("n") - F.size("hits")).cast("long")))
+    found = F.transform("common", lambda _, i: F.length("hits") - F.length(F.replace(F.col("hits"), F.substring(F.lit(PLACES), i + 1, F.lit(1)), F.lit(""))))
+    word_counts = F.transform(F.concat(found, F.array(F.col("n") - F.length("hits"))), lambda c: c.cast("long"))
     of_letters = F.transform("places", lambda i: F.get("word_counts", i))
     others = F.col("n") - F.aggregate("of_letters", F.lit(0).cast("long"), lambda a, c: a + c)
-    lettered = listed.withColumn("word_counts", word_counts).withColumn("of_letters", of_letters)
+    lettered = based.withColumn("word_counts", word_counts).withColumn("of_letters", of_letters)
     tested = (F.col("n") >= MIN_COMMON_WORDS) & (F.col("n") * F.col("covered") >= MIN_EXPECTED) & F.col("word_limit").isNotNull() & ~F.col("base_failed")
     lacking = F.when(tested, js_distance(shares(F.concat("of_letters", F.array(others))), F.col("letter_shares")) > F.col("word_limit"))
+    has_reference = F.col("common").isNotNull()
     distances = lettered.select(
         "*",
         F.coalesce(lacking, F.lit(False)).alias("lacking"),
-        F.when(F.length("t") >= MIN_CLASS_CHARS, js_distance(shares(F.col("classes")), F.col("class_shares"))).alias("class_distance"),
-        F.when(F.col("n") >= MIN_COMMON_WORDS, js_distance(shares(F.col("word_counts")), F.col("word_shares"))).alias("word_distance"),
+        F.when(has_reference & (F.length("t") >= MIN_CLASS_CHARS), js_distance(shares(F.col("classes")), F.col("class_shares"))).alias("class_distance"),
+        F.when(has_reference & (F.col("n") >= MIN_COMMON_WORDS), js_distance(shares(F.col("word_counts")), F.col("word_shares"))).alias("word_distance"),
     )
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance) | F.col("lacking")
     columns = [
         *[F.col("row").getField(c).alias(c) for c in names],
         F.col("n").cast("long").alias("n_words"),
-        F.col("word_chars").cast("long").alias("word_chars"),
-        count_class(F.col("t"), "#*$%&|<>").cast("long").alias("n_symbols"),
-        F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        *[F.col(c).cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
         "class_distance",
         "word_distance",
@@ -236,7 +235,7 @@ def judge_quality(
 
 
 def op4_sql() -> str:
-    """DuckDB SQL for the query's rows."""
+    """DuckDB SQL for the query's rows. A key of NULL stands for the whole corpus."""
     space = r"[\x20\x09-\x0D]"
     strip = f"regexp_replace(t, '^{space}+|{space}+$', '', 'g')"
     only = lambda members: f"length(regexp_replace(t, '[^{members}]+', '', 'g'))"
@@ -246,32 +245,41 @@ def op4_sql() -> str:
         f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ((CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END) + (CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END)) / 2))))"
     )
     shares = lambda c: f"list_transform({c}, lambda x: coalesce(x / nullif(list_sum({c}), 0), 0)::DOUBLE)"
+    lettered = lambda k: f"list_transform(ref_places, lambda i: {k}[i])"
+    with_rest = lambda k, total: f"({lettered(k)} || [{total} - coalesce(list_sum({lettered(k)}), 0)])"
+    ref_letters, doc_letters = with_rest("ref_words", "list_sum(ref_words)"), with_rest("hits", "n")
+    none = "(list_transform(ref_places, lambda i: 0) || [1])"
+    covered = f"coalesce(list_sum({lettered('ref_words')}), 0) / list_sum(ref_words)"
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS language, coalesce(text, '') AS t FROM documents),
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS language, coalesce(text, '') AS t FROM documents),
     w AS (SELECT *, CASE WHEN {strip} = '' THEN [] ELSE string_split_regex({strip}, '{space}+') END AS w FROM d),
-    c AS (SELECT *, length(t) AS n_chars, {", ".join(f"{x} AS {n}" for x, n in zip(classes, names, strict=False))}, length(t) - {only(space[1:-1])} AS in_words, {only("#*$%&|<>")} AS n_symbols FROM w),
+    c AS (SELECT *, list_transform(w, lambda x: lower(x)) AS lw, length(t) AS n_chars, {", ".join(f"{x} AS {n}" for x, n in zip(classes, names, strict=False))}, length(t) - {only(space[1:-1])} AS in_words, {only(SYMBOLS)} AS n_symbols FROM w),
     classed AS (SELECT *, len(w) AS n, {only(space[1:-1])} AS space, in_words - {" - ".join(CLASSES)} AS rest FROM c),
     win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM win) WHERE k > 1),
     covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
     line AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
-    own AS (SELECT language FROM d GROUP BY language HAVING count(*)::DOUBLE / (SELECT count(*) FROM d) >= {LANGUAGE_SHARE}),
-    labelled AS (SELECT rid, CASE WHEN language IN (SELECT language FROM own) THEN language ELSE '{ANY}' END AS ref FROM d),
-    ref_class AS (SELECT language AS ref, [{", ".join(f"sum({n})" for n in names)}] AS k FROM classed WHERE language IN (SELECT language FROM own) GROUP BY language
-                  UNION ALL SELECT '{ANY}', [{", ".join(f"sum({n})" for n in names)}] FROM classed),
-    word AS (SELECT language, unnest(w) AS word FROM w),
-    counts AS (SELECT language AS ref, word, count(*) AS n FROM word WHERE language IN (SELECT language FROM own) GROUP BY ALL UNION ALL SELECT '{ANY}', word, count(*) FROM word GROUP BY word),
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM counts WHERE length(word) <= {COMMON_CHARS}) WHERE place <= {N_COMMON}),
-    ref_word AS (SELECT ref, list(word ORDER BY place) AS common, list(n ORDER BY place) || [(SELECT sum(n) FROM counts x WHERE x.ref = top.ref) - sum(n)] AS k FROM top GROUP BY ref),
+    own AS (SELECT language FROM classed WHERE language IS NOT NULL GROUP BY language HAVING sum(n) >= {MIN_REFERENCE_WORDS} UNION ALL SELECT NULL),
+    seen AS (SELECT * FROM classed WHERE language IS NOT NULL UNION ALL SELECT * REPLACE (NULL AS language) FROM classed),
+    ref_class AS (SELECT language AS ref, [{", ".join(f"sum({n})" for n in names)}] AS k FROM seen GROUP BY language),
+    counts AS (SELECT language AS ref, word, count(*) AS n FROM (SELECT language, unnest(lw) AS word FROM seen) GROUP BY ALL),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM counts) WHERE place <= {N_COMMON}),
+    ref_word AS (SELECT ref, list(word ORDER BY place) AS common, list(n ORDER BY place) || [(SELECT sum(n) FROM counts x WHERE x.ref IS NOT DISTINCT FROM top.ref) - sum(n)] AS k,
+                        coalesce(list(place ORDER BY place) FILTER (WHERE regexp_matches(word, '\\p{{L}}')), []) AS places FROM top GROUP BY ref),
     doc AS (
-      SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_dup_lines, [{", ".join(f"c.{n}" for n in names)}] AS classes, rc.k AS ref_classes, rw.k AS ref_words,
-             list_transform(rw.common, lambda x: len(list_filter(c.w, lambda y: y = x))) AS hits
-      FROM classed c JOIN labelled b USING (rid) JOIN ref_class rc ON rc.ref = b.ref LEFT JOIN ref_word rw ON rw.ref = b.ref LEFT JOIN covered v USING (rid) LEFT JOIN line l USING (rid)
+      SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_dup_lines, [{", ".join(f"c.{n}" for n in names)}] AS classes, rc.k AS ref_classes, rw.k AS ref_words, rw.places AS ref_places,
+             list_transform(rw.common, lambda x: len(list_filter(c.lw, lambda y: y = x))) AS hits
+      FROM classed c LEFT JOIN own ON own.language IS NOT DISTINCT FROM c.language
+      LEFT JOIN ref_class rc ON rc.ref IS NOT DISTINCT FROM c.language AND c.language IS NOT DISTINCT FROM own.language
+      LEFT JOIN ref_word rw ON rw.ref IS NOT DISTINCT FROM c.language AND c.language IS NOT DISTINCT FROM own.language
+      LEFT JOIN covered v USING (rid) LEFT JOIN line l USING (rid)
     ), judged AS (
       SELECT *, n < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n AS base_failed,
              CASE WHEN n_chars >= {MIN_CLASS_CHARS} THEN {jsd(shares("classes"), shares("ref_classes"))} END AS class_distance,
-             CASE WHEN n >= {MIN_COMMON_WORDS} THEN {jsd(shares("(hits || [n - list_sum(hits)])"), shares("ref_words"))} END AS word_distance FROM doc
+             CASE WHEN n >= {MIN_COMMON_WORDS} THEN {jsd(shares("(hits || [n - list_sum(hits)])"), shares("ref_words"))} END AS word_distance,
+             CASE WHEN language IS NOT NULL AND n >= {MIN_COMMON_WORDS} AND n * {covered} >= {MIN_EXPECTED}
+                  THEN {jsd(shares(doc_letters), shares(ref_letters))} > {LACKING_SHARE} * {jsd(none, shares(ref_letters))} END AS lacking FROM doc
     )
     SELECT doc_id, n::BIGINT AS n_words, in_words::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-           NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept,
+           NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AND NOT coalesce(lacking, FALSE) AS kept,
            round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM judged"""

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hushlake.llm.quality import OUTPUT, js_distance, judge_quality
+from hushlake.llm.quality import OUTPUT, js_distance, judge_quality, language_references
 
 from . import brute
 
@@ -64,3 +64,23 @@ def test_texts_without_their_language_s_words_go_at_a_fifth_coverage(spark):
     got = {r.doc_id: r.kept for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(300)) and got[3000] and got[3001]
     assert not any(kept for i, kept in got.items() if 1000 <= i < 3000)
+
+
+def test_long_words_and_capitals_count_as_common(spark):
+    rng = random.Random(9)
+    words = ["internationalisation", "notwithstanding", "counterrevolutionary"]
+    text = lambda w: " ".join(rng.choice(w) if rng.random() < 0.4 else "".join(rng.choice("abcdef") for _ in range(7)) for _ in range(200))
+    rows = [(i, text(words), "xx") for i in range(60)] + [(100, text([w.upper() for w in words]), "xx"), (101, text(["abcabc"]), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = [r.common for r in language_references(docs).where("language = 'xx'").collect()][0]
+    assert set(words) <= set(common[:3])
+    got = {r.doc_id: r for r in judge_quality(docs, max_class_distance=1.0).collect()}
+    assert got[100].kept and got[100].word_distance < 0.3 and not got[101].kept
+
+
+def test_languages_without_enough_text_have_no_reference(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng), "en") for i in range(100)] + [(200, " ".join(w + "$%#" for w in prose(rng).split()), "rare"), (201, prose(rng), None), (202, prose(rng, 20), "rare")]
+    got = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[200].kept and got[200].class_distance is None and got[200].word_distance is None
+    assert got[201].kept and got[201].word_distance is not None and not got[202].kept
