@@ -47,7 +47,7 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
 #: A language's limit as a share of the distance of a text without its common words, and how many of them a text must let expect.
 LACKING_SHARE, MIN_EXPECTED = 0.9, 15
 #: One character for each place in a language's list of words, and the start of an entry of class counts, which no word has.
-PLACES = "".join(chr(0x100 + i) for i in range(N_COMMON))
+PLACES = "".join(chr(0x30 + i) for i in range(N_COMMON))
 ENTRY = "\n"
 
 
@@ -91,9 +91,8 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def shares(counts: Column) -> Column:
-    """Counts as shares of their sum; all zero if that is zero."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
+def shares(counts: Column, total: Column) -> Column:
+    """Counts as shares of their sum, which is given: in a lambda it would be added up for each element. All zero if it is zero."""
     return F.transform(counts, lambda c: F.coalesce(F.try_divide(c.cast("double"), total.cast("double")), F.lit(0.0)))
 
 
@@ -125,11 +124,12 @@ def language_references(docs: DataFrame) -> DataFrame:
     word_counts = F.concat(F.col("top.n"), F.array(F.col("total") - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)))
     key = F.col("e.language")
     joined = enough.alias("e").join(with_classes.alias("c"), key.eqNullSafe(F.col("c.language"))).join(listed.alias("l"), key.eqNullSafe(F.col("l.language")), "left")
+    joined = joined.withColumn("chars", F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + c))
     return joined.select(
         key.alias("language"),
         F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
-        F.coalesce(shares(word_counts), F.array(F.lit(0.0))).alias("word_shares"),
-        shares(F.col("classes")).alias("class_shares"),
+        F.coalesce(shares(word_counts, F.col("total")), F.array(F.lit(0.0))).alias("word_shares"),
+        shares(F.col("classes"), F.col("chars")).alias("class_shares"),
     )
 
 
@@ -213,14 +213,18 @@ def judge_quality(
     others = F.col("n") - F.aggregate("of_letters", F.lit(0).cast("long"), lambda a, c: a + c)
     lettered = based.withColumn("word_counts", word_counts).withColumn("of_letters", of_letters)
     tested = (F.col("n") >= MIN_COMMON_WORDS) & (F.col("n") * F.col("covered") >= MIN_EXPECTED) & F.col("word_limit").isNotNull() & ~F.col("base_failed")
-    lacking = F.when(tested, js_distance(shares(F.concat("of_letters", F.array(others))), F.col("letter_shares")) > F.col("word_limit"))
+    lacking = F.when(tested, js_distance(shares(F.concat("of_letters", F.array(others)), F.col("n")), F.col("letter_shares")) > F.col("word_limit"))
     has_reference = F.col("common").isNotNull()
-    distances = lettered.select(
-        "*",
-        F.coalesce(lacking, F.lit(False)).alias("lacking"),
-        F.when(has_reference & (F.length("t") >= MIN_CLASS_CHARS), js_distance(shares(F.col("classes")), F.col("class_shares"))).alias("class_distance"),
-        F.when(has_reference & (F.col("n") >= MIN_COMMON_WORDS), js_distance(shares(F.col("word_counts")), F.col("word_shares"))).alias("word_distance"),
-    )
+    # Each distance stands in the result and in the verdict: the fence keeps it from being computed for both.
+    distances = fenced(
+        lettered,
+        [
+            "row", "n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+            F.coalesce(lacking, F.lit(False)).alias("lacking"),
+            F.when(has_reference & (F.length("t") >= MIN_CLASS_CHARS), js_distance(shares(F.col("classes"), F.length("t")), F.col("class_shares"))).alias("class_distance"),
+            F.when(has_reference & (F.col("n") >= MIN_COMMON_WORDS), js_distance(shares(F.col("word_counts"), F.col("n")), F.col("word_shares"))).alias("word_distance"),
+        ],
+    )
     far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance) | F.col("lacking")
     columns = [
         *[F.col("row").getField(c).alias(c) for c in names],
@@ -231,7 +235,7 @@ def judge_quality(
         "word_distance",
         (~F.col("base_failed") & ~far).alias("kept"),
     ]
-    return fenced(distances, columns)
+    return distances.select(*columns)
 
 
 def op4_sql() -> str:
