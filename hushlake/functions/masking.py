@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def by_type(names: dict[str, str]) -> Policy:
     return lambda span, seed: F.coalesce(F.try_element_at(table, span["type"]), rest)
 
 
+def custom(replace: Callable[[str, str], str]) -> Callable[[Column], Column]:
+    """A user's function of (type, text), for ``mask_with``: called on Arrow batches of the chosen spans, once for each."""
+
+    @F.pandas_udf("array<string>")
+    def replaced(types: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [replace(a, b) for a, b in zip(t, x, strict=True)] for t, x in zip(types, texts, strict=True)])
+
+    return lambda chosen: replaced(F.transform(chosen, lambda s: s["type"]), F.transform(chosen, lambda s: s["text"]))
+
+
 _FIRST = ["Анна", "Борис", "Вера", "Глеб", "Дарья", "Егор", "Жанна", "Захар", "Инна", "Кирилл", "Лидия", "Максим"]
 _LAST = ["Алейник", "Бойко", "Вдовиченко", "Гайдар", "Дубко", "Живаго", "Зима", "Корж", "Лещенко", "Мороз", "Нога", "Остап"]
 _CITIES = ["Тверь", "Омск", "Пермь", "Тула", "Рязань", "Псков", "Курск", "Орёл"]
@@ -54,7 +65,8 @@ def pseudonym(seed: int = 0) -> Policy:
 
     def policy(span: Column, row: Column) -> Column:
         def number(salt: int, low: int, high: int) -> Column:
-            return F.pmod(F.xxhash64(F.lit(seed), row, span["start"], F.lit(salt)), F.lit(high - low + 1)) + low
+            key = F.concat_ws(":", F.lit(str(seed)), row.cast("string"), span["start"].cast("string"), F.lit(str(salt)))
+            return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") % (high - low + 1) + low
 
         def text(salt: int, low: int, high: int) -> Column:
             return number(salt, low, high).cast("string")
@@ -119,6 +131,16 @@ def mask(text: Column, spans: Column, policy: Policy = placeholder, aggressivene
     return F.when(F.size(spans) == 0, text).otherwise(bound(chosen, masked))
 
 
+def mask_with(text: Column, spans: Column, replacements: Column) -> Column:
+    """The text with its spans replaced by an array of as many strings."""
+    def piece(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        return F.concat(F.substring(text, before + 1, s["start"] - before), F.coalesce(F.get(replacements, i), F.lit("")))
+
+    end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, end + 1, F.length(text)))
+
+
 def report(spans: Column, aggressiveness: float = 0.8) -> Column:
     """Spans with their length and whether they are masked."""
     return F.transform(

@@ -6,8 +6,25 @@ and ``(?iU)`` where case does not matter.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+#: What a text must hold, each tested once for all patterns that need it: a string, or else a regular expression.
+GUARDS = {
+    "cyrillic": (None, "[А-Яа-яЁё]"),
+    "digits": (None, r"(?U)\d(?:[-\s()]*+\d){9}"),
+    "dots": (None, r"(?U)\d[./]\d"),
+    "stars": ("****", None),
+    "at": ("@", None),
+    "plus": ("+", None),
+    "web": (None, r"https?://|www\."),
+}
+#: The guards of types whose patterns have no Cyrillic letter.
+GUARD_OF = {
+    "PHONE": "digits", "PASSPORT": "digits", "SNILS": "digits", "INN": "digits", "BANK_CARD": "digits", "PHONE_NUMBER": "digits",
+    "EMAIL": "at", "EMAIL_ADDRESS": "at", "BIRTHDAY": "dots", "IP_ADDRESS": "dots", "URL": "web",
+}
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -22,6 +39,13 @@ class Pattern:
     def java(self) -> str:
         return ("(?iU)" if self.ignore_case else "(?U)") + self.regex
 
+    @property
+    def guard(self) -> str:
+        """The name in GUARDS of what a text must hold to be worth a scan; empty for patterns that are not of this module."""
+        if self.regex not in _OWN:
+            return ""
+        return "cyrillic" if re.search("[А-Яа-яЁё]", self.regex) else "stars" if "*{4}" in self.regex else "plus" if self.regex.startswith(r"\+\s*\d+") else GUARD_OF.get(self.type, "")
+
     @property
     def re2(self) -> str:
         """The same for SQL engines whose character classes are ASCII."""
@@ -120,3 +144,6 @@ TOKEN_RULES = [
     ("ADDRESS", r"\bадрес\s*:\s*\p{L}+"),
     ("ADDRESS", r"\bулица\s+\p{L}+"),
 ]
+
+#: The patterns above, for which the guards hold.
+_OWN = {r for _, r, _ in _CATALOGUE} | {FULL_NAME.regex} | {r for _, _, rs in RECOGNISERS for r in rs} | {r for _, r in TOKEN_RULES}

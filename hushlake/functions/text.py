@@ -37,6 +37,20 @@ def first_place(original: Column, normalised: Column, start: Column, end: Column
     return F.when((at > 0) & (end > start), F.struct((at - 1).alias("start"), (at - 1 + end - start).alias("end")))
 
 
+def place_of(text: Column, value: Column, hint: Column | int = 0) -> Column:
+    """Where a value stands in a text from a place on: as it is, else, where texts agree without their white space's form, without white space at its ends.
+
+    Struct of start and end, or null.
+    """
+    at = F.lit(hint) if isinstance(hint, int) else hint
+    exact = F.call_function("locate", value, text, at + 1) - 1
+    single = lambda c: strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    bare = strip(value)
+    loose = F.when(F.call_function("locate", single(value), single(text), at + 1) > 0, F.call_function("locate", bare, text, at + 1) - 1).otherwise(-1)
+    span = lambda start, v: F.struct(start.alias("start"), (start + F.length(v)).alias("end"))
+    return F.when(exact >= 0, span(exact, value)).when(loose >= 0, span(loose, bare))
+
+
 def may_hold_personal_data(text: Column) -> Column:
     """The quick screen: any of a few loose patterns. Null text: false."""
     out = F.lit(False)

@@ -1,6 +1,9 @@
 """Dialog datasets: normalising, validating, describing, merging, splitting and sharding.
 
 A dialog is a row of text, entities (array of start, end, type, text), has_pd, description, id.
+
+Defined results: null entities are none and a null has_pd is false; rows that repeat an id are dialogs of their own; counts of an empty dataset
+are 0, its means null; other columns stay where rows are returned, but for those named like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -8,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import packed, unpacked
 from ..functions.text import strip
 from ..scratch import written
 
@@ -23,10 +27,15 @@ def repaired_entity(entity: Column, text: Column) -> Column:
     return F.when(whole & (strip(cut) == strip(entity["text"])), fixed.cast(ENTITY))
 
 
-def normalise_dialogs(dialogs: DataFrame) -> DataFrame:
-    """Dialogs with a text; only valid entities; has_pd says whether any is left; defaults for description and id."""
+def normalise_dialogs(dialogs: DataFrame, default_id: Column | None = None) -> DataFrame:
+    """Dialogs with a text; only valid entities; has_pd says whether any is left; an empty description for none.
+
+    ``default_id`` stands in for a missing id, as the place of a dialog in its batch or file; without it, ids stay as they are.
+    """
     repaired = F.filter(F.transform(F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")), lambda e: repaired_entity(e, F.col("text"))), lambda e: e.isNotNull())
     kept = dialogs.where("text IS NOT NULL").withColumn("entities", repaired)
+    if default_id is not None:
+        kept = kept.withColumn("id", F.coalesce(F.col("id"), default_id.cast("long")))
     return kept.withColumn("has_pd", F.size("entities") > 0).withColumn("description", F.coalesce("description", F.lit("")))
 
 
@@ -36,24 +45,34 @@ def valid_dialog(text: Column, entities: Column, has_pd: Column, id_: Column) ->
     return text.isNotNull() & has_pd.isNotNull() & id_.isNotNull() & entities.isNotNull() & F.coalesce(fields, F.lit(False))
 
 
+def _grains(dialogs: DataFrame) -> DataFrame:
+    """A row for each type (n), and one of a null type for the dialogs (n, with_pd), from one pass over them."""
+    one = F.struct(F.lit(None).cast("string").alias("type"), F.lit(1).cast("long").alias("n"), F.coalesce("has_pd", F.lit(False)).cast("long").alias("with_pd"))
+    each = F.transform(F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")), lambda e: F.struct(F.coalesce(e["type"], F.lit("UNKNOWN")).alias("type"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("with_pd")))
+    return dialogs.select(F.inline(F.concat(F.array(one), each))).groupBy("type").agg(F.sum("n").alias("n"), F.sum("with_pd").alias("with_pd"))
+
+
 def dataset_stats(dialogs: DataFrame) -> DataFrame:
     """One row: total_dialogs, dialogs_with_pd, dialogs_without_pd, pd_percentage, total_entities, entity_types (map)."""
-    one = dialogs.agg(
-        F.count(F.lit(1)).alias("total_dialogs"),
-        F.count_if(F.coalesce("has_pd", F.lit(False))).alias("dialogs_with_pd"),
-        F.coalesce(F.sum(F.size(F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")))), F.lit(0)).alias("total_entities"),
-    )
-    types = type_histogram(dialogs).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("entity_types"))
+    return _stats(_grains(dialogs))
+
+
+def _stats(grains: DataFrame) -> DataFrame:
+    of_all, of_type = F.col("type").isNull(), F.col("type").isNotNull()
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
+    listed = F.array_sort(F.collect_list(F.when(of_type, F.struct("type", "n"))))  # an entry for each type
+    one = grains.agg(total("n", of_all).alias("total_dialogs"), total("with_pd", of_all).alias("dialogs_with_pd"), total("n", of_type).alias("total_entities"), F.map_from_entries(listed).alias("entity_types"))
     share = F.coalesce(F.try_divide(F.col("dialogs_with_pd") * 100.0, F.col("total_dialogs")), F.lit(0.0))
-    return one.join(types, how="left").select(
+    return one.select(
         "total_dialogs", "dialogs_with_pd", (F.col("total_dialogs") - F.col("dialogs_with_pd")).alias("dialogs_without_pd"),
         share.alias("pd_percentage"), "total_entities", "entity_types",
     )
 
 
 def type_histogram(dialogs: DataFrame) -> DataFrame:
-    """type, n; a missing type is UNKNOWN."""
-    return dialogs.select(F.explode("entities").alias("e")).groupBy(F.coalesce("e.type", F.lit("UNKNOWN")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    """type, n, most frequent first; a missing type is UNKNOWN."""
+    types = dialogs.select(F.explode("entities").alias("e")).groupBy(F.coalesce("e.type", F.lit("UNKNOWN")).alias("type"))
+    return types.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type")
 
 
 def length_stats(dialogs: DataFrame) -> DataFrame:
@@ -74,33 +93,29 @@ def compare_datasets(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def report_lines(dialogs: DataFrame) -> DataFrame:
-    """The text report: a row for each line, in order of ``line_no``."""
-    stats = dataset_stats(dialogs)
-    head = stats.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("line_no"), F.format_string("dialogs: %d", "total_dialogs").alias("line")),
-                F.struct(F.lit(1).alias("line_no"), F.format_string("with personal data: %d (%.1f%%)", "dialogs_with_pd", "pd_percentage").alias("line")),
-                F.struct(F.lit(2).alias("line_no"), F.format_string("entities: %d", "total_entities").alias("line")),
-            )
-        ).alias("x")
-    ).select("x.line_no", "x.line")
-    every = Window.partitionBy(F.lit(0))  # a row for each type
-    share = F.try_divide(F.col("n") * 100.0, F.sum("n").over(every))
-    rows = type_histogram(dialogs).select((F.row_number().over(Window.orderBy("type")) + 2).alias("line_no"), F.format_string("  %s: %d (%.1f%%)", "type", "n", share).alias("line"))
+    """The text report: a row for each line, in order of ``line_no``. The dialogs are read once."""
+    lengths = [F.sum(F.length("text")).alias("chars"), F.count("text").alias("texts"), F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest")]
+    grains = written(_grains(dialogs), "grains")  # a row for each type
+    stats = _stats(grains).join(dialogs.agg(*lengths), how="left")  # one row each
+    mean = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    heads = [
+        F.format_string("dialogs: %d", "total_dialogs"),
+        F.format_string("with personal data: %d (%.1f%%)", "dialogs_with_pd", "pd_percentage"),
+        F.format_string("entities: %d", "total_entities"),
+        F.format_string("entities a dialog: %.1f", mean("total_entities", "total_dialogs")),
+        F.format_string("characters a dialog: %.0f, %d to %d", mean("chars", "texts"), F.coalesce("shortest", F.lit(0)), F.coalesce("longest", F.lit(0))),
+    ]
+    head = stats.select(F.posexplode(F.array(*heads)).alias("line_no", "line"))
+    types = grains.where("type IS NOT NULL")
+    share = F.try_divide(F.col("n") * 100.0, F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row for each type
+    rows = types.select((F.row_number().over(Window.orderBy("type")) + len(heads) - 1).alias("line_no"), F.format_string("  %s: %d (%.1f%%)", "type", "n", share).alias("line"))
     return head.unionByName(rows)
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "id", start: int = 1) -> DataFrame:
     """Adds consecutive numbers in the given order without one task seeing all rows; a column named ``out`` is replaced."""
     rows, _ = _numbered(df, [F.col(f"`{c}`") for c in order])
-    return rows.select(*_fields(df, out), (F.col("number") + (start - 1)).alias(out))
-
-
-def _fields(df: DataFrame, *without: str) -> list[Column]:
-    """The columns of a struct ``row``, but for those named (without regard to case)."""
-    taken = {c.lower() for c in without}
-    return [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in taken]
+    return unpacked(rows, df.columns, {out: F.col("number") + (start - 1)})
 
 
 def _numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
@@ -111,8 +126,8 @@ def _numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
     dealt apart by a hash of the row; rows that are equal in that too have any order, and keep it.
     """
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    rest = F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("rest")
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(f"k{i}") for i, c in enumerate(order)], rest)
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    keyed = packed(df, **{f"k{i}": c for i, c in enumerate(order)}, rest=rest)
     by = [*[f"k{i}" for i in range(len(order))], "rest"]
     # The number that Spark gives here is the partition's in its upper bits and the row's in the lower 33.
     placed = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("row", F.monotonically_increasing_id().alias("at"))
@@ -142,8 +157,8 @@ def split_dataset(dialogs: DataFrame, train_ratio: float = 0.7, seed: int = 42)
     rows = dialogs.drop("original_id").withColumnRenamed("id", "original_id")
     shuffled, n = _numbered(rows, [shuffle_key(F.col("original_id"), seed), F.col("original_id")])
     cut = int(n * train_ratio)
-    train = shuffled.where(F.col("number") <= cut).select(*_fields(rows), F.col("number").alias("id"))
-    return train, shuffled.where(F.col("number") > cut).select(*_fields(rows), (F.col("number") - cut).alias("id"))
+    train = unpacked(shuffled.where(F.col("number") <= cut), rows.columns, {"id": F.col("number")})
+    return train, unpacked(shuffled.where(F.col("number") > cut), rows.columns, {"id": F.col("number") - cut})
 
 
 def shuffle_key(id_: Column, seed: int = 42) -> Column:
@@ -155,7 +170,7 @@ def shards(dialogs: DataFrame, size: int = 50, order: str = "id") -> DataFrame:
     placed, n = _numbered(dialogs, [F.col(f"`{order}`")])
     shard = F.floor((F.col("number") - 1) / size) + 1
     label = F.concat(((shard - 1) * size + 1).cast("string"), F.lit("-"), F.least(shard * size, F.lit(n)).cast("string"))
-    return placed.select(*_fields(dialogs, "place", "shard", "dialog_range"), F.col("number").alias("place"), shard.cast("long").alias("shard"), label.alias("dialog_range"))
+    return unpacked(placed, dialogs.columns, {"place": F.col("number"), "shard": shard.cast("long"), "dialog_range": label})
 
 
 def merge_metadata(metadata: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Detectors: each adds a column of resolved spans to a DataFrame.
 
 Rule detectors are Spark expressions. Model detectors take any Python callable over a list of texts; it is made
-once in each Python worker and called on Arrow batches.
+once in each Python worker and called with the texts of an Arrow batch at a time.
+
+Defined results: the spans of a null text are null, those of an empty text are none; rows are independent, so repeated rows and keys
+do not matter; an empty table stays empty. All columns of the input stay, but for one named like an output, which is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, spans
-from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, FULL_NAME_ABOVE, PRIORITY, RECOGNISERS, TOKEN_RULES, Pattern
+from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, FULL_NAME_ABOVE, GUARDS, PRIORITY, RECOGNISERS, TOKEN_RULES, Pattern
+from ..functions.rows import packed, unpacked
 from ..functions.text import first_place, likely_name, normalise
 
 PREDICTION = "array<struct<start:int,end:int,label:string,score:double,text:string>>"
@@ -22,18 +26,35 @@ Predict = Callable[[list[str]], list[list[dict]]]
 
 
 class Detector:
-    """``detect`` adds ``out``, an array of spans in order and apart; the spans of a null text are null."""
+    """``detect`` adds ``out``, an array of spans in order and apart, and ``error`` if it is named: why the detector failed on the text, or null."""
 
     name = "detector"
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+        """From rows with a text ``t`` the rows with more columns, and the spans and the error as expressions over them."""
         raise NotImplementedError
 
+    def detect(self, df: DataFrame, text: str = "text", out: str = "spans", error: str | None = None) -> DataFrame:
+        made, value, failed = self.found(packed(df, t=F.col(f"`{text}`").cast("string")))
+        return unpacked(made, df.columns, {out: value} | ({error: failed} if error else {}))
+
+
+def _no_error() -> Column:
+    return F.lit(None).cast("string")
+
 
-def _fenced(df: DataFrame, out: str, value: Column, drop: list[str]) -> DataFrame:
-    """Adds a column behind a generator of one row, so filters on it are not copied into its expression."""
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in {*drop, out}]
-    return df.select(F.inline(F.array(F.struct(*keep, value.alias(out)))))
+def _guarded(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Adds ``has_<guard>`` for the guards that patterns need: a text without such a thing skips them all."""
+    for name in dict.fromkeys(p.guard for p in patterns):
+        if name:
+            string, regex = GUARDS[name]
+            rows = rows.withColumn(f"has_{name}", F.contains("t", F.lit(string)) if string else F.regexp_like("t", F.lit(regex)))
+    return rows
+
+
+def _find(p: Pattern, priority: int = 1) -> Column:
+    hits = spans.find(F.col("t"), p.java, p.type, p.order, priority)
+    return F.when(~F.col(f"has_{p.guard}"), spans.none()).otherwise(hits) if p.guard else hits
 
 
 @dataclass
@@ -49,72 +70,104 @@ class PatternDetector(Detector):
     keep_extent: bool = False
     name: str = "regexp"
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
         chosen = [p for p in self.patterns if self.types is None or p.type in self.types]
-        found = lambda ps: F.concat(spans.none(), *[spans.find(F.col(text), p.java, p.type, p.order, PRIORITY.get(p.type, 1)) for p in ps])
-        before = df.withColumn("_before", found([p for p in chosen if p.type not in AFTER_NAMES]))
-        names = spans.none()
-        if max(0.0, min(1.0, self.aggressiveness)) > FULL_NAME_ABOVE and (self.types is None or FULL_NAME.type in self.types):
-            names = spans.find(F.col(text), FULL_NAME.java, FULL_NAME.type, FULL_NAME.order, PRIORITY[FULL_NAME.type])
-        both = before.withColumn("_names", names).withColumn("_after", found([p for p in chosen if p.type in AFTER_NAMES]))
-        apart = F.filter("_names", lambda n: ~F.exists("_before", lambda b: spans.overlaps(n, b)))
-        everything = both.withColumn("_all", F.concat("_before", apart, "_after"))
+        full = max(0.0, min(1.0, self.aggressiveness)) > FULL_NAME_ABOVE and (self.types is None or FULL_NAME.type in self.types)
+        rows = _guarded(rows, [*chosen, *([FULL_NAME] if full else [])])
+        hits = lambda ps: F.concat(spans.none(), *[_find(p, PRIORITY.get(p.type, 1)) for p in ps])
+        before = rows.withColumn("before", hits([p for p in chosen if p.type not in AFTER_NAMES]))
+        names = _find(FULL_NAME, PRIORITY[FULL_NAME.type]) if full else spans.none()
+        both = before.withColumn("names", names).withColumn("after", hits([p for p in chosen if p.type in AFTER_NAMES]))
+        apart = F.filter("names", lambda n: ~F.exists("before", lambda b: spans.overlaps(n, b)))
         resolve = spans.union_of_overlaps if self.keep_extent else spans.resolve_by_priority
-        return _fenced(everything, out, spans.plain(resolve(F.col("_all"))), ["_before", "_names", "_after", "_all"])
+        every = both.withColumn("every", F.concat("before", apart, "after"))
+        value = F.when(F.size("every") == 0, spans.none(spans.SPAN)).otherwise(spans.plain(resolve(F.col("every"))))
+        return every, F.when(F.col("t").isNotNull(), value), _no_error()
 
 
 @dataclass
 class RecogniserDetector(Detector):
-    """Scored recognisers; ``out`` has a score too. Overlaps go to the longest of the leftmost."""
+    """Scored recognisers; ``out`` has a score too. Overlaps go to the longest of the leftmost.
+
+    ``recognisers``: (type, score, regular expressions), tried in this order; PERSON matches must be likely names.
+    """
 
     types: list[str] | None = None
+    recognisers: list[tuple[str, float, list[str]]] = field(default_factory=lambda: RECOGNISERS)
     name: str = "recognisers"
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-        found, order, scores = [spans.none()], 0, {}
-        for type_, score, regexes in RECOGNISERS:
-            if self.types is not None and type_ not in self.types:
-                continue
-            scores[type_] = score
-            for regex in regexes:
-                hits = spans.find(F.col(text), "(?U)" + regex, type_, order)
-                found.append(F.filter(hits, lambda h: likely_name(h["text"])) if type_ == "PERSON" else hits)
-                order += 1
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+        patterns, scores = [], {}
+        for type_, score, regexes in self.recognisers:
+            if self.types is None or type_ in self.types:
+                scores[type_] = score
+                patterns += [Pattern(type_, regex, False, len(patterns) + n) for n, regex in enumerate(regexes)]
+        rows = _guarded(rows, patterns)
+        hits = [F.filter(_find(p), lambda h: likely_name(h["text"])) if p.type == "PERSON" else _find(p) for p in patterns]
         table = F.create_map(*[F.lit(x) for pair in (scores or {"": 0.0}).items() for x in pair])
-        scored = df.withColumn("_all", F.concat(*found))
+        every = rows.withColumn("every", F.concat(spans.none(), *hits))
         kept = F.transform(
-            spans.resolve_by_length(F.col("_all")),
+            spans.resolve_by_length(F.col("every")),
             lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", "type", "text")], F.try_element_at(table, s["type"]).alias("score")),
         )
-        return _fenced(scored, out, kept, ["_all"])
+        return every, F.when(F.col("t").isNotNull(), kept), _no_error()
 
 
 @dataclass
 class TokenRuleDetector(Detector):
     """The token rules as patterns, leftmost-longest. Words are runs of letters or digits: a tokeniser may cut rare cases otherwise."""
 
+    rules: list[tuple[str, str]] = field(default_factory=lambda: TOKEN_RULES)
     name: str = "spacy_rules"
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-        found = [spans.find(F.col(text), "(?iU)" + regex, type_, n) for n, (type_, regex) in enumerate(TOKEN_RULES)]
-        return _fenced(df.withColumn("_all", F.concat(*found)), out, spans.plain(spans.resolve_by_length(F.col("_all"))), ["_all"])
-
-
-def predictions(make: Callable[[], Predict], text: Column) -> Column:
-    """A model's predictions for each text. ``make`` is called once in a worker; a text on which it fails has none."""
+    def candidates(self, rows: DataFrame) -> tuple[DataFrame, Column]:
+        patterns = [Pattern(type_, regex, True, n) for n, (type_, regex) in enumerate(self.rules)]
+        return _guarded(rows, patterns), F.concat(spans.none(), *[_find(p) for p in patterns])
+
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+        rows, hits = self.candidates(rows)
+        every = rows.withColumn("every", hits)
+        return every, F.when(F.col("t").isNotNull(), spans.plain(spans.resolve_by_length(F.col("every")))), _no_error()
+
+
+def _asked(model: Callable[[list[str]], list], texts: list[str], none) -> list[tuple[object, str | None]]:
+    """A model's answer for each text. If it fails on all together, it is asked one by one; a text on which it fails has ``none`` and the error."""
+    try:
+        answers = list(model(texts)) if texts else []
+        if len(answers) == len(texts):
+            return [(a, None) for a in answers]
+    except Exception:  # noqa: BLE001 - asked again below, where each failure is kept as the text's error
+        pass
+    out = []
+    for t in texts:
+        try:
+            out.append((model([t])[0], None))
+        except Exception as e:  # noqa: BLE001 - one text must not end the job: its error is a result
+            out.append((none, f"{type(e).__name__}: {e}"))
+    return out
+
+
+def predictions(make: Callable[[], Predict], text: Column, batch: int = 64) -> Column:
+    """A model's predictions for each text, as a struct of ``found`` and ``error``.
+
+    ``make`` is called once in a worker, the model with ``batch`` texts at a time; null and empty texts are not sent.
+    """
 
-    @F.pandas_udf(PREDICTION)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"struct<found:{PREDICTION},error:string>")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
-        for texts in batches:
-            out = []
-            for t in texts:
-                try:
-                    rows = model([t])[0] if t else []
-                except Exception:  # a detector that fails on one text must not end the job; the text has no spans
-                    rows = []
-                out.append([{"start": int(r["start"]), "end": int(r["end"]), "label": r["label"], "score": float(r.get("score", 1.0)), "text": r.get("text", t[int(r["start"]) : int(r["end"])])} for r in rows])
-            yield pd.Series(out)
+        for series in batches:
+            texts = series.tolist()
+            sent, found, errors = [i for i, t in enumerate(texts) if t], [[] for _ in texts], [None] * len(texts)
+            for k in range(0, len(sent), batch):
+                part = sent[k : k + batch]
+                for i, (rows, error) in zip(part, _asked(model, [texts[i] for i in part], []), strict=True):
+                    t, errors[i] = texts[i], error
+                    found[i] = [
+                        {"start": int(r["start"]), "end": int(r["end"]), "label": r["label"], "score": float(r.get("score", 1.0)), "text": r.get("text", t[int(r["start"]) : int(r["end"])])}
+                        for r in rows
+                    ]
+            yield pd.DataFrame({"found": found, "error": errors})
 
     return predict(text)
 
@@ -126,29 +179,71 @@ def _candidates(found: Column, mapper: Callable[[Column], Column], least_score:
     return F.transform(good, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "order", "priority", "type", "text")])).cast(f"array<{spans.CANDIDATE}>")
 
 
+def _longest(rows: DataFrame, found: list[Column], errors: list[Column]) -> tuple[DataFrame, Column, Column]:
+    """Leftmost-longest over several arrays of candidates; the errors that there are, joined."""
+    every = rows.withColumn("every", F.concat(spans.none(), *found).cast(f"array<{spans.CANDIDATE}>"))
+    failed = F.nullif(F.concat_ws("; ", *errors), F.lit("")) if errors else _no_error()
+    return every, F.when(F.col("t").isNotNull(), spans.plain(spans.resolve_by_length(F.col("every")))), failed
+
+
 @dataclass
 class ModelDetector(Detector):
-    """One model, or several whose spans are united: of equal spans the first model's wins."""
+    """One model, or several whose spans are united: of equal spans the first model's wins.
+
+    ``fallback`` makes the model of a worker in which a maker fails; without it, the maker's error ends the job.
+    """
 
     makers: list[Callable[[], Predict]]
     labels: str = "bert"
     least_score: float | None = 0.5
     name: str = "bert"
+    fallback: Callable[[], Predict] | None = None
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-        made = df
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
         for k, make in enumerate(self.makers):
-            made = made.withColumn(f"_model{k}", predictions(make, F.col(text)))
-        mapper = labels.MAPPERS[self.labels]
-        found = F.concat(*[_candidates(F.col(f"_model{k}"), mapper, self.least_score, k) for k in range(len(self.makers))])
-        joined = made.withColumn("_all", found)
-        value = F.when(F.col(text).isNotNull(), spans.plain(spans.resolve_by_length(F.col("_all"))))
-        return _fenced(joined, out, value, ["_all", *[f"_model{k}" for k in range(len(self.makers))]])
+            rows = rows.withColumn(f"model{k}", predictions(with_fallback(make, self.fallback), F.col("t")))
+        every = range(len(self.makers))
+        return _longest(rows, [_candidates(F.col(f"model{k}.found"), labels.MAPPERS[self.labels], self.least_score, k) for k in every], [F.col(f"model{k}.error") for k in every])
+
+
+def with_fallback(make: Callable[[], Predict], fallback: Callable[[], Predict] | None) -> Callable[[], Predict]:
+    """A maker that makes the fallback's model where ``make`` fails, as a blank model stands in for one that is not installed."""
+    if fallback is None:
+        return make
+
+    def either() -> Predict:
+        try:
+            return make()
+        except Exception:  # noqa: BLE001 - the caller has named what to use instead
+            return fallback()
+
+    return either
+
+
+def blank_model() -> Predict:
+    """A model that finds nothing."""
+    return lambda texts: [[] for _ in texts]
+
+
+@dataclass
+class RulesAndModelDetector(Detector):
+    """The token rules and a model's entities in one: leftmost-longest over both, ties to the model."""
+
+    make: Callable[[], Predict]
+    labels: str = "spacy"
+    rules: list[tuple[str, str]] = field(default_factory=lambda: TOKEN_RULES)
+    name: str = "spacy"
+    fallback: Callable[[], Predict] | None = field(default=lambda: blank_model())
+
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+        rows = rows.withColumn("model", predictions(with_fallback(self.make, self.fallback), F.col("t")))
+        rows, hits = TokenRuleDetector(self.rules).candidates(rows)
+        return _longest(rows, [_candidates(F.col("model.found"), labels.MAPPERS[self.labels], None, -1), hits], [F.col("model.error")])
 
 
 @dataclass
 class StagedDetector(Detector):
-    """Stages of one detector, each a model on the normalised or on the original text; a failing stage adds nothing.
+    """Stages of one detector, each a model on the normalised or on the original text; a failing stage adds nothing but its error.
 
     Spans on the normalised text are moved to the first place where their text stands in the original.
     """
@@ -157,22 +252,19 @@ class StagedDetector(Detector):
     labels: str = "natasha"
     name: str = "natasha"
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-        made = df.withColumn("_normal", normalise(F.col(text)))
-        found = []
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+        rows, found, text = rows.withColumn("normal", normalise(F.col("t"))), [], F.col("t")
         for k, (make, on_normalised) in enumerate(self.stages):
-            made = made.withColumn(f"_stage{k}", predictions(make, F.col("_normal" if on_normalised else text)))
-            stage = _candidates(F.col(f"_stage{k}"), labels.MAPPERS[self.labels], None, k)
+            rows = rows.withColumn(f"stage{k}", predictions(make, F.col("normal" if on_normalised else "t")))
+            stage = _candidates(F.col(f"stage{k}.found"), labels.MAPPERS[self.labels], None, k)
             if on_normalised:
-                placed = F.transform(stage, lambda c: F.struct(c.alias("c"), first_place(F.col(text), F.col("_normal"), c["start"], c["end"]).alias("p")))
+                placed = F.transform(stage, lambda c: F.struct(c.alias("c"), first_place(text, F.col("normal"), c["start"], c["end"]).alias("p")))
                 stage = F.transform(
                     F.filter(placed, lambda x: x["p"].isNotNull()),
-                    lambda x: F.struct(x["p"]["start"].alias("start"), x["p"]["end"].alias("end"), x["c"]["order"].alias("order"), x["c"]["priority"].alias("priority"), x["c"]["type"].alias("type"), F.substring(F.col(text), x["p"]["start"] + 1, x["p"]["end"] - x["p"]["start"]).alias("text")),
+                    lambda x: F.struct(x["p"]["start"].alias("start"), x["p"]["end"].alias("end"), x["c"]["order"].alias("order"), x["c"]["priority"].alias("priority"), x["c"]["type"].alias("type"), F.substring(text, x["p"]["start"] + 1, x["p"]["end"] - x["p"]["start"]).alias("text")),
                 )
             found.append(stage)
-        joined = made.withColumn("_all", F.concat(*found).cast(f"array<{spans.CANDIDATE}>"))
-        value = F.when(F.col(text).isNotNull(), spans.plain(spans.resolve_by_length(F.col("_all"))))
-        return _fenced(joined, out, value, ["_all", "_normal", *[f"_stage{k}" for k in range(len(self.stages))]])
+        return _longest(rows, found, [F.col(f"stage{k}.error") for k in range(len(self.stages))])
 
 
 def decode_bio(text: Column, tokens: Column, tags: Column, mapper: Callable[[Column], Column] = labels.deeppavlov) -> Column:
@@ -219,34 +311,36 @@ class TaggerDetector(Detector):
     makers: list[Callable[[], Callable[[list[str]], tuple[list, list]]]]
     name: str = "deeppavlov"
 
-    def detect(self, df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-        made, found = df, []
+    def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
         for k, make in enumerate(self.makers):
-            made = made.withColumn(f"_tags{k}", _tagged(make, F.col(text)))
-            made = made.withColumn(f"_bio{k}", decode_bio(F.col(text), F.col(f"_tags{k}.tokens"), F.col(f"_tags{k}.tags")))
-            found.append(F.col(f"_bio{k}"))
-        joined = made.withColumn("_all", F.concat(*found))
-        value = F.when(F.col(text).isNotNull(), spans.plain(spans.resolve_by_length(F.col("_all"))))
-        extra = [f"_{kind}{k}" for kind in ("tags", "bio") for k in range(len(self.makers))]
-        return _fenced(joined, out, value, ["_all", *extra])
+            rows = rows.withColumn(f"tags{k}", _tagged(make, F.col("t")))
+        every = range(len(self.makers))
+        return _longest(rows, [decode_bio(F.col("t"), F.col(f"tags{k}.tokens"), F.col(f"tags{k}.tags")) for k in every], [F.col(f"tags{k}.error") for k in every])
+
 
+def _tagged(make, text: Column, batch: int = 64) -> Column:
+    """A tagger's tokens and tags of each text, called and with errors as ``predictions``."""
 
-def _tagged(make, text: Column) -> Column:
-    @F.pandas_udf("struct<tokens:array<string>,tags:array<string>>")
+    @F.pandas_udf("struct<tokens:array<string>,tags:array<string>,error:string>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for texts in batches:
-            rows = []
-            for t in texts:
-                try:
-                    tokens, tags = model([t]) if t else ([[]], [[]])
-                    rows.append((list(tokens[0]), list(tags[0])))
-                except Exception:  # as for predictions: the text has no spans
-                    rows.append(([], []))
-            yield pd.DataFrame(rows, columns=["tokens", "tags"])
+        tagger = make()
+        pairs = lambda texts: list(zip(*tagger(texts), strict=True))
+        for series in batches:
+            texts = series.tolist()
+            sent, rows = [i for i, t in enumerate(texts) if t], [([], [], None) for _ in texts]
+            for k in range(0, len(sent), batch):
+                part = sent[k : k + batch]
+                for i, ((tokens, tags), error) in zip(part, _asked(pairs, [texts[i] for i in part], ([], [])), strict=True):
+                    rows[i] = (list(tokens), list(tags), error)
+            yield pd.DataFrame(rows, columns=["tokens", "tags", "error"])
 
     return tag(text)
 
 
 #: Detectors that need no model, by name.
 REGISTRY: dict[str, Callable[[], Detector]] = {"regexp": PatternDetector, "recognisers": RecogniserDetector, "spacy_rules": TokenRuleDetector}
+
+
+def register(name: str, make: Callable[[], Detector]) -> None:
+    """Add a detector of one's own by name."""
+    REGISTRY[name] = make

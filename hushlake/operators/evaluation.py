@@ -1,17 +1,20 @@
 """Scoring predicted spans against annotated ones: exact, one character off, or by overlap; per type, micro and macro.
 
 Spans are rows of scope, start, end, type. The scope is a document, or one constant for all of them ("pooled",
-where equal spans of different texts collapse). Greedy matching follows start and end, so results repeat.
+where equal spans of different texts collapse). Matching is one-to-one and greedy: gold spans in order of start and end take the best
+prediction that is left. It is done in rounds of joins: a gold span whose best prediction no earlier one could take is matched
+at once, so a round settles all that do not wait for each other, and no group of spans meets in one task.
+
+Defined results: repeated spans count once; spans without a scope, start, end or type match nothing, but count; rates of an empty side are 0.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from ..scratch import release, written
 
 KEYS = ["scope", "start", "end", "type"]
 #: Fixed value: most characters between persons' spans that are one person.
@@ -35,39 +38,47 @@ def near(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colu
     return F.abs(a_start - b_start) + F.abs(a_end - b_end) <= 1
 
 
-def _greedy(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches of candidate pairs: each gold span in order takes its best free prediction, then the first."""
+#: Overlapping spans meet in stretches of so many characters.
+STRETCH = 64
+GOLD, GUESS = ["scope", "type", "start", "end"], ["scope", "type", "p_start", "p_end"]
 
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end", "score", "p_start", "p_end"], ascending=[True, True, False, True, True])
-        gold, taken, out = set(), set(), []
-        for r in rows.itertuples():
-            if (r.start, r.end) not in gold and (r.p_start, r.p_end) not in taken:
-                gold.add((r.start, r.end))
-                taken.add((r.p_start, r.p_end))
-                out.append((*key, r.start, r.end, r.p_start, r.p_end))
-        return pd.DataFrame(out, columns=["scope", "type", "start", "end", "p_start", "p_end"])
 
-    return pairs.groupBy("scope", "type").applyInPandas(match, "scope string, type string, start long, end long, p_start long, p_end long")
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches (GOLD and p_start, p_end) of candidate pairs with a score: each gold span in order takes its best free prediction, then the first."""
+    left, matches = written(pairs, "pairs"), []
+    while not left.isEmpty():
+        best = left.groupBy(GOLD).agg(F.max(F.struct("score", (-F.col("p_start")).alias("a"), (-F.col("p_end")).alias("b"))).alias("best"))
+        best = best.select(*GOLD, (-F.col("best.a")).alias("p_start"), (-F.col("best.b")).alias("p_end"))
+        first = left.groupBy(GUESS).agg(F.min(F.struct("start", "end")).alias("first"))
+        settled = best.join(first, GUESS).where((F.col("start") == F.col("first.start")) & (F.col("end") == F.col("first.end"))).select(*GOLD, "p_start", "p_end")
+        matches.append(written(settled, "matches"))
+        rest = written(left.join(matches[-1].select(GOLD), GOLD, "left_anti").join(matches[-1].select(GUESS), GUESS, "left_anti"), "pairs")
+        release(left)
+        left = rest
+    out = pairs.sparkSession.createDataFrame([], "scope string, type string, start long, end long, p_start long, p_end long")
+    for some in matches:
+        out = out.unionByName(some)
+    return out
 
 
 def _labelled(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Each distinct span with whether it is in gold and in predicted. All uses of it share one shuffle."""
+    """Each distinct span with whether it is in gold and in predicted, as a written table: what makes the spans runs once."""
     sides = gold.select(*KEYS, F.lit(1).alias("gold"), F.lit(0).alias("predicted")).unionByName(predicted.select(*KEYS, F.lit(0).alias("gold"), F.lit(1).alias("predicted")))
-    return sides.groupBy(KEYS).agg(F.max("gold").alias("gold"), F.max("predicted").alias("predicted"))
+    return written(sides.groupBy(KEYS).agg(F.max("gold").alias("gold"), F.max("predicted").alias("predicted")), "labelled")
 
 
 def _not_exact(both: DataFrame, threshold: float) -> DataFrame:
     """Greedy matches: of spans without an exact partner at threshold 1, and of all spans below."""
     if threshold < 1.0:
         g, p = both.where("gold = 1"), both.where("predicted = 1")
-    else:
-        g, p = both.where("gold = 1 AND predicted = 0"), both.where("gold = 0 AND predicted = 1")
+        # Spans that overlap share the stretch in which the later one starts.
+        in_stretches = lambda df: df.select(*KEYS, F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.greatest("end", F.col("start") + 1) - 1) / STRETCH))).alias("stretch"))
+        places = in_stretches(p).select("scope", "type", "stretch", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+        met = in_stretches(g).join(places, ["scope", "type", "stretch"]).where((F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end")))
+        once = met.where(F.col("stretch") == F.floor(F.greatest("start", "p_start") / STRETCH)).drop("stretch")
+        return _greedy(once.withColumn("score", overlap_score(*map(F.col, ("start", "end", "p_start", "p_end")))).where(F.col("score") >= threshold))
+    g, p = both.where("gold = 1 AND predicted = 0"), both.where("gold = 0 AND predicted = 1")
     places = p.select("scope", "type", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    if threshold < 1.0:
-        pairs = g.select(KEYS).join(places, ["scope", "type"]).where((F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end")))
-        scored = pairs.withColumn("score", overlap_score(*map(F.col, ("start", "end", "p_start", "p_end"))))
-        return _greedy(scored.where(F.col("score") >= threshold))
     shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
     moved = g.select(*KEYS, shifts.alias("shift")).select(*KEYS, (F.col("start") + F.col("shift.a")).alias("p_start"), (F.col("end") + F.col("shift.b")).alias("p_end"))
     return _greedy(moved.join(places, ["scope", "type", "p_start", "p_end"], "left_semi").withColumn("score", F.lit(0.0)))
@@ -75,8 +86,6 @@ def _not_exact(both: DataFrame, threshold: float) -> DataFrame:
 
 def match_spans(gold: DataFrame, predicted: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Matched spans: scope, type, start, end of the gold span, p_start, p_end. At threshold 1: exact ones, then near ones; below: by overlap.
-
-    Only candidate pairs reach the greedy step, so a group holds a type's near misses in one scope.
     """
     both = _labelled(gold, predicted)
     found = _not_exact(both, threshold)

@@ -1,7 +1,14 @@
-"""Plans of synthetic dialogs: sampled configurations, batches, prompts, a model's replies and their repair."""
+"""Plans of synthetic dialogs: sampled configurations, batches, prompts, a model's replies and their repair.
+
+A model's replies cannot be repeated, so they are written before anything looks at them: each prompt is sent once, and a batch
+that needs repair once more, however often the results are read.
+
+Defined results: a plan of no dialogs is empty; a batch without a prompt fails; a null or unreadable reply holds no dialogs.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import may_hold_personal_data
+from ..scratch import written
 from .datasets import ENTITY, normalise_dialogs
 
 # Weights of each choice, sizes of batches, and percentages.
@@ -58,13 +66,42 @@ def sample_configs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     )
 
 
+#: Batches whose sizes are added up together.
+RUN = 10_000
+
+
 def plan_batches(spark: SparkSession, total: int, most: int = 50, seed: int = 42) -> DataFrame:
-    """Batches whose sizes add up to ``total``, none above ``most``: the last one takes what is left."""
+    """Batches whose sizes add up to ``total``, none above ``most``: the last one takes what is left.
+
+    A batch's place is the sum of the runs before its own, one number a run, and of the batches before it in its run.
+    """
     least = min(min(BATCH_SIZES), most)
     configs = sample_configs(spark, -(-total // least) if total > 0 else 0, seed).withColumn("batch_size", F.least("batch_size", F.lit(most)))
-    before = F.coalesce(F.sum("batch_size").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    planned = configs.withColumn("before", before).where(F.col("before") < total)
-    return planned.withColumn("batch_size", F.least(F.col("batch_size"), F.lit(total) - F.col("before")).cast("int")).drop("before")
+    run = F.floor(F.col("batch") / RUN)
+    before, offsets = 0, []
+    for r in configs.groupBy(run.alias("run")).agg(F.sum("batch_size").alias("n")).orderBy("run").collect():
+        offsets.append((r.run, before))
+        before += r.n
+    starts = spark.createDataFrame(offsets, "run long, first long")
+    in_run = F.coalesce(F.sum("batch_size").over(Window.partitionBy("run").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = configs.withColumn("run", run).withColumn("in_run", in_run).join(F.broadcast(starts), "run").withColumn("before", F.col("first") + F.col("in_run"))
+    planned = placed.where(F.col("before") < total)
+    return planned.withColumn("batch_size", F.least(F.col("batch_size"), F.lit(total) - F.col("before")).cast("int")).select("batch", *CONFIG)
+
+
+def preview_configs(n: int = 3, seed: int = 42) -> Callable[[SparkSession], DataFrame]:
+    """Some configurations as they may be sampled."""
+    return lambda spark: sample_configs(spark, n, seed)
+
+
+def preview_plan(plan: DataFrame) -> DataFrame:
+    """The plan's text, a row for each line in order of ``batch`` and ``line_no``: what a dry run shows."""
+    show = lambda no, label, c: F.struct(F.lit(no).alias("line_no"), F.concat(F.lit(f"{label}: "), F.col(c).cast("string")).alias("line"))
+    lines = [
+        F.struct(F.lit(0).alias("line_no"), F.format_string("batch %d: %d dialogs", F.col("batch") + 1, "batch_size").alias("line")),
+        *[show(k + 1, label, c) for k, (label, c) in enumerate((("sphere", "business_sphere"), ("region", "regional_focus"), ("style", "communication_style"), ("quality", "transcription_quality"), ("personal data, %", "pd_percentage")))],
+    ]
+    return plan.select("batch", F.inline(F.array(*lines)))
 
 
 #: A template of our own: callers bring theirs.
@@ -106,16 +143,22 @@ def parse_reply(reply: Column) -> Column:
     return F.coalesce(F.when(is_list, F.from_json(bare, DIALOGS, {"mode": "PERMISSIVE"})), F.array().cast(DIALOGS))
 
 
-def request(plan: DataFrame, make: Callable[[], Callable[[str], str]], column: str = "prompt", concurrency: int = 3) -> DataFrame:
-    """Adds ``reply`` by a client made once in each of ``concurrency`` tasks; a failed request has a null reply and an ``error``."""
+def request(plan: DataFrame, make: Callable[[], Callable[[str], str]], column: str = "prompt", concurrency: int = 3, pause: float = 0.0) -> DataFrame:
+    """Adds ``reply`` by a client made once in each of ``concurrency`` tasks; a failed request has a null reply and an ``error``.
+
+    ``pause``: seconds that a task waits between two requests. Each evaluation of the result sends the requests.
+    """
     fields = plan.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", reply string, error string"
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
+        client, waited = make(), False
         for batch in batches:
             replies, errors = [], []
             for prompt in batch[column]:
+                if waited and pause:
+                    time.sleep(pause)
+                waited = True
                 try:
                     replies.append(client(prompt))
                     errors.append(None)
@@ -127,20 +170,22 @@ def request(plan: DataFrame, make: Callable[[], Callable[[str], str]], column: s
     return plan.repartition(concurrency).mapInPandas(ask, schema)
 
 
-def generate(plan: DataFrame, make: Callable[[], Callable[[str], str]], concurrency: int = 3) -> tuple[DataFrame, DataFrame]:
+def generate(plan: DataFrame, make: Callable[[], Callable[[str], str]], concurrency: int = 3, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Normalised dialogs, and the replies they come from. A batch with a suspicious dialog without entities is asked for once more.
 
-    If that second reply holds dialogs, they replace the batch's.
+    If that second reply holds dialogs, they replace the batch's; if it fails, the first reply stays. Both replies are written tables.
     """
-    replies = request(plan, make, "prompt", concurrency).withColumn("dialogs", parse_reply(F.col("reply")))
+    replies = written(request(plan, make, "prompt", concurrency, pause), "replies").withColumn("dialogs", parse_reply(F.col("reply")))
     suspicious = F.exists("dialogs", lambda d: may_hold_personal_data(d["text"]) & (F.coalesce(F.size(d["entities"]), F.lit(0)) <= 0))
-    asked = replies.withColumn("repair", F.coalesce(suspicious, F.lit(False))).withColumn("again", F.concat(F.lit("Дополни entities и верни весь массив:\n"), F.col("reply")))
-    first = asked.where(~F.col("repair")).drop("again")
-    second = request(asked.where("repair").drop("reply", "error"), make, "again", concurrency)
-    better = F.when(F.size(parse_reply(F.col("reply"))) > 0, parse_reply(F.col("reply"))).otherwise(F.col("dialogs"))
-    both = first.unionByName(second.withColumn("dialogs", better).drop("again"))
+    asked = replies.withColumn("repair", F.coalesce(suspicious, F.lit(False)))
+    wanted = asked.where("repair").withColumn("again", F.concat(F.lit("Дополни entities и верни весь массив:\n"), F.col("reply"))).select("batch", F.col("reply").alias("before"), F.col("dialogs").alias("found"), "again")
+    second = written(request(wanted, make, "again", concurrency, pause), "repairs").withColumn("better", parse_reply(F.col("reply")))
+    taken = F.size("better") > 0
+    mended = second.select("batch", F.when(taken, F.col("reply")).otherwise(F.col("before")).alias("reply"), F.when(taken, F.col("better")).otherwise(F.col("found")).alias("dialogs"))
+    rest = asked.drop("reply", "dialogs").join(mended, "batch").select(asked.columns)
+    both = asked.where("NOT repair").unionByName(rest)
     rows = both.select("batch", F.posexplode("dialogs").alias("place", "d")).select("batch", "place", "d.*")
-    return normalise_dialogs(rows), both
+    return normalise_dialogs(rows, F.col("place") + 1), both
 
 
 def generation_counters(replies: DataFrame) -> DataFrame:

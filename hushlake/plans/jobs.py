@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import masking
+from ..functions.rows import packed, unpacked
 from ..operators import datasets, evaluation
 from ..operators.detectors import Detector, PatternDetector, RecogniserDetector
 from ..sources.metrics import combined
@@ -19,6 +21,19 @@ def mask_texts(df: DataFrame, detector: Detector | None = None, policy: masking.
     return found.withColumn("masked", masking.mask(F.col(text), F.col("spans"), policy, aggressiveness, F.col(key) if key else None))
 
 
+def mask_texts_with(df: DataFrame, replace: Callable[[str, str], str], detector: Detector | None = None, aggressiveness: float = 0.8, text: str = "text") -> DataFrame:
+    """Adds spans and ``masked``, each span replaced by a user's function of its type and text."""
+    found = (detector or PatternDetector(aggressiveness)).detect(df, text, "spans")
+    rows = packed(found, t=F.col(f"`{text}`"), chosen=F.filter("spans", lambda s: masking.will_mask(s["type"], aggressiveness)))
+    made = rows.withColumn("new", masking.custom(replace)(F.col("chosen")))
+    return unpacked(made, found.columns, {"masked": masking.mask_with(F.col("t"), F.col("chosen"), F.col("new"))})
+
+
+def show_ranking(metrics: DataFrame, n: int = 20) -> None:
+    """Print the methods by micro F1, best first."""
+    evaluation.ranking(metrics).select("method", "precision", "recall", "f1", "tp", "fp", "fn").show(n, truncate=False)
+
+
 def evaluate(dialogs: DataFrame, detectors: list[Detector], pooled: bool = False, threshold: float = 1.0) -> DataFrame:
     """Metrics of each detector against the dialogs' entities, names merged and ages trimmed: method and the metric columns."""
     gold = evaluation.span_rows(dialogs, "entities", "id", pooled)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import masking, spans
 from ..functions import text as texts
-from ..functions.patterns import CATALOGUE, PRIORITY, RECOGNISERS, SCREEN, Pattern
+from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, MOST_NAME_WORDS, NOT_NAMES, PRIORITY, RECOGNISERS, SCREEN, TOKEN_RULES, Pattern
 from ..operators import annotation_qa, datasets, ensemble, evaluation, generation
 from ..operators.detectors import PatternDetector, RecogniserDetector, TokenRuleDetector, decode_bio
+from ..sources import dialogs as dialog_files
 from ..sources.metrics import append_absent
 from . import jobs
 
@@ -37,26 +38,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- SQL for spans: candidates by splitting, resolution by a recursive fold over each document's candidates.
 
 
-def candidates_sql(patterns: list[Pattern], source: str = "SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL") -> str:
+def candidates_sql(patterns: list[Pattern], source: str = "SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL", unicode: bool = False) -> str:
+    r"""CTEs that end in ``cand``. ``unicode``: word boundaries at a pattern's ends are tests of the characters beside a match, as the SQL engine's are ASCII."""
+
+    def regex(p: Pattern) -> str:
+        return p.re2.replace(r"\b", "") if unicode else p.re2
+
+    def bound(p: Pattern) -> str:
+        word, tests = r"[\p{L}\p{N}_]", []
+        if p.regex.startswith(r"\b"):
+            tests.append(f"regexp_matches(substr(t, s, 1), '{word}') <> regexp_matches(text, '^{word}')")
+        if p.regex.endswith(r"\b"):
+            tests.append(f"regexp_matches(text, '{word}$') <> regexp_matches(substr(t, s + length(text) + 1, 1), '{word}')")
+        return f"WHEN {p.order} THEN {' AND '.join(tests)}" if tests else ""
+
     parts = " UNION ALL ".join(
-        f"SELECT doc_id, {p.order} AS ord, {PRIORITY.get(p.type, 1)} AS prio, '{p.type}' AS type, regexp_extract_all(t, '{p.re2}') AS m, string_split_regex(t, '{p.re2}') AS g FROM src WHERE regexp_matches(t, '{p.re2}')"
+        f"SELECT doc_id, t, {p.order} AS ord, {PRIORITY.get(p.type, 1)} AS prio, '{p.type}' AS type, regexp_extract_all(t, '{regex(p)}') AS m, string_split_regex(t, '{regex(p)}') AS g FROM src WHERE regexp_matches(t, '{regex(p)}')"
         for p in patterns
     )
+    ends = " ".join(filter(None, map(bound, patterns))) if unicode else ""
     return f"""src AS ({source}), hit AS ({parts}),
-    cand AS (
-      SELECT doc_id, ord, prio, type, m[i] AS text,
+    every AS (
+      SELECT doc_id, t, ord, prio, type, m[i] AS text,
              (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hit)
-    )"""
+    ), cand AS (SELECT doc_id, ord, prio, type, text, s FROM every WHERE {f"CASE ord {ends} ELSE TRUE END" if ends else "TRUE"})"""
 
 
-def resolved_sql(patterns: list[Pattern], source: str | None = None, by_length: bool = False) -> str:
-    """CTEs that end in ``kept`` (doc_id, s, e, type, text)."""
-    cand = candidates_sql(patterns, source) if source else candidates_sql(patterns)
+def resolved_sql(patterns: list[Pattern], source: str | None = None, by_length: bool = False, unicode: bool = False, where: str = "TRUE") -> str:
+    """CTEs that end in ``kept`` (doc_id, s, e, type, text); ``where`` chooses among the candidates ``c``."""
+    cand = candidates_sql(patterns, source, unicode) if source else candidates_sql(patterns)
     order, wins = ("s, -length(text), ord", "FALSE") if by_length else ("s, s + length(text), ord", "r.prio > f.prio")
     take = f"(r.s >= f.e OR {wins})"
     return f"""WITH RECURSIVE {cand},
-    ranked AS (SELECT *, s + length(text) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn FROM cand),
+    ranked AS (SELECT *, s + length(text) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn FROM cand c WHERE {where}),
     fold(doc_id, rn, island, s, e, prio, type, text) AS (
       SELECT doc_id, rn, 1, s, e, prio, type, text FROM ranked WHERE rn = 1
       UNION ALL
@@ -67,14 +82,14 @@ def resolved_sql(patterns: list[Pattern], source: str | None = None, by_length:
     kept AS (SELECT doc_id, s, e, type, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY rn DESC) AS last FROM fold) WHERE last = 1)"""
 
 
-#: Full names need Cyrillic letters, which these tables do not have: the SQL leaves that one pattern out.
+#: Full names need Cyrillic letters, which these tables do not have: the SQL leaves that one pattern out here; ``planted_spans`` has it.
 ALL_SQL = resolved_sql(CATALOGUE)
 ONE = {"email_spans": 6, "phone_spans": 5, "card_spans": 16, "ip_spans": 22}
 SPAN_COLUMNS = "doc_id, s AS span_start, s + length(text) AS span_end, text AS span_text"
 
 
 def exploded(df: DataFrame, key: str = "doc_id", column: str = "spans") -> DataFrame:
-    rows = df.select(key, F.explode(column).alias("s"))
+    rows = df.select(key, F.explode(F.col(column)).alias("s"))
     return rows.select(key, F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.col("s.type").alias("span_type"), F.col("s.text").alias("span_text"))
 
 
@@ -160,17 +175,33 @@ _one_mask("mask_email", 6)
 _one_mask("mask_ip", 22)
 
 
-@query()
+def _number_sql(salt: int, low: int, high: int) -> str:
+    return f"(CAST('0x' || substr(md5('7:' || c.doc_id || ':' || c.s || ':{salt}'), 1, 13) AS BIGINT) % {high - low + 1} + {low})"
+
+
+_PSEUDONYM_SQL = f"""CASE c.type WHEN 'EMAIL' THEN 'user' || {_number_sql(1, 100, 99_999)} || '@example.org'
+    WHEN 'IP_ADDRESS' THEN {_number_sql(1, 1, 223)} || '.' || {_number_sql(2, 0, 255)} || '.' || {_number_sql(3, 0, 255)} || '.' || {_number_sql(4, 1, 254)}
+    WHEN 'PHONE' THEN '+7 ' || {_number_sql(1, 900, 999)} || ' ' || lpad({_number_sql(2, 0, 999)}::VARCHAR, 3, '0') || '-' || lpad({_number_sql(3, 0, 99)}::VARCHAR, 2, '0') || '-' || lpad({_number_sql(4, 0, 99)}::VARCHAR, 2, '0')
+    WHEN 'URL' THEN 'https://example.org/' || {_number_sql(1, 1000, 99_999)}
+    WHEN 'INN' THEN lpad({_number_sql(1, 0, 10**12 - 1)}::VARCHAR, 12, '0')
+    ELSE '<' || c.type || '>' END"""
+
+
+@query(_masked_sql("TRUE").replace("'<' || c.type || '>'", f"({_PSEUDONYM_SQL})"))
 def mask_pseudonyms(spark, sf_dir):
     docs = jobs.mask_texts(table(spark, sf_dir, "documents"), policy=masking.pseudonym(7), key="doc_id")
     return docs.select("doc_id", F.md5("masked").alias("masked_md5"))
 
 
-@query(ALL_SQL + ", edge AS (SELECT doc_id, max(e) AS last_end, count(*) AS n FROM kept GROUP BY doc_id) SELECT doc_id, n AS n_spans, last_end FROM edge")
+@query(
+    f"""WITH {candidates_sql(CATALOGUE)},
+    m AS (SELECT *, s + length(text) AS e, max(s + length(text)) OVER (PARTITION BY doc_id ORDER BY s, s + length(text), ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cand),
+    i AS (SELECT *, sum(CASE WHEN s < reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e, ord ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    SELECT doc_id, min(s) AS span_start, max(e) AS span_end, first(type ORDER BY prio DESC, s, e, ord) AS span_type FROM i GROUP BY doc_id, island"""
+)
 def mask_extent(spark, sf_dir):
-    """Spans merged to their extent: as many places as resolution keeps, and the last one ends no sooner."""
-    docs = found(spark, sf_dir).select("doc_id", "spans").where(F.size("spans") > 0)
-    return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.array_max(F.transform("spans", lambda s: s["end"])).cast("long").alias("last_end"))
+    """Spans merged to their common extent, so that masking leaves no part of an overlapped one visible."""
+    return exploded(found(spark, sf_dir, keep_extent=True)).drop("span_text")
 
 
 @query(
@@ -205,9 +236,14 @@ _STATS = """SELECT count(*) AS total_dialogs, count(*) FILTER (WHERE n > 0) AS d
 _COUNTED = ALL_SQL + ", c AS (SELECT d.doc_id, d.lang, d.text, (SELECT count(*) FROM kept k WHERE k.doc_id = d.doc_id) AS n FROM documents d) "
 
 
-@query(_COUNTED + _STATS + " FROM c")
+_TYPES = "(SELECT string_agg(type || ':' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM kept GROUP BY type)) AS entity_types"
+
+
+@query(_COUNTED + _STATS + f", {_TYPES} FROM c")
 def dataset_stats(spark, sf_dir):
-    return datasets.dataset_stats(dialogs(spark, sf_dir)).withColumn("pd_percentage", F.round("pd_percentage", 6)).drop("entity_types")
+    stats = datasets.dataset_stats(dialogs(spark, sf_dir)).withColumn("pd_percentage", F.round("pd_percentage", 6))
+    types = F.transform(F.array_sort(F.map_entries("entity_types")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return stats.withColumn("entity_types", F.array_join(types, ","))
 
 
 @query(_COUNTED + "SELECT round(avg(length(text)), 4) AS avg_text_length, min(length(text)) AS min_text_length, max(length(text)) AS max_text_length, round(avg(n), 6) AS avg_entities, max(n) AS max_entities FROM c")
@@ -243,23 +279,34 @@ _VOTES = resolved_sql([p for p in CATALOGUE if p.type in {"EMAIL", "IP_ADDRESS",
 
 @query(_VOTES + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM votes GROUP BY ALL HAVING sum(weight) / 3.0 >= 0.5".replace("GROUP BY ALL", "GROUP BY doc_id, s, e, type, text"))
 def consensus_spans(spark, sf_dir):
-    all_votes = ensemble.votes(table(spark, sf_dir, "documents"), voters())
-    return exploded(ensemble.consensus(all_votes, VOTER_WEIGHTS, 0.5))
+    return exploded(ensemble.consensus(table(spark, sf_dir, "documents"), voters(), VOTER_WEIGHTS, 0.5))
 
 
 @query(_VOTES + " SELECT DISTINCT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM votes")
 def union_spans(spark, sf_dir):
-    return exploded(ensemble.union(ensemble.votes(table(spark, sf_dir, "documents"), voters())))
+    return exploded(ensemble.union(table(spark, sf_dir, "documents"), voters()))
 
 
 @query(
     _VOTES
-    + """ SELECT source, (SELECT count(*) FROM documents) AS n_texts, count(*) AS n_spans, count(DISTINCT type) AS n_types, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS spans_per_text FROM votes GROUP BY source"""
+    + """ SELECT source, (SELECT count(*) FROM documents) AS n_texts, count(*) AS n_spans, count(DISTINCT type) AS n_types, 0::BIGINT AS errors, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS spans_per_text, 1.0::DOUBLE AS success_rate FROM votes GROUP BY source"""
 )
 def detector_comparison(spark, sf_dir):
     return ensemble.compare_detectors(table(spark, sf_dir, "documents"), voters()).withColumn("spans_per_text", F.round("spans_per_text", 6))
 
 
+@query(
+    _VOTES
+    + f""", name(source) AS (VALUES {", ".join(f"('{n}')" for n in VOTERS)})
+    SELECT d.doc_id, name.source, count(v.type) AS n_spans, coalesce(string_agg(DISTINCT v.type, ',' ORDER BY v.type), '') AS types
+    FROM documents d CROSS JOIN name LEFT JOIN votes v ON v.doc_id = d.doc_id AND v.source = name.source GROUP BY d.doc_id, name.source"""
+)
+def text_analysis(spark, sf_dir):
+    """What each detector finds in each text, also nothing."""
+    rows = ensemble.analyse_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), voters())
+    return rows.select("doc_id", "source", "n_spans", F.array_join("types", ",").alias("types"))
+
+
 def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Gold spans, and the same moved by none, one or two characters after the document's number."""
     rows = exploded(found(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("scope"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("span_type").alias("type"))
@@ -400,13 +447,17 @@ def _u_sql(salt: str) -> str:
     return f"(CAST('0x' || substr(md5('42:{salt}:' || batch), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0)"
 
 
-_PLAN_SQL = f"""WITH b AS (SELECT unnest(range(0, 400)) AS batch), c AS (
+def _plan_sql(total: int) -> str:
+    return f"""WITH b AS (SELECT unnest(range(0, {-(-total // min(generation.BATCH_SIZES))})) AS batch), c AS (
       SELECT batch, {_choice_sql(_u_sql("sphere"), generation.SPHERES)} AS business_sphere, {_choice_sql(_u_sql("region"), generation.REGIONS)} AS regional_focus,
         {_choice_sql(_u_sql("quality"), generation.QUALITIES)} AS transcription_quality, {_choice_sql(_u_sql("style"), generation.STYLES)} AS communication_style,
         (floor({_u_sql("pd")} * 11) + 70)::INTEGER AS pd_percentage, (floor({_u_sql("fp")} * 6) + 10)::INTEGER AS false_positive_percentage,
         list_extract([25, 30, 35, 40, 50], floor({_u_sql("size")} * 5)::INTEGER + 1)::INTEGER AS size FROM b
     ), p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
-    plan AS (SELECT batch, business_sphere, regional_focus, transcription_quality, communication_style, pd_percentage, false_positive_percentage, least(size, 10000 - before)::INTEGER AS batch_size FROM p WHERE before < 10000)"""
+    plan AS (SELECT batch, business_sphere, regional_focus, transcription_quality, communication_style, pd_percentage, false_positive_percentage, least(size, {total} - before)::INTEGER AS batch_size FROM p WHERE before < {total})"""
+
+
+_PLAN_SQL = _plan_sql(10_000)
 
 
 @query(_PLAN_SQL + " SELECT * FROM plan")
@@ -419,13 +470,92 @@ def sphere_distribution(spark, sf_dir):
     return generation.sphere_distribution(generation.plan_batches(spark, 10_000))
 
 
-@query()
+DETAILS = {"sphere": {"медицина": "Полисы и врачи."}, "region": {"Москва": "Метро.", "Казань": "Кремль."}}
+
+
+def _prompt_sql() -> str:
+    pd = "floor(batch_size * pd_percentage / 100.0)::INTEGER"
+    values = {
+        "total_dialogs": "batch_size", "pd_count": pd, "no_pd_count": f"batch_size - {pd}", "no_pd_percentage": "100 - pd_percentage",
+        "sphere_details": "CASE business_sphere WHEN 'медицина' THEN 'Полисы и врачи.' ELSE '' END", "region_details": "CASE regional_focus WHEN 'Казань' THEN 'Кремль.' ELSE 'Метро.' END",
+        "quality_details": "''", "style_details": "''", **{c: c for c in generation.CONFIG if c != "batch_size"},
+    }
+    prompt = "'" + generation.TEMPLATE.replace("\n", "' || chr(10) || '") + "'"
+    for name, value in values.items():
+        prompt = f"replace({prompt}, '{{{name}}}', ({value})::VARCHAR)"
+    return _plan_sql(1000) + f" SELECT batch, batch_size, {prompt} AS prompt FROM plan"
+
+
+@query(_prompt_sql())
 def prompts(spark, sf_dir):
-    details = {"sphere": {"медицина": "Полисы и врачи."}, "region": {"Москва": "Метро.", "Казань": "Кремль."}}
-    return generation.render_prompts(generation.plan_batches(spark, 1000), details).select("batch", "batch_size", "prompt")
+    return generation.render_prompts(generation.plan_batches(spark, 1000), DETAILS).select("batch", "batch_size", "prompt")
+
+
+# ---- Texts in Cyrillic, which the tables lack: sentences chosen and numbered by each document's id, the same in both engines.
+
+SENTENCES = [
+    "Клиент Смирнов А.В. назвал паспорт: 45 #2 10#4 и СНИЛС 112-233-4#2 95.", "Встреча с Еленой Крыловой #2.0#1.2001, ей 3#1 лет.",
+    "Мне 2#1 лет, почта u#4@mail.example и телефон +7 (912) 34#1-#2-67.", "Машина А1#2ВС77 стоит у дома, инн: 770#45#1.",
+    "родился #2 марта 1980, ИНН 50#4123456, карта 4276 #4 1234 5678.", "Адрес сети 10.0.#1.#2, сайт https://пример.рф/#4 и www.site#1.ru/#2.",
+    "Позвоните 8 (916) 12#1-45-#2 или 8916#45#2#1, спросите: Пётр Ильич Орлов.", "Серия 45#2 10#4, карта 4276 **** **** #4, возраст мне 4#1 лет.",
+    "Погода хорошая, ничего личного.", "СНИЛС: 112-233-#2#1 95 и email: a#4@b.example",
+]
+RULED = [
+    "Ему 3#1 лет.", "Мне 4#1 лет, живу в Омске.", "Возраст: #2 и рост", "Звоните + 7912#4", "тел: #4, добавочный", "Я выпускник МГТУ", "Она студент МФТИ", "Он окончил школу",
+    "Работаю инженером", "должность : директор", "Профессия: врач", "живу на даче", "адрес: Тверь", "улица Садовая, дом #2", "Меня зовут Анна Белова, 8-912-34#1-#2-67", "Иванов П. С. и a#4@b.example", "Друг сказал: Олег Павлович Громов",
+]
+
+
+def planted(spark: SparkSession, sf_dir: str, sentences: list[str]) -> DataFrame:
+    chosen = F.get(F.array(*[F.lit(x) for x in sentences]), F.pmod("doc_id", F.lit(len(sentences))).cast("int"))
+    for n in (4, 2, 1):
+        chosen = F.replace(chosen, F.lit(f"#{n}"), F.lpad(F.pmod("doc_id", F.lit(10**n)).cast("string"), n, "0"))
+    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("text"))
+
+
+def _planted_sql(sentences: list[str]) -> str:
+    listed = ", ".join(f"'{x}'" for x in sentences)
+    chosen = f"list_extract([{listed}], (doc_id % {len(sentences)} + 1)::INTEGER)"
+    for n in (4, 2, 1):
+        chosen = f"replace({chosen}, '#{n}', lpad((doc_id % {10**n})::VARCHAR, {n}, '0'))"
+    return f"SELECT doc_id, {chosen} AS t FROM documents"
+
+
+_NO_NAME_OVERLAP = f"""ord <> {FULL_NAME.order} OR NOT EXISTS (SELECT 1 FROM cand b WHERE b.doc_id = c.doc_id AND b.ord <> {FULL_NAME.order} AND b.type NOT IN ({", ".join(repr(t) for t in AFTER_NAMES)})
+      AND b.s < c.s + length(c.text) AND c.s < b.s + length(b.text))"""
+
+
+@query(resolved_sql([*CATALOGUE, FULL_NAME], _planted_sql(SENTENCES), unicode=True, where=_NO_NAME_OVERLAP) + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM kept")
+def planted_spans(spark, sf_dir):
+    """The whole catalogue, full names too, over sentences in Cyrillic."""
+    return exploded(PatternDetector().detect(planted(spark, sf_dir, SENTENCES)))
+
+
+_RULES = [Pattern(t, r, True, n) for n, (t, r) in enumerate(TOKEN_RULES)]
+
+
+@query(resolved_sql(_RULES, _planted_sql(RULED), by_length=True, unicode=True) + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM kept")
+def planted_token_rules(spark, sf_dir):
+    """All token rules over sentences in Cyrillic."""
+    return exploded(TokenRuleDetector().detect(planted(spark, sf_dir, RULED)))
 
 
 _RECOGNISED = [Pattern(t, r, False, n) for n, (t, r) in enumerate((t, r) for t, _, rs in RECOGNISERS for r in rs)]
+_LIKELY = f"type <> 'PERSON' OR (text NOT IN ({', '.join(repr(t) for t in NOT_NAMES)}) AND len(string_split_regex(trim(text), '\\s+')) <= {MOST_NAME_WORDS})"
+
+
+@query(
+    resolved_sql(_RECOGNISED, _planted_sql(RULED), by_length=True, unicode=True, where=_LIKELY)
+    + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text, CASE type WHEN 'PERSON' THEN 0.85 WHEN 'PHONE_NUMBER' THEN 0.9 ELSE 0.95 END::DOUBLE AS score FROM kept"
+)
+def planted_recognisers(spark, sf_dir):
+    """All recognisers, of names too, over sentences in Cyrillic."""
+    return scored(RecogniserDetector().detect(planted(spark, sf_dir, RULED)))
+
+
+def scored(df: DataFrame) -> DataFrame:
+    rows = df.select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.col("s.type").alias("span_type"), F.col("s.text").alias("span_text"), "s.score")
 
 
 @query(
@@ -433,8 +563,7 @@ _RECOGNISED = [Pattern(t, r, False, n) for n, (t, r) in enumerate((t, r) for t,
     + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text, CASE type WHEN 'PHONE_NUMBER' THEN 0.9 ELSE 0.95 END::DOUBLE AS score FROM kept"
 )
 def recogniser_spans(spark, sf_dir):
-    rows = RecogniserDetector().detect(table(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s"))
-    return rows.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.col("s.type").alias("span_type"), F.col("s.text").alias("span_text"), "s.score")
+    return scored(RecogniserDetector().detect(table(spark, sf_dir, "documents")))
 
 
 @query(resolved_sql([Pattern("PHONE", r"\+\s*\d+\b", False, 3)], by_length=True) + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM kept")
@@ -453,7 +582,24 @@ def normalised_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(texts.normalise(F.col("text"))).alias("normal_md5"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE src AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark),
+    tok AS (SELECT item_id, text, i, len(w) AS n, w[i] AS token, CASE WHEN regexp_matches(w[i], '^[A-Z]') THEN 'B' WHEN i > 1 AND regexp_matches(w[i - 1], '^[A-Z]') THEN 'I' ELSE 'O' END AS tag
+            FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM src)),
+    fold(item_id, i, used, os, oe, cs, ce) AS (
+      SELECT item_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM src
+      UNION ALL
+      SELECT item_id, i, CASE WHEN hit THEN e ELSE used END, CASE WHEN hit AND tag = 'B' THEN p WHEN tag = 'I' THEN os END, CASE WHEN hit THEN e WHEN tag = 'I' THEN oe END,
+             CASE WHEN tag <> 'I' THEN os END, CASE WHEN tag <> 'I' THEN oe END
+      FROM (SELECT *, p + length(token) AS e, length(token) > 0 AND p >= 0 AND (tag = 'B' OR (tag = 'I' AND os IS NOT NULL)) AS hit
+            FROM (SELECT f.item_id, k.i, f.used, f.os, f.oe, k.tag, k.token, CASE WHEN strpos(substr(k.text, f.used + 1), k.token) > 0 THEN f.used + strpos(substr(k.text, f.used + 1), k.token) - 1 ELSE -1 END AS p
+                  FROM fold f JOIN tok k ON k.item_id = f.item_id AND k.i = f.i + 1))
+    ), done AS (
+      SELECT item_id, cs AS s, ce AS e FROM fold WHERE cs IS NOT NULL
+      UNION ALL SELECT f.item_id, f.os, f.oe FROM fold f JOIN src ON src.item_id = f.item_id AND f.i = len(src.w) WHERE f.os IS NOT NULL
+    )
+    SELECT item_id, s AS span_start, e AS span_end, 'PERSON' AS span_type, substr(src.text, s + 1, e - s) AS span_text FROM done JOIN src USING (item_id)"""
+)
 def bio_spans(spark, sf_dir):
     """Words tagged by their capitals, decoded to spans."""
     words = table(spark, sf_dir, "benchmark").select("item_id", "text", F.split("text", " ").alias("tokens"))
@@ -462,12 +608,51 @@ def bio_spans(spark, sf_dir):
     return exploded(tagged, "item_id")
 
 
-@query()
+HINTED = " меня зовут Анна Ким работаю в ООО Рога потом живу у реки Омь"
+
+
+def _hint_sql(hints: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(before), '{h}')" for h in hints) + ")"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, '') || CASE WHEN conv_id % 5 = 0 THEN '{HINTED}' ELSE '' END, '^\\s+|\\s+$', '', 'g') AS t FROM conversations),
+    w AS (SELECT conv_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, string_split_regex(t, '\\s+') AS w FROM t)),
+    b AS (SELECT conv_id, w[i] AS word, array_to_string(w[greatest(1, i - 3):i - 1], ' ') AS before FROM w)
+    SELECT conv_id, count(*) FILTER (WHERE regexp_matches(word, '^\\p{{Lu}}') AND length(word) >= 2 AND {_hint_sql(texts.NAME_HINTS)}) AS name,
+           count(*) FILTER (WHERE lower(word) IN ({", ".join(repr(f) for f in texts.ORGANISATION_FORMS)}) OR {_hint_sql(texts.ORGANISATION_HINTS)}) AS organisation,
+           count(*) FILTER (WHERE {_hint_sql(texts.PLACE_HINTS)}) AS place, count(*) AS words FROM b GROUP BY conv_id"""
+)
 def context_hints(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(texts.hints(F.coalesce("text", F.lit("")))).alias("h"))
+    """Words with a context, a phrase with hints planted in every fifth conversation."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 5 == 0, HINTED).otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(texts.hints(text)).alias("h"))
     return rows.groupBy("conv_id").agg(*[F.count_if(f"h.{k}").alias(k) for k in ("name", "organisation", "place")], F.count(F.lit(1)).alias("words"))
 
 
-@query()
+@query(
+    _COUNTED
+    + """, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE n > 0) AS pd, sum(n)::BIGINT AS e, avg(length(text)) AS mean, min(length(text)) AS low, max(length(text)) AS high FROM c)
+    SELECT 0 AS line_no, printf('dialogs: %d', n) AS line FROM s UNION ALL SELECT 1, printf('with personal data: %d (%.1f%%)', pd, 100.0::DOUBLE * pd / n) FROM s
+    UNION ALL SELECT 2, printf('entities: %d', e) FROM s UNION ALL SELECT 3, printf('entities a dialog: %.1f', e::DOUBLE / n) FROM s
+    UNION ALL SELECT 4, printf('characters a dialog: %.0f, %d to %d', mean, low, high) FROM s
+    UNION ALL SELECT (4 + row_number() OVER (ORDER BY type))::INTEGER, printf('  %s: %d (%.1f%%)', type, n, 100.0::DOUBLE * n / (SELECT e FROM s)) FROM (SELECT type, count(*) AS n FROM kept GROUP BY type)"""
+)
 def dataset_report(spark, sf_dir):
     return datasets.report_lines(dialogs(spark, sf_dir))
+
+
+@query(
+    """WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM documents)
+    SELECT (place - 1) // 50 + 1 AS shard, 'documents.' || ((place - 1) // 50 + 1) AS name, count(*) AS total_dialogs,
+           min(place) || '-' || max(place) AS dialog_range, md5(string_agg(doc_id || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS dialogs_md5
+    FROM p GROUP BY (place - 1) // 50"""
+)
+def shard_documents(spark, sf_dir):
+    """Documents of 50 dialogs each with their metadata, read back from their text."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array().cast(f"array<{datasets.ENTITY}>").alias("entities"), F.lit(False).alias("has_pd"), F.lit("").alias("description"))
+    made = dialog_files.shard_documents(datasets.shards(rows), "documents")
+    shape = "struct<metadata:struct<total_dialogs:long,dialog_range:string>,dialogs:array<struct<id:long,text:string>>>"
+    read = made.select("shard", "name", F.from_json("document", shape).alias("d"))
+    line = F.transform("d.dialogs", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.coalesce(x["text"], F.lit(""))))
+    return read.select("shard", "name", "d.metadata.total_dialogs", "d.metadata.dialog_range", F.md5(F.array_join(line, "\n")).alias("dialogs_md5"))

@@ -1,8 +1,15 @@
-"""Dialog files: one JSON document of metadata and dialogs, or a bare list of dialogs."""
+"""Dialog files: one JSON document of metadata and dialogs, or a bare list of dialogs; and tables of dialogs.
+
+A document is one JSON value, which one task reads or writes; it is the format for exchange. Datasets of any size are written as JSON
+lines beside a document of their metadata (``write_dataset``), or as shards of documents of a bounded number of dialogs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +59,81 @@ def write_dialogs(dialogs: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def _document(dialogs: Column, metadata: Column) -> Column:
+    """A document's text. Fields without a value are left out of it."""
+    return F.to_json(F.struct(metadata.alias("metadata"), dialogs.alias("dialogs")), {"ignoreNullFields": "true"})
+
+
+def _listed(order: Column) -> Column:
+    """All dialogs of a group in the order of a column."""
+    row = F.struct(order.alias("at"), F.struct("text", "entities", "has_pd", "description", "id").alias("d"))
+    return F.transform(F.array_sort(F.collect_list(row)), lambda x: x["d"])
+
+
+def write_document(dialogs: DataFrame, metadata: dict, path: str) -> None:
+    """One document in a new folder, as a text file of one line, dialogs in the order of their ids. For datasets that fit one task.
+
+    ``total_dialogs`` of the metadata is set to the number of dialogs, ``generation_timestamp`` to now if there is none.
+    """
+    known = {"generation_timestamp": time.time()} | metadata
+    one = dialogs.agg(_listed(F.col("id")).alias("dialogs"), F.count(F.lit(1)).alias("n"))
+    table = F.from_json(F.lit(json.dumps(known, ensure_ascii=False)), F.schema_of_json(F.lit(json.dumps(known, ensure_ascii=False))))
+    fields = [table.getField(k).alias(k) for k in known if k != "total_dialogs"]
+    one.select(_document(F.col("dialogs"), F.struct(F.col("n").alias("total_dialogs"), *fields)).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+
+
+def shard_documents(sharded: DataFrame, parent: str, model_used: str = "unknown") -> DataFrame:
+    """From dialogs with place, shard and dialog_range (``datasets.shards``) a row for each shard: shard, name, document (text).
+
+    A shard's document holds its own metadata; shards are of a bounded size, so no task holds more than some of them.
+    """
+    metadata = F.struct(
+        F.col("n").alias("total_dialogs"), F.lit(time.time()).alias("generation_timestamp"), F.lit(model_used).alias("model_used"),
+        F.lit(parent).alias("parent_dataset"), F.col("shard").alias("subset_number"), F.col("dialog_range").alias("dialog_range"),
+    )
+    listed = sharded.groupBy("shard", "dialog_range").agg(_listed(F.col("place")).alias("dialogs"), F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit(f"{parent}."), F.col("shard").cast("string"))
+    return listed.select("shard", name.alias("name"), _document(F.col("dialogs"), metadata).alias("document"))
+
+
+def write_shards(sharded: DataFrame, path: str, parent: str, model_used: str = "unknown") -> None:
+    """A folder for each shard with its document, which ``read_documents`` reads again."""
+    shard_documents(sharded, parent, model_used).select("name", F.col("document").alias("value")).write.mode("errorifexists").partitionBy("name").text(path)
+
+
+def write_dataset(dialogs: DataFrame, metadata: dict, path: str) -> None:
+    """A dataset of any size: ``path/dialogs`` as JSON lines, ``path/metadata`` as one line."""
+    write_dialogs(dialogs, f"{path}/dialogs")
+    known = {"generation_timestamp": time.time()} | metadata | {"total_dialogs": dialogs.sparkSession.read.json(f"{path}/dialogs").count()}
+    dialogs.sparkSession.createDataFrame([(json.dumps(known, ensure_ascii=False),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/metadata")
+
+
+def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """What ``write_dataset`` wrote."""
+    dialogs = spark.read.schema(T.StructType([*_DIALOG.fields])).json(f"{path}/dialogs")
+    return dialogs, json.loads(spark.read.text(f"{path}/metadata").first().value)
+
+
+def valid_metadata(metadata: dict) -> bool:
+    """Whether the one required field is there."""
+    return "total_dialogs" in metadata
+
+
+def with_generation_stats(metadata: dict, stats: dict) -> dict:
+    """Metadata with generation statistics added to those that it has, and the time."""
+    return metadata | {"generation_stats": metadata.get("generation_stats", {}) | stats, "last_updated": time.time()}
+
+
+def with_annotation(metadata: dict, kind: str, count: int) -> dict:
+    """Metadata with the number of annotations of a kind, and the time."""
+    return metadata | {f"{kind}_annotation": count, f"{kind}_annotation_timestamp": time.time()}
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Lines (line_no, line) in order as one text file in a new folder. A report has a line for each type."""
+    lines.coalesce(1).sortWithinPartitions("line_no").select(F.col("line").alias("value")).write.mode("errorifexists").text(path)
+
+
 def dataset_name(path: str) -> str:
     """A path's last part without its ending."""
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]

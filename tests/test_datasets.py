@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushlake.operators import datasets, generation
-from hushlake.sources.dialogs import dataset_name, read_dialogs, read_documents, write_dialogs
+from hushlake.sources.dialogs import (
+    dataset_name, read_dataset, read_dialogs, read_documents, valid_metadata, with_annotation, with_generation_stats, write_dataset, write_dialogs, write_document, write_report,
+    write_shards,
+)
 from hushlake.sources.metrics import file_name
 from hushlake.sources.settings import Settings
 from hushlake.streaming.masking import masked_stream, type_counts
@@ -42,7 +45,7 @@ def test_stats_and_report(spark):
     empty = datasets.dataset_stats(some(spark, 9).limit(0)).first()
     assert (empty.total_dialogs, empty.pd_percentage, empty.total_entities) == (0, 0.0, 0)
     lines = [x.line for x in datasets.report_lines(some(spark, 9)).orderBy("line_no").collect()]
-    assert lines[0] == "dialogs: 9" and len(lines) == 5
+    assert lines[0] == "dialogs: 9" and len(lines) == 7 and lines[4] == "characters a dialog: 6, 6 to 6"
     d = datasets.compare_datasets(some(spark, 3), some(spark, 9)).first()
     assert (d.total_dialogs_difference, d.total_entities_difference) == (6, 6)
 
@@ -147,6 +150,46 @@ def test_generation_with_repair(spark):
     assert (r.successful_batches, r.failed_batches, r.total_generated) == (2, 1, 1)
 
 
+def test_each_prompt_is_sent_once(spark, tmp_path):
+    bad = json.dumps([{"text": "почта a@b.ru", "entities": []}], ensure_ascii=False)
+    log = str(tmp_path / "log")
+
+    def make():
+        def client(prompt):
+            with open(log, "a") as f:
+                f.write("x")
+            return bad
+
+        return client
+
+    plan = spark.range(10).select(F.col("id").alias("batch"), F.concat(F.lit("p"), "id").alias("prompt"))
+    dialogs, replies = generation.generate(plan, make, 2)
+    for _ in range(2):
+        assert [r.id for r in dialogs.collect()] == [1] * 10 and generation.generation_counters(replies).first().successful_batches == 10
+    assert len(open(log).read()) == 20  # one request and one repair for each batch
+
+
+def test_documents_round_trip(spark, tmp_path):
+    rows = some(spark, 7)
+    write_document(rows, {"model_used": "m", "generation_stats": {"n": 1}}, f"{tmp_path}/one")
+    read = read_documents(spark, f"{tmp_path}/one").first()
+    assert (read.metadata.total_dialogs, read.metadata.model_used) == (7, "m") and read.metadata.generation_timestamp > 0
+    assert [d.id for d in read.dialogs] == list(range(1, 8)) and [d.text for d in read.dialogs] == [f"text {i}" for i in range(1, 8)]
+    write_shards(datasets.shards(rows, 3), f"{tmp_path}/shards", "parent")
+    shards = {r.metadata.subset_number: r for r in read_documents(spark, f"{tmp_path}/shards/*/*.txt").collect()}
+    assert sorted(shards) == [1, 2, 3] and shards[3].metadata.dialog_range == "7-7" and shards[1].metadata.parent_dataset == "parent"
+    assert [d.id for k in (1, 2, 3) for d in shards[k].dialogs] == list(range(1, 8))
+    write_dataset(rows, {"model_used": "m"}, f"{tmp_path}/any")
+    dialogs, metadata = read_dataset(spark, f"{tmp_path}/any")
+    assert dialogs.count() == metadata["total_dialogs"] == 7 and valid_metadata(metadata) and not valid_metadata({})
+    assert with_generation_stats({"generation_stats": {"a": 1}}, {"b": 2})["generation_stats"] == {"a": 1, "b": 2}
+    assert with_annotation({}, "manual", 3)["manual_annotation"] == 3
+    write_report(datasets.report_lines(rows), f"{tmp_path}/report")
+    assert spark.read.text(f"{tmp_path}/report").first().value == "dialogs: 7"
+    plan = generation.preview_plan(generation.plan_batches(spark, 60))
+    assert plan.where("line_no = 0").count() == generation.plan_batches(spark, 60).count()
+
+
 def test_streams(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", "a@b.ru"), ("2024-01-01 00:03:00", "10.0.0.1 x@y.org"), ("2024-01-01 01:00:00", "нет")]
     spark.createDataFrame(rows, "t string, text string").withColumn("t", F.col("t").cast("timestamp")).write.parquet(f"{tmp_path}/in")

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from hushlake.operators import annotation_qa, ensemble, evaluation
-from hushlake.operators.detectors import PatternDetector, TokenRuleDetector
+from hushlake.operators.detectors import ModelDetector, PatternDetector, TokenRuleDetector
 from hushlake.plans import jobs
 from hushlake.sources.metrics import append_absent, combined, read_metrics, write_metrics
 
@@ -101,11 +103,61 @@ VOTES = [(["natasha"], False), (["natasha", "regexp"], True), (["spacy", "bert"]
 @pytest.mark.parametrize("sources,kept", VOTES)
 def test_consensus(spark, sources, kept):
     names = list(ensemble.WEIGHTS)
-    votes = spark.createDataFrame([(1, s, names.index(s), 0, 5, P, s) for s in sources], "doc_id long, source string, source_order int, start int, end int, type string, value string")
-    got = ensemble.consensus(votes, ensemble.WEIGHTS).collect()
+    votes = sorted((0, 5, P, names.index(s), s, s) for s in sources)
+    df = spark.createDataFrame([(votes,)], f"votes array<{ensemble.VOTE}>")
+    got = df.select(ensemble.agreed(F.col("votes"), ensemble.WEIGHTS).alias("a")).first().a
     assert bool(got) is kept
     if kept:
-        assert got[0].spans[0].text == max(sources, key=ensemble.WEIGHTS.get)
+        assert got[0].text == max(sources, key=ensemble.WEIGHTS.get)
+
+
+def test_repeated_keys_and_spans_do_not_add_votes(spark):
+    one, two = PatternDetector(types=["EMAIL"], name="one"), PatternDetector(types=["URL"], name="two")
+    df = spark.createDataFrame([(1, "a@b.ru", "x"), (1, "a@b.ru", "y"), (1, None, "z"), (2, "", "w")], "doc_id long, text string, spans string")
+    rows = ensemble.consensus(df, [one, two], {"one": 0.4, "two": 1.0}, 0.5)
+    assert rows.count() == 4 and rows.where(F.size("spans") > 0).count() == 0
+    again = df.select(ensemble.agreed(F.array(*[F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit(P).alias("type"), F.lit(0).alias("source_order"), F.lit("one").alias("source"), F.lit(t).alias("text")) for t in "ab"]), {"one": 0.4, "two": 1.0}, 0.5).alias("a"))
+    assert again.where(F.size("a") > 0).count() == 0
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comparison_counts_errors_and_silent_texts(spark):
+    def make():
+        def model(texts):
+            if any("fail" in t for t in texts):
+                raise ValueError("no")
+            return [[{"start": 0, "end": 1, "label": "PER"}] for _ in texts]
+
+        return model
+
+    df = spark.createDataFrame([(1, "a"), (2, "fail"), (3, None), (3, "b")], "doc_id long, text string")
+    both = [ModelDetector([make], name="model"), PatternDetector()]
+    r = {x.source: x for x in ensemble.compare_detectors(df, both).collect()}
+    assert (r["model"].n_texts, r["model"].n_spans, r["model"].errors, r["model"].success_rate, r["model"].n_types) == (4, 2, 1, 0.75, 1)
+    assert (r["regexp"].n_spans, r["regexp"].errors, r["regexp"].success_rate) == (0, 0, 1.0)
+    texts = ensemble.analyse_texts(df, both).collect()
+    assert len(texts) == 8 and [x.error for x in texts if x.doc_id == 2 and x.source == "model"] == ["ValueError: no"]
+    assert ensemble.compare_detectors(df.limit(0), both).first().success_rate == 0.0
+    assert ensemble.described(both, threshold=None)["consensus_enabled"] is False and ensemble.described(both)["weights"] == {"model": 1.0, "regexp": 0.7}
+
+
+def test_greedy_equals_one_by_one(spark):
+    rng = random.Random(8)
+    some = lambda n: sorted({(s, s + rng.randint(1, 90), rng.choice([P, A])) for s in (rng.randint(0, 400) for _ in range(n))})
+    gold, guess = some(80), some(80)
+
+    def iou(a, b):
+        both = max(0, min(a[1], b[1]) - max(a[0], b[0]))
+        return both / (a[1] - a[0] + b[1] - b[0] - both)
+
+    for threshold in (0.2, 0.5):
+        free, n = set(guess), 0
+        for g in gold:
+            best = max((x for x in free if x[2] == g[2] and iou(g, x) >= threshold), key=lambda x: (iou(g, x), -x[0], -x[1]), default=None)
+            if best:
+                free.discard(best)
+                n += 1
+        assert evaluation.match_spans(rows(spark, gold, "*"), rows(spark, guess, "*"), threshold).count() == n
 
 
 def test_evaluation_job_and_metric_files(spark, tmp_path):
@@ -129,4 +181,8 @@ def test_annotation_quality(spark):
     last = annotation_qa.last_of_each_id(annotated)
     r = annotation_qa.annotation_quality(original, last).first()
     assert (r.total, r.annotated, r.text_changes, r.position_errors, r.false_to_true, r.true_to_false, r.valid_entities, r.quality) == (3, 1, 1, 1, 1, 1, 1, "ХОРОШЕЕ")
+    assert annotation_qa.annotation_quality(original.unionByName(original.where("id = 1").withColumn("text", F.lit("x")).withColumn("pos", F.lit(-5))), last).first() == r
+    assert [(x.type, x.n) for x in annotation_qa.annotation_types(original, last).collect()] == [(P, 1)]
+    assert [(x.id, x.kind) for x in annotation_qa.annotation_issues(original, last).collect()] == [(1, "position"), (2, "text")]
+    assert annotation_qa.annotation_issues(original, last, 1).count() == 1
     assert annotation_qa.annotation_quality(original, last.limit(0)).first().quality == "ОТЛИЧНОЕ"

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import spans
 from hushlake.functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, PRIORITY
-from hushlake.operators.detectors import ModelDetector, PatternDetector, RecogniserDetector, StagedDetector, TaggerDetector, TokenRuleDetector
+from hushlake.operators.detectors import (
+    ModelDetector, PatternDetector, RecogniserDetector, RulesAndModelDetector, StagedDetector, TaggerDetector, TokenRuleDetector, blank_model,
+)
 
 TEXTS = [
-    "Мой номер телефона +7 916 123 45 67, 8(916)123-45-67 и 89161234567",
-    "Пишите: email: ivanov@example.com или x.y@mail.ru!",
+    "Звоните по +7 912 345 67 89, 8(912)345-67-89 и 89123456789",
+    "Пишите: email: petrov@example.org или x.y@mail.ru!",
     "ПАСПОРТ: 40 04 123456, ещё 4004 123456",
     "СНИЛС 123-456-789 12, инн: 7707083893, 770708389312",
     "карта 4276 4000 1234 5678 и 4276 **** **** 5678",
@@ -125,3 +127,44 @@ def test_bio(spark, text, tokens, tags, want):
     detector = TaggerDetector([lambda: lambda texts: ([tokens], [tags])])
     got = detector.detect(spark.createDataFrame([(text,)], "text string")).first().spans
     assert [s.text for s in got] == want
+
+
+def test_models_are_asked_in_batches_and_errors_are_kept(spark):
+    def make():
+        def model(texts):
+            if any("fail" in t for t in texts):
+                raise RuntimeError("bad text")
+            return [[{"start": 0, "end": 1, "label": "PER", "text": str(len(texts))}] for _ in texts]
+
+        return model
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "id long, text string").coalesce(1)
+    assert {r.spans[0].text for r in ModelDetector([make]).detect(df).collect()} == {"40"}
+    mixed = df.unionByName(spark.createDataFrame([(99, "fail"), (100, None)], "id long, text string")).coalesce(1)
+    got = {r.id: r for r in ModelDetector([make, make]).detect(mixed, error="why").collect()}
+    assert got[99].spans == [] and got[99].why == "RuntimeError: bad text; RuntimeError: bad text" and got[100].spans is None
+    assert all(got[i].why is None and len(got[i].spans) == 1 for i in range(40))
+
+    def broken():
+        raise OSError("no such model")
+
+    assert {len(r.spans) for r in ModelDetector([broken], fallback=blank_model).detect(df).collect()} == {0}
+    both = RulesAndModelDetector(make).detect(spark.createDataFrame([("я студент МФТИ",)], "text string")).first().spans
+    assert [s.type for s in both] == ["PERSON", "EDUCATION"]
+    only_rules = RulesAndModelDetector(broken).detect(spark.createDataFrame([("я студент МФТИ",)], "text string")).first().spans
+    assert [s.type for s in only_rules] == ["EDUCATION"]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["row", "t", "before", "names", "after", "every", "has_digits", "model0", "stage0", "normal", "tags0", "_all", "found"]
+    df = spark.createDataFrame([("10.0.0.1", "old", *names)], "text string, spans string, " + ", ".join(f"`{n}` string" for n in names))
+    make = lambda: lambda texts: [[] for _ in texts]
+    tagger = lambda: lambda texts: ([[] for _ in texts], [[] for _ in texts])
+    for d in (PatternDetector(), RecogniserDetector(), TokenRuleDetector(), ModelDetector([make]), StagedDetector([(make, True)]), TaggerDetector([tagger])):
+        row = d.detect(df).first()
+        assert [row[n] for n in names] == names and isinstance(row.spans, list)
+
+
+def test_own_recognisers(spark):
+    got = RecogniserDetector(recognisers=[("CODE", 0.5, [r"[A-Z]{2}-\d+"]), ("PHONE_NUMBER", 0.9, [r"\d{3}"])]).detect(spark.createDataFrame([("AB-12, 345",)], "text string")).first().spans
+    assert [(s.type, s.text, s.score) for s in got] == [("CODE", "AB-12", 0.5), ("PHONE_NUMBER", "345", 0.9)]
