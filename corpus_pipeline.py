@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages: quality rules, line dedup, near duplicates, mixing, packing.
 
 Each stage takes all that its predecessor kept, written as Parquet and read again; all but the last return the columns of ``documents``.
+
+Defined results: a null or empty text fails the quality rules; rows without a doc_id, a language or a source go through all stages like others
+(without a language they are compared with the whole corpus, and they are never near duplicates without a doc_id); rows that repeat a doc_id are documents of
+their own, and of equal rows one stays; an empty table gives no rows; further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hushlake.llm import line_dedup, mixing, near_duplicates, packing, quality
 from hushlake.llm.queries import tokenizer_path
-from hushlake.llm.shared import written
+from hushlake.llm.shared import release, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: the rows of the last one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not source:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         small_least = large.groupBy("x").agg(F.min("y").alias("m"))
         moved = large.join(small_least, "x").where(F.col("y") != F.col("m")).select(F.col("y").alias("x"), F.col("m").alias("y"))
-        now = _written(moved.unionByName(small_least.select("x", F.col("m").alias("y"))))
+        before, now = now, _written(moved.unionByName(small_least.select("x", F.col("m").alias("y"))))
+        release(before)
         if (sums := _checksum(now)) == seen:
             break
         seen = sums

@@ -46,15 +46,18 @@ PATTERNS = {
 }
 #: Scores before context: a checksum is worth more than a shape.
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "local_phone": 0.4}
-#: Words that raise a span's score when they stand near it.
+#: Whole words that raise a span's score when they stand near it.
+_CALLS = r"(?:tele)?phone|call|tel|mobile|fax|anruf\w*|telefon\w*|tel[eé]fono|llam\w+|appel\w*"
 CONTEXT = {
-    "email": r"e-?mail|contact|write|mailto|kontakt|correo|courriel",
-    "ip": r"\bip\b|address|server|host|adresse|direcci",
-    "card": r"card|visa|master|payment|karte|carte|tarjeta",
-    "phone": r"phone|call|tel|mobile|fax|anruf|llam|appel",
-    "iban": r"iban|bank|account|konto|compte|cuenta",
-    "local_phone": r"phone|call|tel|mobile|fax|anruf|llam|appel",
+    "email": r"e-?mails?|contact|write|mailto|kontakt\w*|correo|courriel",
+    "ip": r"ip|address|server|host|adresse|direcci[oó]n",
+    "card": r"cards?|visa|master(?:card)?|payment|\w*karte|carte|tarjeta",
+    "phone": _CALLS,
+    "iban": r"iban|bank\w*|account|konto\w*|compte|cuenta",
+    "local_phone": _CALLS,
 }
+#: Whole words near a span that lower its score: numbers of other things.
+AGAINST = r"order|invoice|serial|version|isbn|issn|sku|model|rechnung\w*|bestell\w+|facture|commande|factura|pedido"
 CONTEXT_CHARS, CONTEXT_BONUS, LEAST_SCORE = 40, 0.3, 0.6
 
 
@@ -120,12 +123,14 @@ def _spans_of(kind: str, text: Column) -> Column:
 
 
 def _scored(span: Column, text: Column) -> Column:
-    near = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT_CHARS), span["end"] - span["start"] + 2 * CONTEXT_CHARS))
+    """A span with its score: its kind's, more or less by the words within CONTEXT_CHARS before and after it, its own text aside."""
+    from_ = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS)
+    near = F.lower(F.concat(F.substring(text, from_ + 1, span["start"] - from_), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS))))
+    holds = lambda words: F.regexp_like(near, F.lit(rf"(?U)\b(?:{words})\b")).cast("int") * CONTEXT_BONUS
     score = F.lit(None).cast("double")
     for kind in KINDS:
-        bonus = F.when(F.regexp_like(near, F.lit(CONTEXT[kind])), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
-        score = F.when(span["kind"] == kind, F.least(F.lit(1.0), F.lit(SCORES[kind]) + bonus)).otherwise(score)
-    return F.struct(*[span[f].alias(f) for f in ("start", "kind_no", "end", "kind", "text")], F.round(score, 2).alias("score"))
+        score = F.when(span["kind"] == kind, F.lit(SCORES[kind]) + holds(CONTEXT[kind]) - holds(AGAINST)).otherwise(score)
+    return F.struct(*[span[f].alias(f) for f in ("start", "kind_no", "end", "kind", "text")], F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"))
 
 
 def find_personal_data(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .seekable import Reader, Writer
@@ -86,22 +86,47 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
 
 
-def read_documents(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+def document_index(manifest: DataFrame) -> DataFrame:
+    """Where each document is: doc_id, path, frame. Only the files' indexes are read."""
+    ship(manifest.sparkSession)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                file = Reader(path)
+                ids = file.ids
+                file.close()
+                for at in range(0, len(ids), 50_000):
+                    part = ids[at : at + 50_000]
+                    yield pd.DataFrame({"doc_id": pd.array(part, dtype="Int64"), "path": path, "frame": range(at, at + len(part))})
+
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInPandas(read, "doc_id long, path string, frame int")
+
+
+def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """Token ids of the documents whose doc_id is in ``wanted`` only: doc_id, ids. Other frames stay compressed.
 
-    The ids wanted must be few enough for each task to hold (one list for all files).
+    The ids wanted meet the files' indexes in a join, and each file's frames are read where they meet; a null doc_id is never wanted.
     """
-    ship(spark)
-    ids = {r[0] for r in wanted.select(F.col("doc_id").cast("long")).distinct().toLocalIterator()}
+    places = document_index(manifest).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        path, file = None, None
         for batch in batches:
-            for path in batch["path"]:
-                file = Reader(path)
-                found = [(d, np.frombuffer(c, "<u4").astype("int64").tolist()) for d, c in file.documents(ids)]
-                file.close()
-                yield pd.DataFrame(found, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
-
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInPandas(read, "doc_id long, ids array<long>")
+            for at in range(0, len(batch), 100):
+                found = []
+                for row in batch.iloc[at : at + 100].itertuples():
+                    if row.path != path:
+                        if file:
+                            file.close()
+                        path, file = row.path, Reader(row.path)
+                    found.append((row.doc_id, np.frombuffer(file.frame(row.frame), "<u4").astype("int64").tolist()))
+                yield pd.DataFrame(found, columns=["doc_id", "ids"])
+        if file:
+            file.close()
+
+    # A file's frames may be read by several tasks, so that many wanted documents of one file do not meet in one.
+    dealt = places.repartition(F.col("path"), F.floor(F.col("frame") / 4096)).sortWithinPartitions("path", "frame")
+    return dealt.mapInPandas(read, "doc_id long, ids array<long>")

@@ -46,14 +46,15 @@ class WordEncoder:
     remembered with its newline. A new word of plain characters is
     split into pieces by the tokenizer's own pattern, and the tokenizer's model is asked for new
     pieces; any other new word, and a text with other runs of spaces and newlines, is encoded by
-    the tokenizer in one piece. Special tokens' strings in a text are ordinary text.
+    the tokenizer in one piece, and so is a text that holds the string of one of its special tokens, which has that token's id.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE).search if special else lambda _: None
         self.model = self.tokenizer.model
         self.cache_words, self.cache_pieces = cache_words, cache_pieces
         self.words: dict[str, bytes] = {}
@@ -85,6 +86,9 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if self.special(text):
+                out[i] = self._whole([text])[0]
+                continue
             if self.lower and self.plain_text(text):
                 text = text.lower().replace("\n", " ").strip(" ")
                 while "  " in text:

@@ -36,8 +36,16 @@ def test_very_long_texts_end_soon(spark):
 
 def test_checksums_and_context_decide_on_further_kinds(spark):
     texts = ["pay to IBAN DE89 3704 0044 0532 0130 00 now", "pay to IBAN DE89 3704 0044 0532 0130 01 now", "call (202) 555-0143", "set (202) 555-0143"]
+    texts += ["hotel (202) 555-0143 is basically gone", "call about order (202) 555-0143", "(202) 555-0143, tel."]
     got = spans(spark, texts)
-    assert got == {0: "iban:12:39", 1: "", 2: "local_phone:5:19", 3: ""}
+    assert got == {0: "iban:12:39", 1: "", 2: "local_phone:5:19", 3: "", 4: "", 5: "", 6: "local_phone:0:14"}
+
+
+def test_scores_follow_words_beside_a_span_only(spark):
+    texts = ["mail write@contact.example.com", "e-mail: a@b.example", "invoice card 4111111111111111", "discard 4111111111111111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans[0].score for r in find_personal_data(docs).collect()}
+    assert got == {0: 0.8, 1: 1.0, 2: 0.9, 3: 0.9}
 
 
 def test_empty_table(spark):

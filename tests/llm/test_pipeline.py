@@ -2,9 +2,11 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hushlake.llm import queries
+from hushlake.llm.shared import written
 
 from . import brute
 from .test_near_duplicates import plain
@@ -68,6 +70,22 @@ def test_run_and_registered_queries(spark, sf_dir):
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
+def test_empty_tables_missing_ids_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [prose(rng, 80) for _ in range(40)]
+    rows = [(None, t, None, None, None) for t in texts] + [(1, texts[0], "en", "a", 1), (1, texts[0], "en", "a", 1), (2, texts[1], "en", "a", 1), (2, prose(rng, 9000), "en", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit("x")).withColumn("node", F.lit("y")).withColumn("k1", F.lit("z"))
+    for table in (docs, docs.limit(0)):
+        now = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = written(stage(spark, now, ""), "stage")
+            if k < 4:
+                assert now.columns == docs.columns and now.where("row <> 'x' OR node <> 'y' OR k1 <> 'z'").count() == 0
+                if k == 2:
+                    assert now.count() == (0 if table is not docs else 43)  # of the equal rows one goes
+        assert (now.count() > 0) is (table is docs)
+
+
 def test_local_checkpoints_and_swallowed_imports_are_absent():
     root = Path(corpus_pipeline.__file__).parent
     for path in [root / "corpus_pipeline.py", *(root / "hushlake/llm").glob("*.py")]:
