@@ -21,6 +21,11 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = "\\n?[!-~À-ÖØ-öø-ÿ]+"
 #: Texts of these characters only can be lower-cased as a whole, where the vocabulary is lower-cased and drops white space.
 PLAIN_TEXT = "[ \\n!-~À-ÖØ-öø-ÿ]+"
+#: Strings on which the split into words is compared with the library when an encoder is made.
+HARD = [
+    "a b", "The cat's 12,345 dogs", "don't we'LL I'M", "x\ny z", "x \n y", "  two  spaces ", "\ttab a\tb", "a\u00a0b c", "\u3000wide \u2003em", "é É ß ẞ ÿ Ÿ ×÷", "e\u0301 n\u0303", "İ ı Σς ﬁ Å", "😀 👩‍👩‍👧 🇩🇪",
+    "日本語 한국어 ไทย", "مرحبا שלום", "½ ² Ⅷ ٣ ४", "...!? --- ___ @#$%", "a'b' 's 'S", "http://x.y/z?a=b&c", "\u200b\ufeff\u00ad x", "\x00 \x1f \x7f a", "\r\n a\r\nb", "A" * 300 + " b", " lead", "trail ", "0 00 000 0000",
+]
 #: A text that holds one of these is encoded in one piece: its white space may form tokens of several characters.
 UNSAFE = ("  ", " \n", "\n ", "\n\n")
 
@@ -47,6 +52,7 @@ class WordEncoder:
     split into pieces by the tokenizer's own pattern, and the tokenizer's model is asked for new
     pieces; any other new word, and a text with other runs of spaces and newlines, is encoded by
     the tokenizer in one piece, and so is a text that holds the string of one of its special tokens, which has that token's id.
+    A vocabulary whose words are not the library's on the strings of HARD has all its texts encoded in one piece.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
@@ -64,6 +70,8 @@ class WordEncoder:
         split, self.lower = self._split_of(json.loads(self.tokenizer.to_str()))
         self.split = re.compile(plain_split(split)).findall if split else None
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.by_word = True
+        self.by_word = self.encode_many(HARD) == self._whole(HARD)
 
     @staticmethod
     def _split_of(spec: dict) -> tuple[str | None, bool]:
@@ -86,7 +94,7 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.special(text):
+            if not self.by_word or self.special(text):
                 out[i] = self._whole([text])[0]
                 continue
             if self.lower and self.plain_text(text):

@@ -76,3 +76,14 @@ def test_bands_reach_their_recall():
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:20_000] + ["x"] + long[20_000:])), (3, " ".join(long[:20_000])), (4, "same " * 50_000), (5, "same " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.k1: (r.class_id, r.n_links) for r in near_duplicates(docs).collect()}
+    assert got == plain(rows)
+    kept = one_of_each_class(docs.selectExpr("*", "'a' AS k1", "'b' AS row", "'c' AS class_key", "'d' AS node")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4] and {(r.k1, r.row, r.class_key, r.node) for r in kept} == {("a", "b", "c", "d")}

@@ -15,7 +15,6 @@ def check(spark, rows, capacity, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(4)
     got = pack_documents(docs, PATH, 0, capacity, **options).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = []
     for doc_id, text, _ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -42,7 +41,7 @@ def check(spark, rows, capacity, **options):
 def some(n, seed=1):
     rng = random.Random(seed)
     rows = [(i, " ".join(rng.choice(["the", "of", "seldom", "é😀"]) for _ in range(int(rng.paretovariate(1.0) * 10) % 3000)), 1) for i in range(n)]
-    return rows + [(None, None, 1), (-1, "", 1), (5, "again", 1), (5, "again", 1)]
+    return rows + [(None, None, 1), (-1, "", 1), (-2, "a<|endoftext|>b", 1), (5, "again", 1), (5, "again", 1)]
 
 
 def test_pieces_and_places(spark):

@@ -24,3 +24,12 @@ def test_nulls_and_long_words():
     encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     got = encoder.encode_many([None, "", "x " + "y" * 20_000])
     assert got[:2] == [b"", b""] and len(got[2]) > 4
+
+
+def test_words_are_only_used_where_they_equal_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordEncoder(path).by_word
+    monkeypatch.setattr(WordEncoder, "_word", lambda self, word: b"\0\0\0\0")
+    broken = WordEncoder(path)
+    assert not broken.by_word
+    assert np.frombuffer(broken.encode_many(["two words"])[0], "<u4").tolist() == Tokenizer.from_file(path).encode("two words", add_special_tokens=False).ids

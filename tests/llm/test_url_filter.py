@@ -23,7 +23,7 @@ def test_equals_every_rule_on_every_url(spark):
     schemes = ["http://", "https://", "ftp://x://", "", "://"]
     hosts = ["com", "example.com", "WWW.Example.com", "a.b.net", "xnet", "example.net", "www.example.com", "ads.site.org", "", "notexample.com", "é.net", "user@a.net:80"]
     paths = ["", "/", "/en/x", "/en", "/es/", "/fr/1", "/login", "/login/help", "/a.zip", "/EN/", "/ads/1", "/x//y.php?sid=1", "?q", "#/en/", "/en/?sessionid=3", "/b?a=1&sessionid=2"]
-    urls = [rng.choice(schemes) + rng.choice(hosts) + rng.choice(paths) for _ in range(600)] + [None, None, "", "no scheme", "://", "http://\nnet/es/"]
+    urls = [rng.choice(schemes) + rng.choice(hosts) + rng.choice(paths) for _ in range(600)] + [None, None, "", "no scheme", "://", "http://\nnet/es/", "http://a.net/es/" + "x/" * 100_000 + "b.zip", "http://" + "a." * 20_000 + "net/fr/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, rules_table(spark, HOST_RULES, PATTERN_RULES)).collect()}
     for i, u in enumerate(urls):
