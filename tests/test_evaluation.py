@@ -164,6 +164,9 @@ def test_evaluation_job_and_metric_files(spark, tmp_path):
     text = "мне 25 лет, a@b.ru"
     dialogs = spark.createDataFrame([(1, text, [(4, 10, A, "25 лет"), (12, 18, "EMAIL", "a@b.ru")])], "id long, text string, entities array<struct<start:long,end:long,type:string,text:string>>")
     metrics = jobs.evaluate(dialogs, [PatternDetector(), TokenRuleDetector()])
+    jobs.show_ranking(metrics)
+    t = jobs.timed(dialogs, [PatternDetector()]).first()
+    assert t.n_texts == 1 and t.total_seconds > 0
     best = evaluation.ranking(metrics).first()
     assert (best.method, best.f1) == ("regexp", 1.0)
     write_metrics(metrics, f"{tmp_path}/m")

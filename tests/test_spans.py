@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import spans
 from hushlake.functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, PRIORITY
 from hushlake.operators.detectors import (
-    ModelDetector, PatternDetector, RecogniserDetector, RulesAndModelDetector, StagedDetector, TaggerDetector, TokenRuleDetector, blank_model,
+    REGISTRY, ModelDetector, PatternDetector, RecogniserDetector, RulesAndModelDetector, StagedDetector, TaggerDetector, TokenRuleDetector, blank_model, register,
 )
 
 TEXTS = [
@@ -168,3 +168,12 @@ def test_columns_of_any_name_stay(spark):
 def test_own_recognisers(spark):
     got = RecogniserDetector(recognisers=[("CODE", 0.5, [r"[A-Z]{2}-\d+"]), ("PHONE_NUMBER", 0.9, [r"\d{3}"])]).detect(spark.createDataFrame([("AB-12, 345",)], "text string")).first().spans
     assert [(s.type, s.text, s.score) for s in got] == [("CODE", "AB-12", 0.5), ("PHONE_NUMBER", "345", 0.9)]
+
+
+def test_registry_and_several_taggers(spark):
+    register("mine", lambda: PatternDetector(types=["URL"], name="mine"))
+    assert REGISTRY["mine"]().name == "mine" and {"regexp", "recognisers", "spacy_rules"} <= set(REGISTRY)
+    tag = lambda tags: lambda: lambda texts: ([t.split() for t in texts], [tags for _ in texts])
+    both = TaggerDetector([tag(["B-PER", "O"]), tag(["O", "B-LOC"])])
+    got = both.detect(spark.createDataFrame([("Иван Омск",), (None,)], "text string")).collect()
+    assert [(s.type, s.text) for s in got[0].spans] == [("PERSON", "Иван"), ("LOCATION", "Омск")] and got[1].spans is None

@@ -53,6 +53,8 @@ def test_normalising_and_labels(spark):
     df = spark.createDataFrame([(" a \n b!!!!  c,,", "B-per")], "t string, l string")
     row = df.select(text.normalise(F.col("t")).alias("n"), labels.bert(F.col("l")).alias("b"), labels.natasha(F.col("l")).alias("n2"), labels.deeppavlov(F.lit("date")).alias("d")).first()
     assert tuple(row) == ("a b!! c,", "PERSON", None, "BIRTHDAY")
+    row = df.select(labels.spacy(F.lit("GPE")).alias("a"), labels.spacy(F.lit("gpe")).alias("b"), labels.spacy(F.lit("WORK")).alias("c"), labels.bert(F.lit("I-B-CITY")).alias("d")).first()
+    assert tuple(row) == ("LOCATION", None, "POSITION", "LOCATION")
     place = df.select(text.first_place(F.lit("x ИВАН, Иван"), F.lit("Иван"), F.lit(0), F.lit(4)).alias("p")).first().p
     assert tuple(place) == (2, 6)
 
