@@ -40,7 +40,7 @@ COMMON_CLASS = r"[a-z\x20\x09-\x0D]+"
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "punctuation": r"\p{P}", "symbol": r"\p{S}"}
 SYMBOLS = "#*$%&|<>"
 #: Words in a language's histogram, and words that a language must have for a reference.
-N_COMMON, MIN_REFERENCE_WORDS = 40, 2000
+N_COMMON, MIN_REFERENCE_WORDS = 24, 2000
 #: Shortest texts that are compared, and the distances up to which they are kept.
 MIN_CLASS_CHARS, MIN_COMMON_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
@@ -153,7 +153,9 @@ def _repeat_words(frame: DataFrame) -> DataFrame:
         return [F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)]
 
     places = F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>"))
-    hashed = frame.withColumn("hashes", F.transform(places, lambda i: F.xxhash64(*window(i))))
+    # Each word is hashed once, and a window by its words' hashes.
+    each = frame.withColumn("each", F.transform("w", lambda x: F.xxhash64(x)))
+    hashed = each.withColumn("hashes", F.transform(places, lambda i: F.xxhash64(F.get("each", i), F.get("each", i + 1), F.get("each", i + 2)))).drop("each")
 
     def beside(name: str, same) -> Column:
         return F.filter(name, lambda x, i: F.coalesce(same(x, F.get(name, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(name, i + 1)), F.lit(False)))
