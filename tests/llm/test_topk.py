@@ -55,7 +55,7 @@ def test_empty_tables(spark):
     assert top_k(none, some).count() == 0 and top_k(some, none).count() == 0
 
 
-@pytest.mark.parametrize("size", [70_000.0, 1e6, 1e9, 3e37])
+@pytest.mark.parametrize("size", [1e6, 3e37])
 def test_large_components_take_part(spark, size):
     rng = random.Random(2)
     single = lambda x: float(np.float32(x))
