@@ -201,8 +201,7 @@ def test_streams(spark, tmp_path):
     assert {(r.type, r.n) for r in spark.table("counts").collect()} == {("EMAIL", 2), ("IP_ADDRESS", 1)}
 
 
-@pytest.mark.parametrize("partitions", ["8", "211"])
-@pytest.mark.parametrize("n", [50_000, 300_000])
+@pytest.mark.parametrize("n,partitions", [(50_000, "8"), (50_000, "211"), (300_000, "8")])
 def test_numbers_are_whole_at_size(spark, tmp_path, n, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
