@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, near_duplicates, packing, personal_data, quality, token_files, topk, url_filter
+from . import chat, collocations, importance, line_dedup, mixing, near_duplicates, packing, personal_data, quality, rank_bpe, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by ranks, and their ids decoded."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    decoded = rank_bpe.decode_documents(rank_bpe.encode_documents(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 highest-scoring phrases of two to four words of each language, over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return collocations.mine_collocations(docs.select("lang", "text"), min_count=30, most=2000)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's texts; all documents with their weights."""
+    docs, target = (spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, "text") for name, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    drawn = importance.resample(docs, target, percent=25, min_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
     "op2_token_files": op2_token_files,
@@ -121,6 +145,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_rank_bpe": op11_rank_bpe,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -130,4 +157,6 @@ ORACLES: dict[str, str] = {
     "op5_poisson_mixing": mixing.op5_sql(),
     "op6_mtree_topk": op6_sql(),
     "op8_line_dedup": line_dedup.op8_sql(10, 1),
+    "op12_phrase_collocations": collocations.op12_sql(30, 2000),
+    "op13_importance_resampling": importance.op13_sql(25, 20, 7),
 }
