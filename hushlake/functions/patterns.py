@@ -16,7 +16,6 @@ GUARDS = {
     "dots": (None, r"(?U)\d[./]\d"),
     "stars": ("****", None),
     "at": ("@", None),
-    "plus": ("+", None),
     "web": (None, r"https?://|www\."),
 }
 #: The guards of types whose patterns have no Cyrillic letter.
@@ -44,7 +43,7 @@ class Pattern:
         """The name in GUARDS of what a text must hold to be worth a scan; empty for patterns that are not of this module."""
         if self.regex not in _OWN:
             return ""
-        return "cyrillic" if re.search("[А-Яа-яЁё]", self.regex) else "stars" if "*{4}" in self.regex else "plus" if self.regex.startswith(r"\+\s*\d+") else GUARD_OF.get(self.type, "")
+        return "cyrillic" if re.search("[А-Яа-яЁё]", self.regex) else "stars" if "*{4}" in self.regex else GUARD_OF.get(self.type, "")
 
     @property
     def re2(self) -> str:
@@ -127,23 +126,37 @@ RECOGNISERS = [
 NOT_NAMES = ["Меня зовут", "Его зовут", "Её зовут", "Их зовут", "Мой друг", "Моя подруга", "Наш коллега", "Наша коллега"]
 MOST_NAME_WORDS = 3
 
-#: Token rules, as patterns over words (a rule's words are separated by optional white space).
-TOKEN_RULES = [
-    ("AGE", r"\b\d+(?:[.,]\d+)?\s*лет\b"),
-    ("AGE", r"\bмне\s+\d+(?:[.,]\d+)?\s*лет\b"),
-    ("AGE", r"\bвозраст\s*:\s*\d+\b"),
-    ("PHONE", r"\+\s*\d+\b"),
-    ("PHONE", r"\bтел\s*:\s*\d+\b"),
-    ("EDUCATION", r"\bвыпускник\s+\p{L}+"),
-    ("EDUCATION", r"\bстудент\s+\p{L}+"),
-    ("EDUCATION", r"\bокончил\s+\p{L}+"),
-    ("POSITION", r"\bработаю\s+\p{L}+"),
-    ("POSITION", r"\bдолжность\s*:\s*\p{L}+"),
-    ("POSITION", r"\bпрофессия\s*:\s*\p{L}+"),
-    ("ADDRESS", r"\bживу\s+(?:в|на)\s+\p{L}+"),
-    ("ADDRESS", r"\bадрес\s*:\s*\p{L}+"),
-    ("ADDRESS", r"\bулица\s+\p{L}+"),
+#: What a token must be: one of some words in lower case, one of some strings as they are, a number, or letters only.
+Element = tuple[str, list[str]]
+
+
+def _word(*words: str) -> Element:
+    return "lower", list(words)
+
+
+_NUMBER, _LETTERS, _COLON, _PLUS = ("number", []), ("letters", []), ("text", [":"]), ("text", ["+"])
+#: Token rules, as types and their elements.
+TOKEN_RULES: list[tuple[str, list[Element]]] = [
+    ("AGE", [_NUMBER, _word("лет")]),
+    ("AGE", [_word("мне"), _NUMBER, _word("лет")]),
+    ("AGE", [_word("возраст"), _COLON, _NUMBER]),
+    ("PHONE", [_PLUS, _NUMBER]),
+    ("PHONE", [_word("тел"), _COLON, _NUMBER]),
+    ("EDUCATION", [_word("выпускник"), _LETTERS]),
+    ("EDUCATION", [_word("студент"), _LETTERS]),
+    ("EDUCATION", [_word("окончил"), _LETTERS]),
+    ("POSITION", [_word("работаю"), _LETTERS]),
+    ("POSITION", [_word("должность"), _COLON, _LETTERS]),
+    ("POSITION", [_word("профессия"), _COLON, _LETTERS]),
+    ("ADDRESS", [_word("живу"), _word("в", "на"), _LETTERS]),
+    ("ADDRESS", [_word("адрес"), _COLON, _LETTERS]),
+    ("ADDRESS", [_word("улица"), _LETTERS]),
 ]
+#: Numerals that are numbers too.
+NUMERALS = [
+    "ноль", "один", "два", "три", "четыре", "пять", "шесть", "семь", "восемь", "девять", "десять", "одиннадцать", "двенадцать", "тринадцать", "четырнадцать", "пятнадцать", "шестнадцать",
+    "семнадцать", "восемнадцать", "девятнадцать", "двадцать", "тридцать", "сорок", "пятьдесят", "шестьдесят", "семьдесят", "восемьдесят", "девяносто", "сто", "двести", "триста", "тысяча", "миллион",
+]
 
 #: The patterns above, for which the guards hold.
-_OWN = {r for _, r, _ in _CATALOGUE} | {FULL_NAME.regex} | {r for _, _, rs in RECOGNISERS for r in rs} | {r for _, r in TOKEN_RULES}
+_OWN = {r for _, r, _ in _CATALOGUE} | {FULL_NAME.regex} | {r for _, _, rs in RECOGNISERS for r in rs}

@@ -16,6 +16,52 @@ def none(shape: str = CANDIDATE) -> Column:
     return F.array().cast(f"array<{shape}>")
 
 
+#: Between windows: a mark that no pattern matches, with white space at both sides as in the text.
+MARK = "\x01"
+BETWEEN = f"\n{MARK}\n"
+#: A word (what stands between white space) that may hold a part of a match: it has a digit, one of ``@ * + /``, or a dot before its end.
+_LIVE = r"[^\s\d@*+/.]*+(?:[\d@*+/]|\.(?=\S))\S*+"
+#: Live words that follow each other, with words of hyphens and brackets only between them, and a word that ends with the label of an address.
+WINDOW = rf"(?U)(?<!\S)(?:{_LIVE}|(?:[^\s:]*+:)+?(?<=email:)(?=\s))(?:\s++(?:{_LIVE}|[-()]++(?!\S)))*+"
+
+
+def windows(text: Column) -> Column:
+    """The stretches of a text that can hold a match of a pattern of digits, addresses or stars: struct of ``text``, the stretches with MARK between
+    them, and ``shifts``, for each stretch how far its characters stand from their places in the text. Null text: null.
+
+    A text that holds MARK itself is one stretch.
+    """
+    pairs = F.arrays_zip(F.split(text, WINDOW, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WINDOW), F.lit(0)).alias("hit"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        shift = acc["shift"] + F.length(pair["gap"])
+        shifts = F.when(pair["hit"].isNotNull(), F.concat(acc["shifts"], F.array(shift))).otherwise(acc["shifts"])
+        return F.struct((shift - len(BETWEEN)).alias("shift"), shifts.alias("shifts"), F.when(pair["hit"].isNotNull(), F.concat(acc["hits"], F.array(pair["hit"]))).otherwise(acc["hits"]).alias("hits"))
+
+    start = F.struct(F.lit(0).alias("shift"), F.array().cast("array<int>").alias("shifts"), F.array().cast("array<string>").alias("hits"))
+    cut = F.aggregate(pairs, start, step, lambda acc: F.struct(F.array_join(acc["hits"], BETWEEN).alias("text"), acc["shifts"].alias("shifts")))
+    whole, nothing = F.struct(text.alias("text"), F.array(F.lit(0)).alias("shifts")), F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
+    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit(MARK)), whole).when(F.regexp_like(text, F.lit(WINDOW)), cut).otherwise(nothing)
+
+
+def find_in(windows_: Column, regex: str, type_: str, order: int = 0, priority: int = 1) -> Column:
+    """``find`` for a pattern whose matches lie in the windows of a text; places are those in the text."""
+    text, shifts = windows_["text"], windows_["shifts"]
+    pairs = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hit"))
+    one_stretch = F.size(shifts) == 1
+
+    def step(acc: Column, pair: Column) -> Column:
+        at = acc["at"] + F.length(pair["gap"])
+        stretch = F.when(one_stretch, 0).otherwise(acc["stretch"] + F.length(pair["gap"]) - F.length(F.replace(pair["gap"], F.lit(MARK), F.lit(""))))
+        start = at + F.get(shifts, stretch)
+        one = F.struct(start.alias("start"), (start + F.length(pair["hit"])).alias("end"), F.lit(order).alias("order"), F.lit(priority).alias("priority"), F.lit(type_).alias("type"), pair["hit"].alias("text"))
+        found = F.when(pair["hit"].isNotNull(), F.concat(acc["found"], F.array(one).cast(f"array<{CANDIDATE}>"))).otherwise(acc["found"])
+        return F.struct((at + F.coalesce(F.length(pair["hit"]), F.lit(0))).alias("at"), stretch.alias("stretch"), found.alias("found"))
+
+    fold = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("stretch"), none().alias("found")), step, lambda acc: acc["found"])
+    return F.when(text.isNull(), F.lit(None)).when(F.regexp_like(text, F.lit(regex)), fold).otherwise(none())
+
+
 def find(text: Column, regex: str, type_: str, order: int = 0, priority: int = 1) -> Column:
     """All leftmost matches of a pattern, as candidates. Null text: null.
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import labels, spans
+from ..functions import labels, spans, tokens
 from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, FULL_NAME_ABOVE, GUARDS, PRIORITY, RECOGNISERS, TOKEN_RULES, Pattern
 from ..functions.rows import packed, unpacked
 from ..functions.text import first_place, likely_name, normalise
@@ -44,17 +44,25 @@ def _no_error() -> Column:
 
 
 def _guarded(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Adds ``has_<guard>`` for the guards that patterns need: a text without such a thing skips them all."""
-    for name in dict.fromkeys(p.guard for p in patterns):
-        if name:
-            string, regex = GUARDS[name]
-            rows = rows.withColumn(f"has_{name}", F.contains("t", F.lit(string)) if string else F.regexp_like("t", F.lit(regex)))
+    """Adds ``w``, the windows of ``t`` (``spans.windows``), and ``has_<guard>`` for the guards that patterns need.
+
+    Texts that lack a guard's thing skip its patterns. All but those of Cyrillic letters are looked for in the windows only.
+    """
+    guards = [g for g in dict.fromkeys(p.guard for p in patterns) if g]
+    if any(g != "cyrillic" for g in guards):
+        rows = rows.withColumn("w", spans.windows(F.col("t")))
+    for name in guards:
+        string, regex = GUARDS[name]
+        where = F.col("t") if name == "cyrillic" else F.col("w.text")
+        rows = rows.withColumn(f"has_{name}", F.contains(where, F.lit(string)) if string else F.regexp_like(where, F.lit(regex)))
     return rows
 
 
 def _find(p: Pattern, priority: int = 1) -> Column:
-    hits = spans.find(F.col("t"), p.java, p.type, p.order, priority)
-    return F.when(~F.col(f"has_{p.guard}"), spans.none()).otherwise(hits) if p.guard else hits
+    if not p.guard:
+        return spans.find(F.col("t"), p.java, p.type, p.order, priority)
+    hits = spans.find(F.col("t"), p.java, p.type, p.order, priority) if p.guard == "cyrillic" else spans.find_in(F.col("w"), p.java, p.type, p.order, priority)
+    return F.when(~F.col(f"has_{p.guard}"), spans.none()).otherwise(hits)
 
 
 @dataclass
@@ -115,14 +123,20 @@ class RecogniserDetector(Detector):
 
 @dataclass
 class TokenRuleDetector(Detector):
-    """The token rules as patterns, leftmost-longest. Words are runs of letters or digits: a tokeniser may cut rare cases otherwise."""
+    """The token rules, leftmost-longest, ties to the first rule. Tokens are those of ``functions.tokens``."""
 
-    rules: list[tuple[str, str]] = field(default_factory=lambda: TOKEN_RULES)
+    rules: list[tokens.Rule] = field(default_factory=lambda: TOKEN_RULES)
     name: str = "spacy_rules"
 
     def candidates(self, rows: DataFrame) -> tuple[DataFrame, Column]:
-        patterns = [Pattern(type_, regex, True, n) for n, (type_, regex) in enumerate(self.rules)]
-        return _guarded(rows, patterns), F.concat(spans.none(), *[_find(p) for p in patterns])
+        kinds = {tokens.needs(r) for r in self.rules}
+        whole = F.struct(F.col("t").alias("text"), F.array(F.lit(0)).alias("shifts"))
+        string, regex = GUARDS["cyrillic"]
+        # A text without Cyrillic letters is read where its plus signs and digits stand, if at all.
+        some = spans.windows(F.col("t")) if "window" in kinds else F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
+        read = whole if "" in kinds else F.when(F.regexp_like("t", F.lit(regex)), whole).otherwise(some)
+        rows = rows.withColumn("read", read)
+        return rows, F.when(F.col("t").isNotNull(), tokens.find_rules(F.col("read"), self.rules))
 
     def found(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
         rows, hits = self.candidates(rows)
@@ -231,7 +245,7 @@ class RulesAndModelDetector(Detector):
 
     make: Callable[[], Predict]
     labels: str = "spacy"
-    rules: list[tuple[str, str]] = field(default_factory=lambda: TOKEN_RULES)
+    rules: list[tokens.Rule] = field(default_factory=lambda: TOKEN_RULES)
     name: str = "spacy"
     fallback: Callable[[], Predict] | None = field(default=lambda: blank_model())
 

@@ -2,19 +2,26 @@
 
 Spans are rows of scope, start, end, type. The scope is a document, or one constant for all of them ("pooled",
 where equal spans of different texts collapse). Matching is one-to-one and greedy: gold spans in order of start and end take the best
-prediction that is left. It is done in rounds of joins: a gold span whose best prediction no earlier one could take is matched
-at once, so a round settles all that do not wait for each other, and no group of spans meets in one task.
+prediction that is left. It is one ordered sweep: spans are cut into islands where none reaches into the next, and each island is
+folded once in order of start, with only those spans in memory that later ones can still reach. The number of jobs does not depend on how
+many spans wait for each other.
 
 Defined results: repeated spans count once; spans without a scope, start, end or type match nothing, but count; rates of an empty side are 0.
 """
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..scratch import release, written
+from ..scratch import written
+from . import ordered
 
 KEYS = ["scope", "start", "end", "type"]
 #: Fixed value: most characters between persons' spans that are one person.
@@ -38,27 +45,77 @@ def near(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colu
     return F.abs(a_start - b_start) + F.abs(a_end - b_end) <= 1
 
 
-#: Overlapping spans meet in stretches of so many characters.
-STRETCH = 64
-GOLD, GUESS = ["scope", "type", "start", "end"], ["scope", "type", "p_start", "p_end"]
+MATCH = "scope string, type string, start long, end long, p_start long, p_end long"
+
+
+def overlap(gold: tuple[int, int], predicted: tuple[int, int]) -> float:
+    """``overlap_score`` of two spans that share a character; below 0 for others."""
+    both = min(gold[1], predicted[1]) - max(gold[0], predicted[0])
+    return both / (gold[1] - gold[0] + predicted[1] - predicted[0] - both) if both > 0 else -1.0
 
 
-def _greedy(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches (GOLD and p_start, p_end) of candidate pairs with a score: each gold span in order takes its best free prediction, then the first."""
-    left, matches = written(pairs, "pairs"), []
-    while not left.isEmpty():
-        best = left.groupBy(GOLD).agg(F.max(F.struct("score", (-F.col("p_start")).alias("a"), (-F.col("p_end")).alias("b"))).alias("best"))
-        best = best.select(*GOLD, (-F.col("best.a")).alias("p_start"), (-F.col("best.b")).alias("p_end"))
-        first = left.groupBy(GUESS).agg(F.min(F.struct("start", "end")).alias("first"))
-        settled = best.join(first, GUESS).where((F.col("start") == F.col("first.start")) & (F.col("end") == F.col("first.end"))).select(*GOLD, "p_start", "p_end")
-        matches.append(written(settled, "matches"))
-        rest = written(left.join(matches[-1].select(GOLD), GOLD, "left_anti").join(matches[-1].select(GUESS), GUESS, "left_anti"), "pairs")
-        release(left)
-        left = rest
-    out = pairs.sparkSession.createDataFrame([], "scope string, type string, start long, end long, p_start long, p_end long")
-    for some in matches:
-        out = out.unionByName(some)
-    return out
+def nearness(gold: tuple[int, int], predicted: tuple[int, int]) -> float:
+    """0 for spans that are ``near``; below 0 for others."""
+    return 0.0 if abs(gold[0] - predicted[0]) + abs(gold[1] - predicted[1]) <= 1 else -1.0
+
+
+class Sweep:
+    """Greedy matches of one island's spans, which come in order of start and end.
+
+    A gold span waits until no later span can be its match, and until those before it are settled. A prediction is forgotten once it lies
+    behind all gold spans to come.
+    """
+
+    def __init__(self, threshold: float):
+        self.score, self.least = (overlap, threshold) if threshold < 1.0 else (nearness, 0.0)
+        self.reach = (lambda s: s[1]) if threshold < 1.0 else (lambda s: s[0] + 2)
+        self.waiting: deque[tuple[int, int]] = deque()
+        self.free: list[tuple[int, int]] = []
+
+    def add(self, span: tuple[int, int], gold: bool, predicted: bool) -> Iterator[tuple[int, int, int, int]]:
+        """Takes the next span in; gives the matches that are settled before it."""
+        yield from self.settle(span[0])
+        if gold:
+            self.waiting.append(span)
+        if predicted:
+            self.free.append(span)
+
+    def settle(self, at: float = math.inf) -> Iterator[tuple[int, int, int, int]]:
+        """Matches of all gold spans that spans from ``at`` on cannot reach."""
+        while self.waiting and self.reach(self.waiting[0]) <= at:
+            gold = self.waiting.popleft()
+            best, found = self.least, None
+            for p in self.free:  # in order, so that the first of equal scores stays
+                score = self.score(gold, p)
+                if score > best or score == best and found is None:
+                    best, found = score, p
+            if found is not None:
+                self.free.remove(found)
+                yield (*gold, *found)
+        behind = min(at, self.waiting[0][0]) if self.waiting else at
+        if self.free and any(self.reach(p) <= behind for p in self.free):
+            self.free = [p for p in self.free if self.reach(p) > behind]
+
+
+def _swept(spans_: DataFrame, threshold: float) -> DataFrame:
+    """One-to-one matches of distinct spans (KEYS, gold, predicted): each gold span in order takes its best free prediction, then the first."""
+    reach = F.col("end") if threshold < 1.0 else F.col("start") + 2
+    whole = spans_.where(" AND ".join(f"`{k}` IS NOT NULL" for k in KEYS)).withColumn("reach", reach)
+    rows = ordered.islands(whole, ["scope", "type"], ["start", "end"], "reach").select(F.col("island.part").alias("a"), F.col("island.number").alias("b"), *KEYS, "gold", "predicted")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, sweep, scope, type_ = None, Sweep(threshold), None, None
+        for batch in batches:
+            found = []
+            for a, b, new_scope, start, end, new_type, gold, predicted in batch.itertuples(index=False, name=None):
+                if (a, b) != island:
+                    found += [(scope, type_, *m) for m in sweep.settle()]
+                    island, sweep, scope, type_ = (a, b), Sweep(threshold), new_scope, new_type
+                found += [(scope, type_, *m) for m in sweep.add((start, end), gold == 1, predicted == 1)]
+            yield pd.DataFrame(found, columns=["scope", "type", "start", "end", "p_start", "p_end"])
+        yield pd.DataFrame([(scope, type_, *m) for m in sweep.settle()], columns=["scope", "type", "start", "end", "p_start", "p_end"])
+
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "start", "end").mapInPandas(fold, MATCH)
 
 
 def _labelled(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -69,19 +126,7 @@ def _labelled(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def _not_exact(both: DataFrame, threshold: float) -> DataFrame:
     """Greedy matches: of spans without an exact partner at threshold 1, and of all spans below."""
-    if threshold < 1.0:
-        g, p = both.where("gold = 1"), both.where("predicted = 1")
-        # Spans that overlap share the stretch in which the later one starts.
-        in_stretches = lambda df: df.select(*KEYS, F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.greatest("end", F.col("start") + 1) - 1) / STRETCH))).alias("stretch"))
-        places = in_stretches(p).select("scope", "type", "stretch", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-        met = in_stretches(g).join(places, ["scope", "type", "stretch"]).where((F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end")))
-        once = met.where(F.col("stretch") == F.floor(F.greatest("start", "p_start") / STRETCH)).drop("stretch")
-        return _greedy(once.withColumn("score", overlap_score(*map(F.col, ("start", "end", "p_start", "p_end")))).where(F.col("score") >= threshold))
-    g, p = both.where("gold = 1 AND predicted = 0"), both.where("gold = 0 AND predicted = 1")
-    places = p.select("scope", "type", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
-    moved = g.select(*KEYS, shifts.alias("shift")).select(*KEYS, (F.col("start") + F.col("shift.a")).alias("p_start"), (F.col("end") + F.col("shift.b")).alias("p_end"))
-    return _greedy(moved.join(places, ["scope", "type", "p_start", "p_end"], "left_semi").withColumn("score", F.lit(0.0)))
+    return _swept(both if threshold < 1.0 else both.where("gold <> predicted"), threshold)
 
 
 def match_spans(gold: DataFrame, predicted: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -170,14 +215,19 @@ def trim_ages(found: Column, text: Column) -> Column:
 
 
 def name_islands(rows: DataFrame) -> DataFrame:
-    """``merge_names`` for span rows (scope, start, end, type, ...) as gaps and islands: scope, type, start, end, members."""
-    by_place = Window.partitionBy("scope").orderBy("start", "end", "type")
-    last_type, last_end = F.lag("type").over(by_place), F.lag("end").over(by_place)
-    joins = (F.col("type") == "PERSON") & (last_type == "PERSON") & (F.col("start") <= last_end + NAME_GAP)
-    marked = rows.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    island = F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = marked.withColumn("island", island).groupBy("scope", "island")
-    return numbered.agg(F.first("type").alias("type"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.count(F.lit(1)).alias("members")).drop("island")
+    """``merge_names`` for span rows (scope, start, end, type, ...) as gaps and islands: scope, type, start, end, members.
+
+    Equal spans are counted first, and no window runs over a scope: a scope may hold any number of spans.
+    """
+    counted = rows.groupBy("scope", "start", "end", "type").agg(F.count(F.lit(1)).alias("n"))
+    is_name = F.col("type") == "PERSON"
+    reach = F.when(is_name, F.col("end") + NAME_GAP)
+    found = ordered.islands(counted.withColumn("reach", reach), ["scope"], ["start", "end", "type"], "reach", is_name & (F.col("start") <= F.col("reached")), furthest=False)
+    # Equal spans that do not join each other are islands of their own.
+    apart = F.when(F.coalesce(is_name & (F.col("start") <= F.col("end") + NAME_GAP), F.lit(False)), F.lit(1)).otherwise(F.col("n"))
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), apart.cast("long")))).withColumn("n", F.when(apart == 1, F.col("n")).otherwise(1))
+    grouped = each.groupBy("scope", ordered.ISLAND, "copy")
+    return grouped.agg(F.first("type").alias("type"), F.min("start").alias("start"), F.max_by("end", F.struct(ordered.PART, ordered.PLACE)).alias("end"), F.sum("n").alias("members")).drop(ordered.ISLAND, "copy")
 
 
 def ranking(metrics: DataFrame) -> DataFrame:

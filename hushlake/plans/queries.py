@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import masking, spans
+from ..functions import masking, spans, tokens
 from ..functions import text as texts
-from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, MOST_NAME_WORDS, NOT_NAMES, PRIORITY, RECOGNISERS, SCREEN, TOKEN_RULES, Pattern
+from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, MOST_NAME_WORDS, NOT_NAMES, NUMERALS, PRIORITY, RECOGNISERS, SCREEN, TOKEN_RULES, Pattern
 from ..operators import annotation_qa, datasets, ensemble, evaluation, generation
 from ..operators.detectors import PatternDetector, RecogniserDetector, TokenRuleDetector, decode_bio
+from ..scratch import written
 from ..sources import dialogs as dialog_files
 from ..sources.metrics import append_absent
 from . import jobs
@@ -65,9 +66,9 @@ def candidates_sql(patterns: list[Pattern], source: str = "SELECT doc_id, text A
     ), cand AS (SELECT doc_id, ord, prio, type, text, s FROM every WHERE {f"CASE ord {ends} ELSE TRUE END" if ends else "TRUE"})"""
 
 
-def resolved_sql(patterns: list[Pattern], source: str | None = None, by_length: bool = False, unicode: bool = False, where: str = "TRUE") -> str:
-    """CTEs that end in ``kept`` (doc_id, s, e, type, text); ``where`` chooses among the candidates ``c``."""
-    cand = candidates_sql(patterns, source, unicode) if source else candidates_sql(patterns)
+def resolved_sql(patterns: list[Pattern], source: str | None = None, by_length: bool = False, unicode: bool = False, where: str = "TRUE", cand: str = "") -> str:
+    """CTEs that end in ``kept`` (doc_id, s, e, type, text); ``where`` chooses among the candidates ``c``, which CTEs of one's own may make."""
+    cand = cand or (candidates_sql(patterns, source, unicode) if source else candidates_sql(patterns))
     order, wins = ("s, -length(text), ord", "FALSE") if by_length else ("s, s + length(text), ord", "r.prio > f.prio")
     take = f"(r.s >= f.e OR {wins})"
     return f"""WITH RECURSIVE {cand},
@@ -308,8 +309,9 @@ def text_analysis(spark, sf_dir):
 
 
 def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Gold spans, and the same moved by none, one or two characters after the document's number."""
-    rows = exploded(found(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("scope"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("span_type").alias("type"))
+    """Gold spans, and the same moved by none, one or two characters after the document's number. Detection runs once."""
+    spans_ = exploded(found(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("scope"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("span_type").alias("type"))
+    rows = written(spans_, "spans")
     return rows, rows.withColumn("start", F.col("start") + F.pmod(F.col("scope").cast("long"), F.lit(3)))
 
 
@@ -345,6 +347,56 @@ def metrics_by_overlap(spark, sf_dir):
 _CAPITALS = Pattern("PERSON", "[A-Z][a-z]+")
 
 
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gold: from each capitalised word to eight characters into the third after it, so that spans overlap in long chains. Predicted: each from two to four
+    characters later, twice of the same start for some, so that they compete and tie."""
+    words = F.transform(spans.find(F.col("text"), _CAPITALS.java, "PERSON"), lambda s: s["start"])
+    third = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(1))).alias("b"))).alias("k", "s"))
+    at = third.where("s.b IS NOT NULL").select(F.col("doc_id").cast("string").alias("scope"), F.col("k").cast("long").alias("k"), F.col("s.a").cast("long").alias("start"), (F.col("s.b") + 8).cast("long").alias("end"), F.lit("PERSON").alias("type"))
+    rows = written(at, "spans")
+    shifts = F.array(F.lit(2), F.when(F.col("k") % 3 == 0, F.lit(4)), F.when(F.col("k") % 5 == 0, F.lit(-2)))
+    moved = rows.withColumn("by", F.explode(F.array_compact(shifts))).select("scope", (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.abs("by") - 2).alias("end"), "type")
+    return rows.drop("k"), moved
+
+
+@query(
+    f"""WITH RECURSIVE {candidates_sql([_CAPITALS])},
+    w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k, s, lead(s, 2) OVER (PARTITION BY doc_id ORDER BY s) + 8 AS e FROM cand),
+    g AS (SELECT doc_id, k + 1 AS i, s, e FROM w WHERE e IS NOT NULL),
+    p AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS j FROM (
+      SELECT DISTINCT doc_id, s + b AS s, e + abs(b) - 2 AS e FROM (SELECT doc_id, s, e, unnest([2, CASE WHEN k % 3 = 0 THEN 4 END, CASE WHEN k % 5 = 0 THEN -2 END]) AS b FROM w WHERE e IS NOT NULL) WHERE b IS NOT NULL)),
+    c AS (SELECT * FROM (SELECT g.doc_id, g.i, p.j, (least(g.e, p.e) - greatest(g.s, p.s))::DOUBLE / (g.e - g.s + p.e - p.s - (least(g.e, p.e) - greatest(g.s, p.s))) AS score
+          FROM g JOIN p ON p.doc_id = g.doc_id AND p.s < g.e AND g.s < p.e) WHERE score >= 0.4),
+    o AS (SELECT doc_id, i, list(j ORDER BY score DESC, j) AS js, min(j) AS least FROM c GROUP BY doc_id, i),
+    q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o),
+    f(doc_id, n, used, hit) AS (
+      SELECT doc_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM (SELECT DISTINCT doc_id FROM q)
+      UNION ALL
+      SELECT doc_id, n, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, hit
+      FROM (SELECT q.doc_id, q.n, list_filter(f.used, lambda x: x >= q.least - 60) AS used, list_filter(q.js, lambda x: NOT list_contains(f.used, x))[1] AS hit FROM f JOIN q ON q.doc_id = f.doc_id AND q.n = f.n + 1)
+    ),
+    t AS (SELECT (SELECT count(*) FROM f WHERE hit IS NOT NULL) AS tp, (SELECT count(*) FROM (SELECT DISTINCT doc_id, s, e FROM g)) AS gold, (SELECT count(*) FROM p) AS predicted)
+    SELECT tp, predicted - tp AS fp, gold - tp AS fn, round(tp / predicted, 6) AS precision, round(tp / gold, 6) AS recall, round(2.0 * tp / (predicted + gold), 6) AS f1 FROM t"""
+)
+def metrics_of_chains(spark, sf_dir):
+    """Spans that wait for each other in chains as long as a text, with ties, matched by overlap."""
+    return evaluation.overall_metrics(*_chain(spark, sf_dir), 0.4).select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    f"""WITH {candidates_sql([_CAPITALS])},
+    d AS (SELECT DISTINCT s, s + length(text) AS e FROM cand), n AS (SELECT s, s + length(text) AS e, count(*) AS n FROM cand GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN s <= lag(e) OVER (ORDER BY s, e) + 3 THEN 0 ELSE 1 END AS fresh FROM n),
+    i AS (SELECT *, sum(fresh) OVER (ORDER BY s, e) AS island FROM m)
+    SELECT min(s) AS span_start, arg_max(e, (s, e)) AS span_end, sum(n)::BIGINT AS members FROM i GROUP BY island""".replace("d AS (SELECT DISTINCT s, s + length(text) AS e FROM cand), ", "")
+)
+def pooled_name_islands(spark, sf_dir):
+    """Names of all documents in one scope."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", spans.find(F.col("text"), _CAPITALS.java, "PERSON").alias("spans"))
+    merged = evaluation.name_islands(evaluation.span_rows(docs, pooled=True))
+    return merged.select(F.col("start").alias("span_start"), F.col("end").alias("span_end"), "members")
+
+
 @query(
     f"""WITH {candidates_sql([_CAPITALS])},
     m AS (SELECT *, s + length(text) AS e, CASE WHEN s <= lag(s + length(text)) OVER (PARTITION BY doc_id ORDER BY s) + 3 THEN 0 ELSE 1 END AS fresh FROM cand),
@@ -503,22 +555,25 @@ SENTENCES = [
 RULED = [
     "Ему 3#1 лет.", "Мне 4#1 лет, живу в Омске.", "Возраст: #2 и рост", "Звоните + 7912#4", "тел: #4, добавочный", "Я выпускник МГТУ", "Она студент МФТИ", "Он окончил школу",
     "Работаю инженером", "должность : директор", "Профессия: врач", "живу на даче", "адрес: Тверь", "улица Садовая, дом #2", "Меня зовут Анна Белова, 8-912-34#1-#2-67", "Иванов П. С. и a#4@b.example", "Друг сказал: Олег Павлович Громов",
+    "Студент МГТУ2 и студент МГТУ-2, окончил «Школу», окончил (вуз)", "Детям 1,5 лет, 10/12 лет, 7-8 лет и 3#1лет", "тел.: #4, тел :#4, тел:+#4", "Мне двадцать лет, улица Ново-Садовая", "возраст-: #2, возраст: #2-й, адрес:Тверь",
 ]
 
 
-def planted(spark: SparkSession, sf_dir: str, sentences: list[str]) -> DataFrame:
+def planted(spark: SparkSession, sf_dir: str, sentences: list[str], whole: bool = False) -> DataFrame:
+    """A sentence for each document; ``whole``: at the end of its text."""
     chosen = F.get(F.array(*[F.lit(x) for x in sentences]), F.pmod("doc_id", F.lit(len(sentences))).cast("int"))
     for n in (4, 2, 1):
         chosen = F.replace(chosen, F.lit(f"#{n}"), F.lpad(F.pmod("doc_id", F.lit(10**n)).cast("string"), n, "0"))
-    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("text"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), chosen) if whole else chosen
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-def _planted_sql(sentences: list[str]) -> str:
+def _planted_sql(sentences: list[str], whole: bool = False) -> str:
     listed = ", ".join(f"'{x}'" for x in sentences)
     chosen = f"list_extract([{listed}], (doc_id % {len(sentences)} + 1)::INTEGER)"
     for n in (4, 2, 1):
         chosen = f"replace({chosen}, '#{n}', lpad((doc_id % {10**n})::VARCHAR, {n}, '0'))"
-    return f"SELECT doc_id, {chosen} AS t FROM documents"
+    return f"SELECT doc_id, {"coalesce(text, '') || chr(10) || " if whole else ""}{chosen} AS t FROM documents"
 
 
 _NO_NAME_OVERLAP = f"""ord <> {FULL_NAME.order} OR NOT EXISTS (SELECT 1 FROM cand b WHERE b.doc_id = c.doc_id AND b.ord <> {FULL_NAME.order} AND b.type NOT IN ({", ".join(repr(t) for t in AFTER_NAMES)})
@@ -531,13 +586,35 @@ def planted_spans(spark, sf_dir):
     return exploded(PatternDetector().detect(planted(spark, sf_dir, SENTENCES)))
 
 
-_RULES = [Pattern(t, r, True, n) for n, (t, r) in enumerate(TOKEN_RULES)]
+def rule_candidates_sql(source: str) -> str:
+    """CTEs that end in ``cand``: the token rules over each document's tokens by row numbers."""
+    tests = {
+        "lower": lambda c, v: f"lower({c}) IN ({', '.join(repr(x) for x in v)})",
+        "text": lambda c, v: f"{c} IN ({', '.join(repr(x) for x in v)})",
+        "number": lambda c, _: f"(regexp_matches({c}, '{tokens.NUMBER}') OR lower({c}) IN ({', '.join(repr(x) for x in NUMERALS)}))",
+        "letters": lambda c, _: f"regexp_matches({c}, '{tokens.LETTERS}')",
+    }
+    regex, longest = tokens.TOKEN.replace("'", "''"), max(len(row) for _, row in TOKEN_RULES)
+    rules = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS ord, 1 AS prio, '{type_}' AS type, substr(t, s + 1, e{len(row) - 1} - s) AS text, s FROM tok WHERE {' AND '.join(tests[kind](f't{k}', v) for k, (kind, v) in enumerate(row))}" for n, (type_, row) in enumerate(TOKEN_RULES)
+    )
+    lead = lambda c, k: f"{c} AS {{}}0" if k == 0 else f"lead({c}, {k}) OVER w AS {{}}{k}"
+    ahead = ", ".join(lead("token", k).format("t") + ", " + lead("s + length(token)", k).format("e") for k in range(longest))
+    return f"""src AS ({source}),
+    cut AS (SELECT doc_id, t, regexp_extract_all(t, '{regex}') AS m, string_split_regex(t, '{regex}') AS g FROM src WHERE t IS NOT NULL),
+    one AS (SELECT doc_id, t, i, m[i] AS token, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut)),
+    pos AS (SELECT doc_id, t, i, token, (sum(gap + length(token)) OVER (PARTITION BY doc_id ORDER BY i) - length(token))::BIGINT AS s FROM one),
+    tok AS (SELECT doc_id, t, s, {ahead} FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    cand AS ({rules})"""
+
+
+_RULE_SPANS = " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM kept"
 
 
-@query(resolved_sql(_RULES, _planted_sql(RULED), by_length=True, unicode=True) + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM kept")
+@query(resolved_sql([], by_length=True, cand=rule_candidates_sql(_planted_sql(RULED, whole=True))) + _RULE_SPANS)
 def planted_token_rules(spark, sf_dir):
-    """All token rules over sentences in Cyrillic."""
-    return exploded(TokenRuleDetector().detect(planted(spark, sf_dir, RULED)))
+    """All token rules over the documents' tokens, a sentence in Cyrillic at the end of each."""
+    return exploded(TokenRuleDetector().detect(planted(spark, sf_dir, RULED, whole=True)))
 
 
 _RECOGNISED = [Pattern(t, r, False, n) for n, (t, r) in enumerate((t, r) for t, _, rs in RECOGNISERS for r in rs)]
@@ -566,7 +643,7 @@ def recogniser_spans(spark, sf_dir):
     return scored(RecogniserDetector().detect(table(spark, sf_dir, "documents")))
 
 
-@query(resolved_sql([Pattern("PHONE", r"\+\s*\d+\b", False, 3)], by_length=True) + " SELECT doc_id, s AS span_start, e AS span_end, type AS span_type, text AS span_text FROM kept")
+@query(resolved_sql([], by_length=True, cand=rule_candidates_sql("SELECT doc_id, text AS t FROM documents")) + _RULE_SPANS)
 def token_rule_spans(spark, sf_dir):
     return exploded(TokenRuleDetector().detect(table(spark, sf_dir, "documents")))
 

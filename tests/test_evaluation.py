@@ -160,6 +160,92 @@ def test_greedy_equals_one_by_one(spark):
         assert evaluation.match_spans(rows(spark, gold, "*"), rows(spark, guess, "*"), threshold).count() == n
 
 
+def jobs_of(spark, action) -> int:
+    """How many Spark jobs an action takes."""
+    name = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(name, "")
+    action()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_chain_of_any_length_takes_the_same_jobs(spark):
+    def links(n):
+        gold = spark.range(n).select(F.lit("d").alias("scope"), F.col("id").alias("start"), (F.col("id") + 10).alias("end"), F.lit(P).alias("type"))
+        return gold, gold.withColumn("start", F.col("start") + 1)
+
+    found = {}
+    counted = {n: jobs_of(spark, lambda n=n: found.update({n: evaluation.match_spans(*links(n), 0.5).count()})) for n in (20, 10_000)}
+    assert found == {20: 20, 10_000: 10_000} and counted[20] == counted[10_000]
+
+
+def one_by_one(gold, guess, score, least):
+    free, out = sorted(guess), []
+    for g in sorted(gold):
+        best = max((x for x in free if x[2] == g[2] and score(g, x) >= least), key=lambda x: (score(g, x), -x[0], -x[1]), default=None)
+        if best:
+            free.remove(best)
+            out.append((*g[:2], *best[:2], g[2]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0.01, 0.3, 0.5, 0.9, 1.0])
+def test_chains_and_ties_over_many_parts(spark, threshold):
+    rng = random.Random(threshold)
+    some = lambda n: {(s, s + rng.choice([0, 1, 2, 3, 8, 9, 200]), rng.choice([P, A])) for s in (rng.randint(0, 900) for _ in range(n))}
+    gold, guess = some(700), some(700)
+    iou = lambda a, b: evaluation.overlap(a[:2], b[:2])
+    if threshold == 1.0:
+        want = one_by_one(gold - guess, guess - gold, lambda a, b: evaluation.nearness(a[:2], b[:2]), 0) + [(a, b, a, b, t) for a, b, t in gold & guess]
+    else:
+        want = one_by_one(gold, guess, iou, threshold)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = evaluation.match_spans(rows(spark, sorted(gold)), rows(spark, sorted(guess)), threshold).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.start, r.end, r.p_start, r.p_end, r.type) for r in got) == sorted(want)
+
+
+def test_spans_with_nulls_match_nothing(spark):
+    holes = spark.createDataFrame([(None, 0, 5, P), ("d", None, 5, P), ("d", 0, None, P), ("d", 0, 5, None), ("d", 0, 5, P)], "scope string, start long, end long, type string")
+    assert [tuple(r) for r in evaluation.match_spans(holes, holes, 0.5).select("start", "end", "p_start", "p_end").collect()] == [(0, 5, 0, 5)]
+
+
+def test_pooled_names_need_no_window_over_the_scope(spark):
+    rng = random.Random(6)
+    spans = [(s, s + rng.choice([1, 2, 3, -9]), rng.choice([P, P, P, A])) for s in (rng.randint(0, 3000) for _ in range(2500))] + [(7, 9, P)] * 900 + [(8, 9, A)] * 900
+    want, last = [], None
+    for s, e, t in sorted(spans):
+        if last and last[2] == t == P and s <= last[1] + evaluation.NAME_GAP:
+            last[1], last[3] = e, last[3] + 1
+        else:
+            last = [s, e, t, 1]
+            want.append(last)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        islands = evaluation.name_islands(rows(spark, spans, "*").repartition(5))
+        got = sorted((r.start, r.end, r.type, r.members) for r in islands.collect())
+        assert "Window [" not in islands._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(tuple, want))
+    assert evaluation.name_islands(rows(spark, [])).count() == 0
+
+
+def test_islands_that_fill_whole_parts(spark):
+    from hushlake.operators import ordered
+
+    df = spark.createDataFrame([("a", i, 5000 if i == 3 else i + 1) for i in range(2000)] + [("b", i, i) for i in range(50)], "g string, start long, reach long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ordered.islands(df, ["g"], ["start", "reach"], "reach").groupBy("g", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("at"), F.count_distinct("part").alias("parts")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.g, r.at, r.n) for r in found) == [("a", 0, 1), ("a", 1, 1), ("a", 2, 1), ("a", 3, 1997), *[("b", i, 1) for i in range(50)]]
+    assert max(r.parts for r in found) > 1
+
+
 def test_evaluation_job_and_metric_files(spark, tmp_path):
     text = "мне 25 лет, a@b.ru"
     dialogs = spark.createDataFrame([(1, text, [(4, 10, A, "25 лет"), (12, 18, "EMAIL", "a@b.ru")])], "id long, text string, entities array<struct<start:long,end:long,type:string,text:string>>")
