@@ -5,7 +5,7 @@ in the vocabulary waits in the bucket of its rank. A bitmap of two levels says w
 steps give the lowest rank, whose leftmost pair is merged. Entries whose pair has changed since stay in their buckets and are
 skipped when they come up. A pre-token of n bytes has at most 3n entries, so time grows with its length and not with its square.
 
-Each worker remembers the ids of words and pre-tokens it has met, up to a fixed number.
+Each worker remembers the ids of words it has met, up to a fixed number.
 
 Defined results: a null or empty text has no ids; rows that share a doc_id, or are equal, are rows of their own, a null doc_id stays null;
 an empty table gives no rows; other columns are ignored. A vocabulary that lacks one of the 256 bytes is an error.
@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 
 from .shared import ship, slices
 
-#: Pre-tokens that one Python worker remembers; about 150 MB. A full memory is emptied.
-CACHE_PIECES = 800_000
+#: Words that one Python worker remembers, twice: when so many are new, those not met again since the last time are forgotten. About 200 MB.
+CACHE_WORDS = 450_000
 #: Characters that are split into words at a time.
 CHUNK_CHARS = 4_000_000
-#: Bits of a leaf of the bitmap, and each bit alone. The upper level is one integer with a bit for each leaf: room for a million ranks.
-WIDE = 256
+#: Each bit alone, for leaves of 256 ranks and as many leaves as a million ranks need.
 BITS = [1 << k for k in range(4096)]
 #: A text that holds one of these is split by the pattern as a whole: its runs of white space are pre-tokens of several characters.
 RUNS = ("  ", " \n", "\n ", "\n\n")
@@ -43,43 +42,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Positions by rank: a bucket for each rank, and a bitmap of two levels over the buckets that hold anything.
-
-    A leaf of the bitmap is one integer with a bit for each of 256 buckets, its top one with a bit for each leaf. A queue that has been emptied can be filled again.
-    """
-
-    def __init__(self, ranks: int):
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-        self.leaves, self.top = [0] * (ranks // WIDE + 1), 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-        else:
-            bucket.append(position)
-            at = rank >> 8
-            if not self.leaves[at]:
-                self.top |= BITS[at]
-            self.leaves[at] |= BITS[rank & 255]
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position."""
-        top, leaves = self.top, self.leaves
-        at = (top & -top).bit_length() - 1
-        leaf = leaves[at]
-        low = leaf & -leaf
-        rank = at << 8 | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        leaves[at] = leaf ^ low
-        if leaf == low:
-            self.top = top ^ BITS[at]
-        return rank, bucket.pop()
-
-
 class RankEncoder:
     """Encodes whole texts, and decodes ids, by a file of ranks and the pattern of its pre-tokens.
 
@@ -87,7 +49,7 @@ class RankEncoder:
     those of its words in order, each with the space or newline before it; a text with longer runs of them is split as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
         import regex
 
         self.ranks = read_ranks(path)
@@ -95,56 +57,90 @@ class RankEncoder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.token_bytes = pa.array(self.tokens, pa.large_binary())
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(len(self.tokens))
-        self.cache_pieces = cache_pieces
-        self.pieces: dict[str, bytes] = {}
+        self.leaves = [0] * (len(self.tokens) // 256 + 1)
+        self.pairs = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        self.cache_words = cache_words
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        known = self.ranks.get(piece)
+        """The ids of one pre-token.
+
+        A leaf of the bitmap is one integer with a bit for each of 256 ranks, its top one with a bit for each leaf. Both are empty again at the end.
+        """
+        rank_of, leaves, n = self.ranks.get, self.leaves, len(piece)
+        known = rank_of(piece)
         if known is not None:
             return [known]
-        rank_of, queue, n = self.ranks.get, self.queue, len(piece)
-        push, pop = queue.push, queue.pop
-        ends, before, ids = list(range(1, n + 1)), list(range(-1, n - 1)), [self.single[b] for b in piece]
+        ids, ends, before = [self.single[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
         #: By the position of a pair's first part: the rank under which it was queued last.
-        waiting = [rank_of(piece[at : at + 2]) for at in range(n - 1)]
-        waiting.append(None)
+        waiting = [self.pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        buckets: dict[int, list[int]] = {}
         for at, rank in enumerate(waiting):
             if rank is not None:
-                push(rank, at)
-        while queue.top:
-            rank, at = pop()
+                if rank in buckets:
+                    buckets[rank].append(at)
+                else:
+                    buckets[rank] = [at]
+        top = 0
+        for rank in buckets:
+            leaves[rank >> 8] |= BITS[rank & 255]
+            top |= BITS[rank >> 8]
+        waiting.append(None)
+        while top:
+            # Two find-first-set steps give the lowest rank; its leftmost position comes first.
+            leaf_no = (top & -top).bit_length() - 1
+            leaf = leaves[leaf_no]
+            low = leaf & -leaf
+            rank = leaf_no << 8 | low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                leaves[leaf_no] = leaf = leaf ^ low
+                if not leaf:
+                    top ^= BITS[leaf_no]
             if waiting[at] != rank:
                 continue
             second = ends[at]
             end = ends[at] = ends[second]
             ids[at], ids[second], waiting[second] = rank, -1, None
+            # The merged part makes a new pair with each of its neighbours.
+            first, new = before[at], None
             if end < n:
                 before[end] = at
-                new = waiting[at] = rank_of(piece[at : ends[end]])
-                if new is not None:
-                    push(new, at)
-            else:
-                waiting[at] = None
-            first = before[at]
-            if first >= 0:
-                new = waiting[first] = rank_of(piece[first:end])
-                if new is not None:
-                    push(new, first)
+                new = rank_of(piece[at : ends[end]])
+            for rank, at in ((new, at), (rank_of(piece[first:end]), first)) if first >= 0 else ((new, at),):
+                waiting[at] = rank
+                if rank is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        leaves[rank >> 8] |= BITS[rank & 255]
+                        top |= BITS[rank >> 8]
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, pre-token by pre-token, as little-endian unsigned 32-bit numbers."""
-        return b"".join([self.pieces.get(piece) or self._new(piece) for piece in self.split(text)])
-
-    def _new(self, piece: str) -> bytes:
-        if len(self.pieces) >= self.cache_pieces:
-            self.pieces.clear()
-        ids = self.merge(piece.encode())
-        made = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return made
+        ids = [i for piece in self.split(text) for i in self.merge(piece.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word, which is remembered."""
+        ids = self.recent.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self.encode(word)
+            if len(self.recent) >= self.cache_words:
+                self.recent, self.older = {}, self.recent
+            self.recent[word] = ids
+        return ids
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (None: the empty text), as little-endian unsigned 32-bit numbers."""
@@ -154,7 +150,7 @@ class RankEncoder:
             if not text:
                 continue
             if text[0] in " \n" or text[-1] in " \n" or any(run in text for run in RUNS):
-                out[i] = self.encode(text)
+                out[i] = b"".join(map(self.word, self.split(text)))
                 continue
             group.append(i)
             chars += len(text)
@@ -170,12 +166,12 @@ class RankEncoder:
         heads, rests = [], []
         for i in group:
             head, _, rest = texts[i].replace("\n", " \n").partition(" ")
-            heads.append(self.encode(head))
+            heads.append(self.word(head))
             rests.append(rest)
         split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         coded = split.values.dictionary_encode()
         # A rest is empty where the text is one word.
-        found = [self.encode(word if word[:1] in ("", "\n") else " " + word) for word in coded.dictionary.to_pylist()]
+        found = [self.word(word if word[:1] in ("", "\n") else " " + word) for word in coded.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, number = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
         of_word = sizes[number]
@@ -185,9 +181,13 @@ class RankEncoder:
         for k, (i, head) in enumerate(zip(group, heads, strict=True)):
             out[i] = head + ids[cuts[k] : cuts[k + 1]].tobytes()
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The bytes of runs of ids: run k ends before number ``ends[k]``."""
+        parts = self.token_bytes.take(ids)
+        offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset :]
+        cuts = np.r_[0, offsets[ends] - offsets[0]] if len(ends) else np.zeros(1, np.int64)
+        content = parts.buffers()[2].slice(offsets[0], offsets[len(parts)] - offsets[0]) if len(parts) else pa.py_buffer(b"")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), content])
 
 
 _encoders: dict[tuple[str, str], RankEncoder] = {}
@@ -221,7 +221,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            made = [encoder(path, pattern).decode(ids or ()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = batch.column("ids")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            made = encoder(path, pattern).decode(ids.flatten(), ends)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from hushlake.llm import queries
-from hushlake.llm.rank_bpe import RankEncoder, RankQueue, decode_documents, encode_documents, read_ranks
+from hushlake.llm.rank_bpe import RankEncoder, decode_documents, encode_documents, read_ranks
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 PIECES = ["a", "B", "é", "\n", "\t", " ", " ", "'s", "'S", "1", "23", ",", "...", " word", "word", "<|endoftext|>", "İ", "Σ", "́", "😀", "-", "　", "\r\n", "ÿ", "×", "\x1c", "\x85", "᠎", "​"]
@@ -22,22 +22,18 @@ def ids_of(content: bytes) -> list[int]:
     return np.frombuffer(content, "<u4").tolist()
 
 
-def test_the_queue_gives_ranks_in_order_and_can_be_filled_again():
-    rng = random.Random(4)
-    queue = RankQueue(50_256)
-    for _ in range(3):
-        held = [(rng.choice([0, 255, 256, 4095, 4096, 50_255, rng.randrange(50_256)]), p) for p in rng.sample(range(1000), 300)]
-        for rank, p in held:
-            queue.push(rank, p)
-        assert [queue.pop() for _ in held] == sorted(held)
-        assert queue.top == 0 and not any(queue.leaves)
+def test_the_bitmap_is_empty_after_each_piece():
+    encoder, rng = RankEncoder(PATH, PATTERN), random.Random(4)
+    for n in (1, 2, 3, 50, 3000):
+        encoder.merge(bytes(rng.choice(b"abc e") for _ in range(n)))
+        assert not any(encoder.leaves)
 
 
 def test_equals_the_library_on_hard_texts(library):
     rng = random.Random(8)
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(15_000)]
     texts += ["x{0}{0} y{0}1{0}.{0} {0}".format(chr(c)) for c in [*range(0x3000), *rng.sample(range(0x3000, 0xD800), 2000), *rng.sample(range(0xE000, 0x110000), 2000)]]
-    for text, got in zip(texts, RankEncoder(PATH, PATTERN, cache_pieces=500).encode_many(texts), strict=True):
+    for text, got in zip(texts, RankEncoder(PATH, PATTERN, cache_words=500).encode_many(texts), strict=True):
         assert ids_of(got) == library.encode_ordinary(text), repr(text)
 
 
@@ -66,6 +62,8 @@ def test_rows_and_round_trip(spark, library):
     want = [(d, library.encode_ordinary(t or ""), (t or "").encode()) for d, t, _ in rows]
     key = lambda x: (x[0] or 0, x[1])
     assert sorted([(r.doc_id, r.ids, bytes(r.decoded)) for r in got], key=key) == sorted(want, key=key)
+    holes = spark.createDataFrame([(1, None), (2, []), (3, [65, 66]), (4, [67])], "doc_id long, ids array<int>").coalesce(1)
+    assert [bytes(r.decoded) for r in decode_documents(holes, PATH, PATTERN).orderBy("doc_id").collect()] == [b"", b"", *[b"".join(library.decode_single_token_bytes(i) for i in x) for x in ([65, 66], [67])]]
     assert encode_documents(docs.limit(0), PATH, PATTERN).columns == ["doc_id", "ids"] and encode_documents(docs.limit(0), PATH, PATTERN).count() == 0
 
 
