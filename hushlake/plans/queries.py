@@ -12,7 +12,7 @@ from ..functions import text as texts
 from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, MOST_NAME_WORDS, NOT_NAMES, NUMERALS, PRIORITY, RECOGNISERS, SCREEN, TOKEN_RULES, Pattern
 from ..operators import annotation_qa, datasets, ensemble, evaluation, generation
 from ..operators.detectors import PatternDetector, RecogniserDetector, TokenRuleDetector, decode_bio
-from ..scratch import written
+from ..scratch import new_folder, written
 from ..sources import dialogs as dialog_files
 from ..sources.metrics import append_absent
 from . import jobs
@@ -733,3 +733,19 @@ def shard_documents(spark, sf_dir):
     read = made.select("shard", "name", F.from_json("document", shape).alias("d"))
     line = F.transform("d.dialogs", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.coalesce(x["text"], F.lit(""))))
     return read.select("shard", "name", "d.metadata.total_dialogs", "d.metadata.dialog_range", F.md5(F.array_join(line, "\n")).alias("dialogs_md5"))
+
+
+@query(
+    ALL_SQL
+    + """, e AS (SELECT doc_id, string_agg(s || '-' || e || ' ' || type || ' ' || text, '|' ORDER BY s) AS listed FROM kept GROUP BY doc_id)
+    SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS pos, d.doc_id AS id, md5(coalesce(d.text, '')) AS text_md5, coalesce(e.listed, '') AS entities, e.listed IS NOT NULL AS has_pd, coalesce(d.lang, '') AS description
+    FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id"""
+)
+def dialog_file(spark, sf_dir):
+    """All documents with their entities as one dialog file, which many tasks read back."""
+    rows = dialogs(spark, sf_dir).withColumn("description", F.coalesce("lang", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+    path = new_folder(spark, "dialog-file")
+    dialog_files.write_document(rows, {"model_used": "none"}, path)
+    listed = F.transform("entities", lambda e: F.concat(e["start"].cast("string"), F.lit("-"), e["end"].cast("string"), F.lit(" "), e["type"], F.lit(" "), e["text"]))
+    read = dialog_files.read_large_dialogs(spark, path)
+    return read.select(F.col("pos").cast("long").alias("pos"), "id", F.md5("text").alias("text_md5"), F.array_join(listed, "|").alias("entities"), "has_pd", "description")

@@ -1,7 +1,8 @@
 """Dialog files: one JSON document of metadata and dialogs, or a bare list of dialogs; and tables of dialogs.
 
-A document is one JSON value, which one task reads or writes; it is the format for exchange. Datasets of any size are written as JSON
-lines beside a document of their metadata (``write_dataset``), or as shards of documents of a bounded number of dialogs.
+A document is one JSON value in one file. ``read_dialogs`` reads each file with one task; ``read_large_dialogs`` deals a file out to many. A
+document is written row by row by one task that never holds it. Datasets of any size are best written as JSON lines beside a document of their
+metadata (``write_dataset``), or as shards of documents of a bounded number of dialogs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import datasets
+from ..scratch import release, written
+from . import parts
+
 _ENTITY = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("value", T.StringType())])
 _DIALOG = T.StructType(
     [
@@ -46,9 +51,20 @@ def read_dialogs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     listed = rows.where("dialogs IS NULL AND text IS NOT NULL").withColumn("n", F.monotonically_increasing_id())
     place = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
     bare = listed.select("file", place.alias("pos"), F.struct(*[f.name for f in _DIALOG.fields]).alias("d"))
+    return _dialogs(whole.unionByName(bare))
+
+
+def read_large_dialogs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """What ``read_dialogs`` gives, each file read by many tasks. Objects that do not fit a dialog's shape are left out."""
+    found = parts.elements(spark, paths).select("file", F.col("pos").cast("int").alias("pos"), F.from_json("json", T.StructType(_DIALOG.fields)).alias("d"))
+    return _dialogs(found.where("d.text IS NOT NULL OR d.id IS NOT NULL OR d.entities IS NOT NULL OR d.personal_data IS NOT NULL"))
+
+
+def _dialogs(rows: DataFrame) -> DataFrame:
+    """Dialogs of rows of file, pos and d, in one form."""
     found = F.coalesce("d.entities", "d.personal_data", F.array().cast(T.ArrayType(_ENTITY)))
     named = F.transform(found, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type"].alias("type"), F.coalesce(e["text"], e["value"], F.lit("")).alias("text"))).cast(f"array<{ENTITY}>")
-    return whole.unionByName(bare).select(
+    return rows.select(
         "file", "pos", F.coalesce("d.id", (F.col("pos") + 1).cast("long")).alias("id"), "d.text", named.alias("entities"), (F.size(named) > 0).alias("has_pd"), F.coalesce("d.description", F.lit("")).alias("description")
     )
 
@@ -71,15 +87,21 @@ def _listed(order: Column) -> Column:
 
 
 def write_document(dialogs: DataFrame, metadata: dict, path: str) -> None:
-    """One document in a new folder, as a text file of one line, dialogs in the order of their ids. For datasets that fit one task.
+    """One document as one text file in a new folder, a dialog a line in the order of their ids. A task that fails leaves no file.
 
-    ``total_dialogs`` of the metadata is set to the number of dialogs, ``generation_timestamp`` to now if there is none.
+    Dialogs are numbered and turned to text by many tasks; the last one sorts the lines, on its disk where they outgrow its memory, and holds none of
+    them. ``total_dialogs`` of the metadata is set to the number of dialogs, ``generation_timestamp`` to now if there is none.
     """
-    known = {"generation_timestamp": time.time()} | metadata
-    one = dialogs.agg(_listed(F.col("id")).alias("dialogs"), F.count(F.lit(1)).alias("n"))
-    table = F.from_json(F.lit(json.dumps(known, ensure_ascii=False)), F.schema_of_json(F.lit(json.dumps(known, ensure_ascii=False))))
-    fields = [table.getField(k).alias(k) for k in known if k != "total_dialogs"]
-    one.select(_document(F.col("dialogs"), F.struct(F.col("n").alias("total_dialogs"), *fields)).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+    fields = [c for c in ("text", "entities", "has_pd", "description", "id") if c in dialogs.columns]
+    numbered = datasets.numbered(dialogs.select(*fields), ["id"], "line_no")
+    lines = written(numbered.select("line_no", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value")), "lines")
+    n = lines.count()
+    known = {"generation_timestamp": time.time()} | metadata | {"total_dialogs": n}
+    ends = [(0, '{"metadata": ' + json.dumps(known, ensure_ascii=False) + ', "dialogs": ['), (n + 1, "]}")]
+    comma = F.when(F.col("line_no") < n, F.concat("value", F.lit(","))).otherwise(F.col("value"))
+    every = lines.select("line_no", comma.alias("value")).unionByName(lines.sparkSession.createDataFrame(ends, "line_no long, value string"))
+    every.repartition(1).sortWithinPartitions("line_no").select("value").write.mode("errorifexists").text(path)
+    release(lines)
 
 
 def shard_documents(sharded: DataFrame, parent: str, model_used: str = "unknown") -> DataFrame:
