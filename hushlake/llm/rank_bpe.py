@@ -14,6 +14,7 @@ an empty table gives no rows; other columns are ignored. A vocabulary that lacks
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from .shared import ship, slices
 
-#: Words that one Python worker remembers, twice: when so many are new, those not met again since the last time are forgotten. About 200 MB.
-CACHE_WORDS = 450_000
+#: Words that one Python worker remembers, twice: when so many are new, those not met again since the last time are forgotten. About 170 MB.
+CACHE_WORDS = 400_000
 #: Characters that are split into words at a time.
 CHUNK_CHARS = 4_000_000
 #: Each bit alone, for leaves of 256 ranks and as many leaves as a million ranks need.
 BITS = [1 << k for k in range(4096)]
+#: A space, plain letters and one mark.
+ENDED = re.compile("( [A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])").fullmatch
 #: A text that holds one of these is split by the pattern as a whole: its runs of white space are pre-tokens of several characters.
 RUNS = ("  ", " \n", "\n ", "\n\n")
 
@@ -59,6 +62,8 @@ class RankEncoder:
             self.tokens[rank] = token
         self.token_bytes = pa.array(self.tokens, pa.large_binary())
         self.split = regex.compile(pattern).findall
+        apart = all(self.split(f" Aé{mark}") == [" Aé", mark] for mark in ".,;:!?")
+        self.ended = ENDED if apart else lambda _: None
         self.leaves = [0] * (len(self.tokens) // 256 + 1)
         self.pairs = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
         self.cache_words = cache_words
@@ -136,6 +141,9 @@ class RankEncoder:
         if ids is None:
             ids = self.older.get(word)
             if ids is None:
+                parts = self.ended(word)
+                if parts:  # two pre-tokens, of which only the letters are remembered
+                    return self.word(parts[1]) + self.word(parts[2])
                 ids = self.encode(word)
             if len(self.recent) >= self.cache_words:
                 self.recent, self.older = {}, self.recent
