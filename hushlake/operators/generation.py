@@ -1,9 +1,10 @@
 """Plans of synthetic dialogs: sampled configurations, batches, prompts, a model's replies and their repair.
 
-A model's replies cannot be repeated, so they are written before anything looks at them: each prompt is sent once, and a batch
-that needs repair once more, however often the results are read.
+A model's replies cannot be repeated. Each goes into a ledger as soon as it comes: a task that runs again, a result that is read again and a job that
+is started again with its ledger send only what has no answer yet. A task that is lost between an answer and its entry sends that one prompt twice.
 
-Defined results: a plan of no dialogs is empty; a batch without a prompt fails; a null or unreadable reply holds no dialogs.
+Defined results: a plan of no dialogs is empty; a batch without a prompt fails; a null or unreadable reply holds no dialogs; rows that are equal in all
+columns are one request and share its reply; a failed request is an answer too, and is sent again only with another ledger.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import may_hold_personal_data
-from ..scratch import written
+from ..scratch import ship, temporary_folder, written
+from ..sources.ledger import Ledger
 from .datasets import ENTITY, normalise_dialogs
 
 # Weights of each choice, sizes of batches, and percentages.
@@ -50,12 +53,16 @@ def weighted_choice(u: Column, weights: dict[str, float]) -> Column:
 
 def sample_configs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """``n`` configurations, numbered from 0."""
-    rows = spark.range(n).withColumnRenamed("id", "batch")
+    return sampled(spark.range(n).withColumnRenamed("id", "batch"), seed)
+
+
+def sampled(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """Rows of ``batch`` and other columns with a configuration drawn by ``batch``."""
     u = lambda salt: uniform(F.col("batch"), salt, seed)
     between = lambda salt, low, high: (F.floor(u(salt) * (high - low + 1)) + low).cast("int")
     sizes = F.array(*[F.lit(s) for s in BATCH_SIZES])
     return rows.select(
-        "batch",
+        *rows.columns,
         weighted_choice(u("sphere"), SPHERES).alias("business_sphere"),
         weighted_choice(u("region"), REGIONS).alias("regional_focus"),
         weighted_choice(u("quality"), QUALITIES).alias("transcription_quality"),
@@ -89,6 +96,25 @@ def plan_batches(spark: SparkSession, total: int, most: int = 50, seed: int = 42
     return planned.withColumn("batch_size", F.least(F.col("batch_size"), F.lit(total) - F.col("before")).cast("int")).select("batch", *CONFIG)
 
 
+def plan_batches_by(totals: DataFrame, key: str, total: str, most: int = 50, seed: int = 42) -> DataFrame:
+    """A plan for each row of ``totals`` (one for each key): the key, number (from 0), batch (``key:number``) and CONFIG. A total that is null, or 0 or less, has no batch.
+
+    A batch's place in its key's plan is the sum of the runs of batches before its own and of the batches before it in its run, so a key of
+    any size is planned by many tasks.
+    """
+    least = min(min(BATCH_SIZES), most)
+    each = totals.where(F.col(total) > 0).select(key, F.col(total).alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(total) / least) - 1)).alias("number"))
+    named = each.withColumn("batch", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("number").cast("string")))
+    configs = sampled(named, seed).withColumn("batch_size", F.least("batch_size", F.lit(most))).withColumn("run", F.floor(F.col("number") / RUN))
+    passed = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = configs.groupBy(key, "run").agg(F.sum("batch_size").alias("n"))
+    firsts = runs.select(F.col(key).alias("k"), F.col("run").alias("r"), F.coalesce(F.sum("n").over(passed(key).orderBy("run")), F.lit(0)).alias("first"))
+    in_run = F.coalesce(F.sum("batch_size").over(passed(key, "run").orderBy("number")), F.lit(0))
+    placed = configs.withColumn("in_run", in_run).join(firsts, F.col(key).eqNullSafe(F.col("k")) & (F.col("run") == F.col("r"))).withColumn("before", F.col("first") + F.col("in_run"))
+    size = F.least(F.col("batch_size"), F.col("of") - F.col("before")).cast("int")
+    return placed.where(F.col("before") < F.col("of")).withColumn("batch_size", size).select(key, "number", "batch", *CONFIG)
+
+
 def preview_configs(n: int = 3, seed: int = 42) -> Callable[[SparkSession], DataFrame]:
     """Some configurations as they may be sampled."""
     return lambda spark: sample_configs(spark, n, seed)
@@ -143,43 +169,49 @@ def parse_reply(reply: Column) -> Column:
     return F.coalesce(F.when(is_list, F.from_json(bare, DIALOGS, {"mode": "PERMISSIVE"})), F.array().cast(DIALOGS))
 
 
-def request(plan: DataFrame, make: Callable[[], Callable[[str], str]], column: str = "prompt", concurrency: int = 3, pause: float = 0.0) -> DataFrame:
-    """Adds ``reply`` by a client made once in each of ``concurrency`` tasks; a failed request has a null reply and an ``error``.
+def request(plan: DataFrame, make: Callable[[], Callable[[str], str]], column: str = "prompt", concurrency: int = 3, pause: float = 0.0, ledger: str | None = None) -> DataFrame:
+    """Adds ``reply`` by a client made in each of ``concurrency`` tasks that has something to ask; a failed request has a null reply and an ``error``.
 
-    ``pause``: seconds that a task waits between two requests. Each evaluation of the result sends the requests.
+    ``pause``: seconds that a task waits between two requests. ``ledger``: a folder that all tasks reach, with the answers of earlier runs if
+    there are any; without it, one in the shared folder that lasts as long as the driver.
     """
-    fields = plan.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", reply string, error string"
+    folder = ledger or temporary_folder(plan.sparkSession, "ledger")
+    ship(plan.sparkSession)
+    rows = plan.select(*[F.col(f"`{c}`") for c in plan.columns], F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in plan.columns])), 256).alias("_key"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, waited = make(), False
+        kept, client, waited = Ledger(folder, str(TaskContext.get().taskAttemptId())), None, False
         for batch in batches:
-            replies, errors = [], []
-            for prompt in batch[column]:
-                if waited and pause:
-                    time.sleep(pause)
-                waited = True
-                try:
-                    replies.append(client(prompt))
-                    errors.append(None)
-                except Exception as e:  # counted as a failed batch
-                    replies.append(None)
-                    errors.append(str(e))
-            yield batch.assign(reply=replies, error=errors)
-
-    return plan.repartition(concurrency).mapInPandas(ask, schema)
-
-
-def generate(plan: DataFrame, make: Callable[[], Callable[[str], str]], concurrency: int = 3, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
+            answers = []
+            for key, prompt in zip(batch["_key"], batch[column], strict=True):
+                answer = kept.find(key)
+                if answer is None:
+                    client = client or make()
+                    if waited and pause:
+                        time.sleep(pause)
+                    waited = True
+                    try:
+                        answer = client(prompt), None
+                    except Exception as e:  # counted as a failed batch
+                        answer = None, str(e)
+                    answer = kept.keep(key, *answer)
+                answers.append(answer)
+            yield batch.assign(reply=[r for r, _ in answers], error=[e for _, e in answers])
+
+    return rows.repartition(concurrency, "_key").mapInPandas(ask, fields + ", reply string, error string").drop("_key")
+
+
+def generate(plan: DataFrame, make: Callable[[], Callable[[str], str]], concurrency: int = 3, pause: float = 0.0, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Normalised dialogs, and the replies they come from. A batch with a suspicious dialog without entities is asked for once more.
 
     If that second reply holds dialogs, they replace the batch's; if it fails, the first reply stays. Both replies are written tables.
     """
-    replies = written(request(plan, make, "prompt", concurrency, pause), "replies").withColumn("dialogs", parse_reply(F.col("reply")))
+    replies = written(request(plan, make, "prompt", concurrency, pause, ledger), "replies").withColumn("dialogs", parse_reply(F.col("reply")))
     suspicious = F.exists("dialogs", lambda d: may_hold_personal_data(d["text"]) & (F.coalesce(F.size(d["entities"]), F.lit(0)) <= 0))
     asked = replies.withColumn("repair", F.coalesce(suspicious, F.lit(False)))
     wanted = asked.where("repair").withColumn("again", F.concat(F.lit("Дополни entities и верни весь массив:\n"), F.col("reply"))).select("batch", F.col("reply").alias("before"), F.col("dialogs").alias("found"), "again")
-    second = written(request(wanted, make, "again", concurrency, pause), "repairs").withColumn("better", parse_reply(F.col("reply")))
+    second = written(request(wanted, make, "again", concurrency, pause, ledger), "repairs").withColumn("better", parse_reply(F.col("reply")))
     taken = F.size("better") > 0
     mended = second.select("batch", F.when(taken, F.col("reply")).otherwise(F.col("before")).alias("reply"), F.when(taken, F.col("better")).otherwise(F.col("found")).alias("dialogs"))
     rest = asked.drop("reply", "dialogs").join(mended, "batch").select(asked.columns)

@@ -409,27 +409,38 @@ def name_islands(spark, sf_dir):
     return merged.select("scope", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "members")
 
 
-@query("SELECT doc_id AS original_id, (lang <> 'en')::INTEGER AS part, row_number() OVER (ORDER BY lang <> 'en', doc_id) AS id FROM documents")
+_CARRIED = "md5(text) AS text_md5, n AS n_entities"
+
+
+def _carried() -> list[Column]:
+    """What shows that a dialog's text and entities went along."""
+    return [F.md5("text").alias("text_md5"), F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities")]
+
+
+@query(_COUNTED + f"SELECT doc_id AS original_id, (lang <> 'en')::INTEGER AS part, row_number() OVER (ORDER BY lang <> 'en', doc_id) AS id, {_CARRIED} FROM c")
 def merge_reid(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return datasets.merge_datasets([docs.where("lang = 'en'"), docs.where("lang <> 'en'")]).select("original_id", "part", "id")
+    every = written(dialogs(spark, sf_dir), "dialogs")
+    return datasets.merge_datasets([every.where("lang = 'en'"), every.where("lang <> 'en'")]).select("original_id", "part", "id", *_carried())
 
 
 @query(
-    """WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS place, floor(0.7 * (SELECT count(*) FROM documents))::BIGINT AS cut FROM documents)
-    SELECT doc_id AS original_id, CASE WHEN place <= cut THEN 'train' ELSE 'val' END AS part, CASE WHEN place <= cut THEN place ELSE place - cut END AS id FROM p"""
+    _COUNTED
+    + f""", p AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS place, floor(0.7 * (SELECT count(*) FROM documents))::BIGINT AS cut FROM c)
+    SELECT doc_id AS original_id, CASE WHEN place <= cut THEN 'train' ELSE 'val' END AS part, CASE WHEN place <= cut THEN place ELSE place - cut END AS id, {_CARRIED} FROM p"""
 )
 def train_val_split(spark, sf_dir):
-    train, val = datasets.split_dataset(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
-    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+    train, val = datasets.split_dataset(dialogs(spark, sf_dir))
+    both = train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+    return both.select("original_id", "part", "id", *_carried())
 
 
 @query(
-    """WITH p AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS place, (SELECT count(*) FROM documents) AS n FROM documents), s AS (SELECT *, (place - 1) // 50 + 1 AS shard FROM p)
-    SELECT id, place, shard, ((shard - 1) * 50 + 1) || '-' || least(shard * 50, n) AS dialog_range FROM s"""
+    _COUNTED
+    + f""", p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place, (SELECT count(*) FROM documents) AS total FROM c), s AS (SELECT *, (place - 1) // 50 + 1 AS shard FROM p)
+    SELECT doc_id AS id, place, shard, ((shard - 1) * 50 + 1) || '-' || least(shard * 50, total) AS dialog_range, {_CARRIED} FROM s"""
 )
 def shards_of_50(spark, sf_dir):
-    return datasets.shards(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+    return datasets.shards(dialogs(spark, sf_dir)).select("id", "place", "shard", "dialog_range", *_carried())
 
 
 @query(
@@ -499,27 +510,30 @@ def _u_sql(salt: str) -> str:
     return f"(CAST('0x' || substr(md5('42:{salt}:' || batch), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0)"
 
 
-def _plan_sql(total: int) -> str:
-    return f"""WITH b AS (SELECT unnest(range(0, {-(-total // min(generation.BATCH_SIZES))})) AS batch), c AS (
-      SELECT batch, {_choice_sql(_u_sql("sphere"), generation.SPHERES)} AS business_sphere, {_choice_sql(_u_sql("region"), generation.REGIONS)} AS regional_focus,
+#: Sources of the documents, each with as many dialogs to plan as it has documents.
+_PLAN_SQL = f"""WITH t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+    b AS (SELECT source, total, unnest(range(0, -(-total // {min(generation.BATCH_SIZES)}))) AS number FROM t), n AS (SELECT *, coalesce(source, '') || ':' || number AS batch FROM b), c AS (
+      SELECT source, total, number, batch, {_choice_sql(_u_sql("sphere"), generation.SPHERES)} AS business_sphere, {_choice_sql(_u_sql("region"), generation.REGIONS)} AS regional_focus,
         {_choice_sql(_u_sql("quality"), generation.QUALITIES)} AS transcription_quality, {_choice_sql(_u_sql("style"), generation.STYLES)} AS communication_style,
         (floor({_u_sql("pd")} * 11) + 70)::INTEGER AS pd_percentage, (floor({_u_sql("fp")} * 6) + 10)::INTEGER AS false_positive_percentage,
-        list_extract([25, 30, 35, 40, 50], floor({_u_sql("size")} * 5)::INTEGER + 1)::INTEGER AS size FROM b
-    ), p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
-    plan AS (SELECT batch, business_sphere, regional_focus, transcription_quality, communication_style, pd_percentage, false_positive_percentage, least(size, {total} - before)::INTEGER AS batch_size FROM p WHERE before < {total})"""
+        list_extract([25, 30, 35, 40, 50], floor({_u_sql("size")} * 5)::INTEGER + 1)::INTEGER AS size FROM n
+    ), p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+    plan AS (SELECT source, number, batch, business_sphere, regional_focus, transcription_quality, communication_style, pd_percentage, false_positive_percentage, least(size, total - before)::INTEGER AS batch_size FROM p WHERE before < total)"""
 
 
-_PLAN_SQL = _plan_sql(10_000)
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    return generation.plan_batches_by(totals, "source", "total")
 
 
 @query(_PLAN_SQL + " SELECT * FROM plan")
 def batch_plan(spark, sf_dir):
-    return generation.plan_batches(spark, 10_000)
+    return _plan(spark, sf_dir)
 
 
 @query(_PLAN_SQL + " SELECT business_sphere, sum(batch_size)::BIGINT AS dialogs FROM plan GROUP BY business_sphere")
 def sphere_distribution(spark, sf_dir):
-    return generation.sphere_distribution(generation.plan_batches(spark, 10_000))
+    return generation.sphere_distribution(_plan(spark, sf_dir))
 
 
 DETAILS = {"sphere": {"медицина": "Полисы и врачи."}, "region": {"Москва": "Метро.", "Казань": "Кремль."}}
@@ -535,12 +549,12 @@ def _prompt_sql() -> str:
     prompt = "'" + generation.TEMPLATE.replace("\n", "' || chr(10) || '") + "'"
     for name, value in values.items():
         prompt = f"replace({prompt}, '{{{name}}}', ({value})::VARCHAR)"
-    return _plan_sql(1000) + f" SELECT batch, batch_size, {prompt} AS prompt FROM plan"
+    return _PLAN_SQL + f" SELECT batch, batch_size, {prompt} AS prompt FROM plan"
 
 
 @query(_prompt_sql())
 def prompts(spark, sf_dir):
-    return generation.render_prompts(generation.plan_batches(spark, 1000), DETAILS).select("batch", "batch_size", "prompt")
+    return generation.render_prompts(_plan(spark, sf_dir), DETAILS).select("batch", "batch_size", "prompt")
 
 
 # ---- Texts in Cyrillic, which the tables lack: sentences chosen and numbered by each document's id, the same in both engines.

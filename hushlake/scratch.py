@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hushlake/{name}-{uuid.uuid4().hex}"
 
 
-def _path(spark: SparkSession, path: str):
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder that goes when the driver's JVM ends."""
+    path = new_folder(spark, name)
+    files, where = hadoop_path(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hushlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-hushlake-')}/hushlake", "zip", root.parent, root.name))
+    sc._hushlake_shipped = True
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
@@ -41,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    files, where = _path(spark, path)
+    files, where = hadoop_path(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -51,5 +73,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete the files of written tables that nothing will read any more."""
     for table in tables:
-        files, where = _path(table.sparkSession, table._written_to)
+        files, where = hadoop_path(table.sparkSession, table._written_to)
         files.delete(where, True)

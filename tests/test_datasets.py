@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from hushlake.sources.dialogs import (
     dataset_name, read_dataset, read_dialogs, read_documents, valid_metadata, with_annotation, with_generation_stats, write_dataset, write_dialogs, write_document, write_report,
     write_shards,
 )
+from hushlake.sources.ledger import Ledger
 from hushlake.sources.metrics import file_name
 from hushlake.sources.settings import Settings
 from hushlake.streaming.masking import masked_stream, type_counts
@@ -169,6 +171,45 @@ def test_each_prompt_is_sent_once(spark, tmp_path):
     assert len(open(log).read()) == 20  # one request and one repair for each batch
 
 
+def test_a_killed_task_sends_one_prompt_twice_at_most(spark, tmp_path):
+    log, ledger = tmp_path / "log", f"{tmp_path}/ledger"
+    plan = spark.range(12).select(F.col("id").alias("batch"), F.concat(F.lit("p"), "id").alias("prompt"), F.lit("x").alias("reply_to"))
+
+    def make(kill_after):
+        def load():
+            sent = []
+
+            def client(prompt):
+                with open(log, "a") as f:
+                    f.write(prompt + "\n")
+                sent.append(prompt)
+                if len(sent) == kill_after:
+                    os._exit(1)
+                if prompt == "p3":
+                    raise ValueError("no")
+                return prompt.upper()
+
+            return client
+
+        return load
+
+    with pytest.raises(Exception):
+        generation.request(plan, make(5), concurrency=1, ledger=ledger).collect()
+    asked = generation.request(plan, make(None), concurrency=2, ledger=ledger)
+    for _ in range(2):
+        assert sorted((r.prompt, r.reply, r.error) for r in asked.collect()) == sorted((f"p{i}", None if i == 3 else f"P{i}", "no" if i == 3 else None) for i in range(12))
+    sent = log.read_text().split()
+    assert set(sent) == {f"p{i}" for i in range(12)} and len(sent) <= 13
+    again = plan.unionByName(plan.where("batch < 2"))
+    assert generation.request(again, make(None), ledger=ledger).count() == 14 and len(log.read_text().split()) == len(sent)
+
+
+def test_a_ledger_keeps_the_first_answer(tmp_path):
+    one, two = Ledger(f"{tmp_path}/l", "1"), Ledger(f"file://{tmp_path}/l", "2")
+    assert one.find("abcd") is None and one.keep("abcd", "r", None) == ("r", None)
+    assert two.keep("abcd", "other", "e") == ("r", None) and len([p for p in tmp_path.rglob("*") if p.is_file()]) == 1
+
+
 def test_documents_round_trip(spark, tmp_path):
     rows = some(spark, 7)
     write_document(rows, {"model_used": "m", "generation_stats": {"n": 1}}, f"{tmp_path}/one")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hushlake.operators import annotation_qa, ensemble, evaluation
 from hushlake.operators.detectors import ModelDetector, PatternDetector, TokenRuleDetector
 from hushlake.plans import jobs
-from hushlake.sources.metrics import append_absent, combined, read_metrics, write_metrics
+from hushlake.sources.metrics import append_absent, append_method, combined, read_metrics, write_metrics
 
 P, A = "PERSON", "AGE"
 
@@ -263,6 +263,23 @@ def test_evaluation_job_and_metric_files(spark, tmp_path):
     assert append_absent(table, more).where("method = 'new'").count() == more.count()
 
 
+def test_a_method_is_appended_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    metrics = evaluation.metrics_by_type(rows(spark, [(0, 5, P)]), rows(spark, [(0, 5, P)]))
+    path = f"{tmp_path}/table"
+    assert append_method(metrics, "one", path) is False and not (tmp_path / "table").exists()
+    write_metrics(combined({"base": metrics}), path)
+    assert append_method(metrics, "base", path) is False and append_method(metrics, "one", path) is True and append_method(metrics, "one", f"file://{path}") is False
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda m: append_method(metrics, m, path), ["two", "three", "two", "three", "two", "a/b ü"]))
+    assert sum(done) == 3 and done[5]
+    table = read_metrics(spark, path)
+    assert {(r.method, r.n) for r in table.groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()} == {(m, metrics.count()) for m in ("base", "one", "two", "three", "a/b ü")}
+    assert table.where("method = 'two'").drop("method").exceptAll(metrics.select(table.columns[1:])).count() == 0
+    assert not [p for p in (tmp_path / "table").iterdir() if p.is_dir()]
+
+
 def test_annotation_quality(spark):
     shape = "id long, text string, has_pd boolean, entities array<struct<start:long,end:long,type:string,text:string>>, pos int"
     original = spark.createDataFrame([(1, "Иван тут", False, [], 0), (2, "нет", True, [], 1), (3, "x", None, [], 2)], shape)
