@@ -116,7 +116,7 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    decoded = rank_bpe.decode_documents(rank_bpe.encode_documents(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    decoded = rank_bpe.encode_documents(docs.select("doc_id", "text"), path, pattern, decode=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

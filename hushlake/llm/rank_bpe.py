@@ -31,8 +31,6 @@ from .shared import ship, slices
 CACHE_WORDS = 400_000
 #: Characters that are split into words at a time.
 CHUNK_CHARS = 4_000_000
-#: Each bit alone, for leaves of 256 ranks and as many leaves as a million ranks need.
-BITS = [1 << k for k in range(4096)]
 #: A space, plain letters and one mark.
 ENDED = re.compile("( [A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])").fullmatch
 #: A text that holds one of these is split by the pattern as a whole: its runs of white space are pre-tokens of several characters.
@@ -60,10 +58,14 @@ class RankEncoder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        if len(self.tokens) > 65_536:
+            raise ValueError("two levels of 256 bits have room for 65,536 ranks")
         self.token_bytes = pa.array(self.tokens, pa.large_binary())
         self.split = regex.compile(pattern).findall
         apart = all(self.split(f" Aé{mark}") == [" Aé", mark] for mark in ".,;:!?")
         self.ended = ENDED if apart else lambda _: None
+        #: A rank's bit in its leaf of 256 ranks, and a leaf's in the top: room for 65,536 ranks.
+        self.bits = [1 << (k & 255) for k in range(max(256, len(self.tokens)))]
         self.leaves = [0] * (len(self.tokens) // 256 + 1)
         self.pairs = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
         self.cache_words = cache_words
@@ -79,20 +81,21 @@ class RankEncoder:
         known = rank_of(piece)
         if known is not None:
             return [known]
-        ids, ends, before = [self.single[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        single, pairs, bits = self.single, self.pairs, self.bits
+        ids, ends, before = [single[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
         #: By the position of a pair's first part: the rank under which it was queued last.
-        waiting = [self.pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        waiting = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
         buckets: dict[int, list[int]] = {}
+        top = 0
         for at, rank in enumerate(waiting):
             if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(at)
+                bucket = buckets.get(rank)
+                if bucket:
+                    bucket.append(at)
                 else:
                     buckets[rank] = [at]
-        top = 0
-        for rank in buckets:
-            leaves[rank >> 8] |= BITS[rank & 255]
-            top |= BITS[rank >> 8]
+                    leaves[rank >> 8] |= bits[rank]
+                    top |= bits[rank >> 8]
         waiting.append(None)
         while top:
             # Two find-first-set steps give the lowest rank; its leftmost position comes first.
@@ -108,26 +111,39 @@ class RankEncoder:
                 del buckets[rank]
                 leaves[leaf_no] = leaf = leaf ^ low
                 if not leaf:
-                    top ^= BITS[leaf_no]
+                    top ^= bits[leaf_no]
             if waiting[at] != rank:
                 continue
             second = ends[at]
             end = ends[at] = ends[second]
-            ids[at], ids[second], waiting[second] = rank, -1, None
+            ids[at] = rank
+            ids[second] = -1
+            waiting[second] = None
             # The merged part makes a new pair with each of its neighbours.
-            first, new = before[at], None
+            new = None
             if end < n:
                 before[end] = at
                 new = rank_of(piece[at : ends[end]])
-            for rank, at in ((new, at), (rank_of(piece[first:end]), first)) if first >= 0 else ((new, at),):
-                waiting[at] = rank
-                if rank is not None:
-                    if rank in buckets:
-                        heappush(buckets[rank], at)
+                if new is not None:
+                    bucket = buckets.get(new)
+                    if bucket:
+                        heappush(bucket, at)
+                    else:
+                        buckets[new] = [at]
+                        leaves[new >> 8] |= bits[new]
+                        top |= bits[new >> 8]
+            waiting[at] = new
+            first = before[at]
+            if first >= 0:
+                new = waiting[first] = rank_of(piece[first:end])
+                if new is not None:
+                    bucket = buckets.get(new)
+                    if bucket:
+                        heappush(bucket, first)
                     else:
-                        buckets[rank] = [at]
-                        leaves[rank >> 8] |= BITS[rank & 255]
-                        top |= BITS[rank >> 8]
+                        buckets[new] = [first]
+                        leaves[new >> 8] |= bits[new]
+                        top |= bits[new >> 8]
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -208,19 +224,23 @@ def encoder(path: str, pattern: str) -> RankEncoder:
     return _encoders[path, pattern]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The ids of every whole text: doc_id, ids (array<int>). ``path``: the file of ranks, the same on every worker."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
+    """The ids of every whole text: doc_id, ids (array<int>). ``path``: the file of ranks, the same on every worker.
+
+    ``decode`` adds ``decoded``, the bytes that the ids stand for, as ``decode_documents`` does, without sending the ids to another worker.
+    """
     ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            ids = encoder(path, pattern).encode_many(batch.column("text").to_pylist())
-            offsets = np.cumsum([0, *map(len, ids)]) // 4
-            values = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["doc_id", "ids"])
+            found = encoder(path, pattern).encode_many(batch.column("text").to_pylist())
+            ends = np.cumsum([len(x) // 4 for x in found])
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            more = [encoder(path, pattern).decode(ids.flatten(), ends).cast(pa.binary())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *more], ["doc_id", "ids", "decoded"][: 2 + decode])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids array<int>")
+    return rows.mapInArrow(encode, "doc_id long, ids array<int>" + ", decoded binary" * decode)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -62,6 +62,8 @@ def test_rows_and_round_trip(spark, library):
     want = [(d, library.encode_ordinary(t or ""), (t or "").encode()) for d, t, _ in rows]
     key = lambda x: (x[0] or 0, x[1])
     assert sorted([(r.doc_id, r.ids, bytes(r.decoded)) for r in got], key=key) == sorted(want, key=key)
+    both = encode_documents(docs, PATH, PATTERN, decode=True).collect()
+    assert sorted([(r.doc_id, r.ids, bytes(r.decoded)) for r in both], key=key) == sorted(want, key=key)
     holes = spark.createDataFrame([(1, None), (2, []), (3, [65, 66]), (4, [67])], "doc_id long, ids array<int>").coalesce(1)
     assert [bytes(r.decoded) for r in decode_documents(holes, PATH, PATTERN).orderBy("doc_id").collect()] == [b"", b"", *[b"".join(library.decode_single_token_bytes(i) for i in x) for x in ([65, 66], [67])]]
     assert encode_documents(docs.limit(0), PATH, PATTERN).columns == ["doc_id", "ids"] and encode_documents(docs.limit(0), PATH, PATTERN).count() == 0
