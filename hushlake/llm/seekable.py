@@ -9,6 +9,7 @@ reader can stream the whole file. A frame holds a document's ids as little-endia
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,31 +36,42 @@ class Writer:
     def __init__(self, path: str, attempt: str, level: int = 3):
         import zstandard
 
+        self.name = path
         self.fs, self.path = file_system(path)
         self.temporary = f"{self.path}.{attempt}.tmp"
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.out = self.fs.open_output_stream(self.temporary)
         self.compressor = zstandard.ZstdCompressor(level=level)
-        self.entries: list[tuple[int, int, int]] = []
-        self.ids: list[int | None] = []
+        # 21 bytes for each document: its seek entry, its id, and whether it has one.
+        self.sizes, self.lengths, self.sums = array("I"), array("I"), array("I")
+        self.ids, self.missing = array("q"), bytearray()
+        self.n_bytes = 0
+
+    def __len__(self) -> int:
+        return len(self.ids)
 
     def add(self, doc_id: int | None, content: bytes) -> None:
         import xxhash
 
         frame = self.compressor.compress(content)
         self.out.write(frame)
-        self.entries.append((len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
-        self.ids.append(doc_id)
+        self.sizes.append(len(frame))
+        self.lengths.append(len(content))
+        self.sums.append(xxhash.xxh64_intdigest(content) & 0xFFFFFFFF)
+        self.ids.append(doc_id or 0)
+        self.missing.append(doc_id is None)
+        self.n_bytes += len(frame)
 
     def close(self) -> None:
-        index = np.array([0 if x is None else x for x in self.ids], "<i8").tobytes()
-        index += np.array([x is None for x in self.ids], np.uint8).tobytes()
-        packed = self.compressor.compress(index)
+        packed = self.compressor.compress(np.asarray(self.ids, "<i8").tobytes() + bytes(self.missing))
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(packed)) + packed)
-        entries = [*self.entries, (len(packed) + 8, 0, 0)]
-        self.out.write(struct.pack("<II", SKIPPABLE_SEEK_TABLE, 12 * len(entries) + 9))
-        self.out.write(np.array(entries, "<u4").tobytes())
-        self.out.write(struct.pack("<IBI", len(entries), CHECKSUM_FLAG, SEEKABLE_MAGIC))
+        n = len(self) + 1
+        self.out.write(struct.pack("<II", SKIPPABLE_SEEK_TABLE, 12 * n + 9))
+        for at in range(0, len(self), 100_000):
+            part = slice(at, at + 100_000)
+            self.out.write(np.column_stack([np.frombuffer(x[part], np.uint32) for x in (self.sizes, self.lengths, self.sums)]).astype("<u4").tobytes())
+        self.out.write(struct.pack("<III", len(packed) + 8, 0, 0))
+        self.out.write(struct.pack("<IBI", n, CHECKSUM_FLAG, SEEKABLE_MAGIC))
         self.out.close()
         self.fs.move(self.temporary, self.path)
 
@@ -78,12 +90,18 @@ class Reader:
         if magic != SEEKABLE_MAGIC or flag != CHECKSUM_FLAG:
             raise ValueError(f"{path} has no seek table")
         table = self._at(size - 9 - 12 * count, 12 * count)
-        self.entries = np.frombuffer(table, "<u4").reshape(count, 3).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.entries[:, 0])])
+        self.entries = np.frombuffer(table, "<u4").reshape(count, 3)
+        self.starts = np.concatenate([[0], np.cumsum(self.entries[:, 0], dtype=np.int64)])
         at, length = int(self.starts[count - 1]) + 8, int(self.entries[count - 1, 0]) - 8
         index = self.decompressor.decompress(self._at(at, length))
-        ids, null = np.frombuffer(index[: 8 * (count - 1)], "<i8"), index[8 * (count - 1) :]
-        self.ids = [None if n else int(x) for x, n in zip(ids, null, strict=True)]
+        self.numbers, self.missing = np.frombuffer(index, "<i8", count - 1), np.frombuffer(index, np.bool_, count - 1, 8 * (count - 1))
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def ids(self, start: int, stop: int) -> list[int | None]:
+        """The ids of some documents in the file's order."""
+        return [None if n else x for x, n in zip(self.numbers[start:stop].tolist(), self.missing[start:stop].tolist(), strict=True)]
 
     def _at(self, start: int, length: int) -> bytes:
         self.file.seek(start)
@@ -100,9 +118,10 @@ class Reader:
 
     def documents(self, wanted: set | None = None) -> Iterator[tuple[int | None, bytes]]:
         """Documents in the file's order, all or those with these ids."""
-        for k, doc_id in enumerate(self.ids):
-            if wanted is None or doc_id in wanted:
-                yield doc_id, self.frame(k)
+        for at in range(0, len(self), 10_000):
+            for k, doc_id in enumerate(self.ids(at, at + 10_000), at):
+                if wanted is None or doc_id in wanted:
+                    yield doc_id, self.frame(k)
 
     def close(self) -> None:
         self.file.close()

@@ -1,7 +1,7 @@
 """Operator 2: token ids of whole documents in seekable zstandard files, in ascending doc_id order.
 
-Documents are range-partitioned by id, each partition writes one file from its own task, and a
-manifest table names the files with their counts. A task that is run again writes the same file
+Documents are range-partitioned by id, each partition writes files of a bounded number of documents and bytes from its own task, and a
+manifest table names the files with their counts. A task that is run again writes the same files
 anew under a temporary name and moves it into place. Offsets over the whole corpus come from
 the manifest, one row a file, so no task sees more than its partition.
 
@@ -25,34 +25,44 @@ from .seekable import Reader, Writer
 from .shared import new_folder, ship, slices, written
 from .tokens import encoder
 
-MANIFEST = "file_no int, path string, n_docs long, n_ids long"
+MANIFEST = "file_no long, path string, n_docs long, n_ids long"
+#: Documents and compressed bytes beyond which a task begins its next file.
+FILE_DOCS, FILE_BYTES = 1_000_000, 2**31
+#: A file's number is its partition's and, in its lower bits, its own in the partition.
+FILE_BITS = 24
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, file_docs: int = FILE_DOCS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id, text) and return the manifest, itself a written table.
 
-    Memory: a task holds one Arrow batch and twelve bytes of seek table for each of its documents.
+    Memory: a task holds one Arrow batch and 21 bytes for each document of the file that it writes.
     """
     ship(docs.sparkSession)
     folder = folder or new_folder(docs.sparkSession, "token-files")
     end = end_id.to_bytes(4, "little")
+    shape = pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        number, out, n_ids = task.partitionId(), None, 0
-        path = f"{folder}/part-{number:06d}.ids.zst"
+        number, made, out, n_ids = task.partitionId(), 0, None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pylist([{"file_no": number << FILE_BITS | made, "path": out.name, "n_docs": len(out), "n_ids": n_ids}], schema=shape)
+
         for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             ids = encoder(tokenizer_path).encode_many(batch.column("text").to_pylist())
-            if out is None and len(ids):
-                out = Writer(path, str(task.taskAttemptId()))
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
+                if out is None:
+                    out, n_ids = Writer(f"{folder}/part-{number:06d}-{made:06d}.ids.zst", str(task.taskAttemptId())), 0
                 out.add(doc_id, content + end)
                 n_ids += len(content) // 4 + 1
+                if len(out) >= file_docs or out.n_bytes >= file_bytes:
+                    yield closed()
+                    out, made = None, made + 1
         if out is not None:
-            out.close()
-            row = {"file_no": number, "path": path, "n_docs": len(out.ids), "n_ids": n_ids}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file_no", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -94,10 +104,9 @@ def document_index(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch["path"]:
                 file = Reader(path)
-                ids = file.ids
                 file.close()
-                for at in range(0, len(ids), 50_000):
-                    part = ids[at : at + 50_000]
+                for at in range(0, len(file), 50_000):
+                    part = file.ids(at, at + 50_000)
                     yield pd.DataFrame({"doc_id": pd.array(part, dtype="Int64"), "path": path, "frame": range(at, at + len(part))})
 
     return manifest.select("path").repartition(max(1, manifest.count())).mapInPandas(read, "doc_id long, path string, frame int")

@@ -22,10 +22,12 @@ def corpus():
     return rows
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize(("file_docs", "file_bytes"), [(1_000_000, 2**31), (40, 2**31), (1_000_000, 500)])
+def test_round_trip(spark, tmp_path, file_docs, file_bytes):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, path string").repartition(3)
-    manifest = write_token_files(docs, PATH, 2, f"file://{tmp_path}/files")
+    manifest = write_token_files(docs, PATH, 2, f"file://{tmp_path}/files", file_docs, file_bytes)
+    assert manifest.agg(F.max("n_docs")).first()[0] <= file_docs and (manifest.count() > 8) == (min(file_docs, file_bytes) < 1000)
     got = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
     tokenizer = Tokenizer.from_file(PATH)
     want = {}
@@ -42,6 +44,29 @@ def test_round_trip(spark, tmp_path):
     assert sorted(r.doc_id for r in some) == [0, 9, 9, 30, 30]
 
 
+def test_a_writer_holds_few_bytes_for_a_document(tmp_path):
+    import tracemalloc
+
+    writer, n = Writer(str(tmp_path / "many.zst"), "0"), 200_000
+    writer.add(0, b"\2\0\0\0")
+    tracemalloc.start()
+    for i in range(1, n):
+        writer.add(i if i % 7 else None, b"\2\0\0\0")
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    writer.close()
+    assert held / n < 24.5
+    reader = Reader(str(tmp_path / "many.zst"))
+    assert len(reader) == n and reader.ids(0, 15) == [None if i and i % 7 == 0 else i for i in range(15)] and reader.frame(n - 1) == b"\2\0\0\0"
+
+
+def test_one_equal_row_fills_a_third(spark):
+    rows = [(i, f"text {i}") for i in range(200)] + [(50, "the same row")] * 100
+    manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH, 2, file_docs=30)
+    got = read_token_files(manifest).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows) and sorted(r.start for r in got)[1:] == np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1].tolist()
+
+
 def test_any_zstandard_reader_and_damage(tmp_path):
     path = str(tmp_path / "x.ids.zst")
     writer = Writer(path, "0")
