@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality import split_words
-from .shared import ship, slices, written
+from .shared import ship, slices, small_batches, written
 
 THRESHOLD, NGRAM, RECALL, MOST_HASHES = 0.8, 5, 0.9999, 256
 #: Nodes of a component up to which its nodes meet as a whole, and bounds of a block.
@@ -200,7 +200,8 @@ def near_duplicates(
     known = docs.select(F.col("doc_id").cast("long").alias("k1"), F.xxhash64("text").alias("k2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     bands, rows = choose_bands(threshold, recall, most_hashes)
     listed = known.where("k1 IS NOT NULL").select("k1", "k2", shingles(F.col("t"), ngram).alias("shingles"))
-    sketches = written(listed.mapInArrow(_sketcher(bands, rows, seed), SKETCH), "sketches")
+    with small_batches(docs.sparkSession):
+        sketches = written(listed.mapInArrow(_sketcher(bands, rows, seed), SKETCH), "sketches")
     nodes = written(
         sketches.where("node IS NOT NULL")
         .groupBy("node")

@@ -198,9 +198,9 @@ def judge_quality(
         F.length(F.array_join("w", "")).alias("word_chars"), lines.alias("lines"),
     )
     failed = (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n"))
-    # A text's common words, each as the character of its place in the list. Only words as short as some listed one are looked up.
-    hits = F.filter("w", lambda w: (F.length(w) <= F.col("longest")) & F.array_contains("common", F.lower(w)))
-    coded = F.array_join(F.transform(hits, lambda w: F.substring(F.lit(PLACES), F.array_position("common", F.lower(w)).cast("int"), F.lit(1))), "")
+    # A text's common words, each as the character of its place in the list. Only words as short as some listed one are looked up, each once.
+    places = F.transform(F.filter("w", lambda w: F.length(w) <= F.col("longest")), lambda w: F.array_position("common", F.lower(w)).cast("int"))
+    coded = F.array_join(F.transform(F.array_remove(places, 0), lambda place: F.substring(F.lit(PLACES), place, F.lit(1))), "")
     based = counted.select(
         "row", "t", "n", "n_repeat_words", *of_reference, "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),

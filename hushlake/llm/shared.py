@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import new_folder, release, written
 
-__all__ = ["fenced", "names_without", "new_folder", "release", "ship", "slices", "written"]
+__all__ = ["fenced", "names_without", "new_folder", "release", "ship", "slices", "small_batches", "written"]
 
 
 def names_without(df: DataFrame, names: list[str]) -> list[str]:
@@ -41,6 +42,18 @@ def fenced(df: DataFrame, columns: list) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What is written within gives Python workers so many rows at a time: for rows with long arrays, of which a usual batch is too much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batch, rows: int = 1000):
     """An Arrow batch in parts of so many rows, without copying it: what Python makes of a part is freed before the next."""
     for at in range(0, batch.num_rows, rows):
