@@ -44,17 +44,23 @@ def _no_error() -> Column:
 
 
 def _guarded(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Adds ``w``, the windows of ``t`` (``spans.windows``), and ``has_<guard>`` for the guards that patterns need.
+    """Adds ``has_<guard>`` for the guards that patterns need, and ``w``, the windows of ``t`` (``spans.windows``) where one of them but the Cyrillic letters' holds.
 
-    Texts that lack a guard's thing skip its patterns. All but those of Cyrillic letters are looked for in the windows only.
+    One scan shows which texts can have any of them at all. Patterns without Cyrillic letters are looked for in the windows only.
     """
     guards = [g for g in dict.fromkeys(p.guard for p in patterns) if g]
-    if any(g != "cyrillic" for g in guards):
-        rows = rows.withColumn("w", spans.windows(F.col("t")))
+    in_windows = [g for g in guards if g != "cyrillic"]
+    if in_windows:
+        rows = rows.withColumn("live", spans.may_match(F.col("t")))
     for name in guards:
         string, regex = GUARDS[name]
-        where = F.col("t") if name == "cyrillic" else F.col("w.text")
-        rows = rows.withColumn(f"has_{name}", F.contains(where, F.lit(string)) if string else F.regexp_like(where, F.lit(regex)))
+        test = F.contains("t", F.lit(string)) if string else F.regexp_like("t", F.lit(regex))
+        rows = rows.withColumn(f"has_{name}", F.col("live") & test if name in in_windows else test)
+    if in_windows:
+        found = F.col(f"has_{in_windows[0]}")
+        for name in in_windows[1:]:
+            found = found | F.col(f"has_{name}")
+        rows = rows.withColumn("w", F.when(found, spans.windows(F.col("t"))))
     return rows
 
 
@@ -133,7 +139,8 @@ class TokenRuleDetector(Detector):
         whole = F.struct(F.col("t").alias("text"), F.array(F.lit(0)).alias("shifts"))
         string, regex = GUARDS["cyrillic"]
         # A text without Cyrillic letters is read where its plus signs and digits stand, if at all.
-        some = spans.windows(F.col("t")) if "window" in kinds else F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
+        nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
+        some = F.when(F.contains("t", F.lit("+")), spans.windows(F.col("t"))).otherwise(nothing) if "window" in kinds else nothing
         read = whole if "" in kinds else F.when(F.regexp_like("t", F.lit(regex)), whole).otherwise(some)
         rows = rows.withColumn("read", read)
         return rows, F.when(F.col("t").isNotNull(), tokens.find_rules(F.col("read"), self.rules))
