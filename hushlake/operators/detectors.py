@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, spans, tokens
 from ..functions.patterns import AFTER_NAMES, CATALOGUE, FULL_NAME, FULL_NAME_ABOVE, GUARDS, PRIORITY, RECOGNISERS, TOKEN_RULES, Pattern
 from ..functions.rows import packed, unpacked
 from ..functions.text import first_place, likely_name, normalise
+from ..scratch import ship
 
 PREDICTION = "array<struct<start:int,end:int,label:string,score:double,text:string>>"
 Predict = Callable[[list[str]], list[list[dict]]]
@@ -174,6 +175,8 @@ def predictions(make: Callable[[], Predict], text: Column, batch: int = 64) -> C
     ``make`` is called once in a worker, the model with ``batch`` texts at a time; null and empty texts are not sent.
     """
 
+    ship(SparkSession.active())
+
     @F.pandas_udf(f"struct<found:{PREDICTION},error:string>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -342,6 +345,8 @@ class TaggerDetector(Detector):
 def _tagged(make, text: Column, batch: int = 64) -> Column:
     """A tagger's tokens and tags of each text, called and with errors as ``predictions``."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("struct<tokens:array<string>,tags:array<string>,error:string>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = make()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..scratch import written
+from ..scratch import ship, written
 from . import ordered
 
 KEYS = ["scope", "start", "end", "type"]
@@ -99,6 +99,7 @@ class Sweep:
 
 def _swept(spans_: DataFrame, threshold: float) -> DataFrame:
     """One-to-one matches of distinct spans (KEYS, gold, predicted): each gold span in order takes its best free prediction, then the first."""
+    ship(spans_.sparkSession)
     reach = F.col("end") if threshold < 1.0 else F.col("start") + 2
     whole = spans_.where(" AND ".join(f"`{k}` IS NOT NULL" for k in KEYS)).withColumn("reach", reach)
     rows = ordered.islands(whole, ["scope", "type"], ["start", "end"], "reach").select(F.col("island.part").alias("a"), F.col("island.number").alias("b"), *KEYS, "gold", "predicted")

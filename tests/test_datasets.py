@@ -123,6 +123,19 @@ def test_prompts(spark):
         assert "{" not in r.prompt and "Метро." in r.prompt and str(int(r.batch_size * r.pd_percentage / 100)) in r.prompt
 
 
+def test_a_plan_for_each_key(spark, monkeypatch):
+    monkeypatch.setattr(generation, "RUN", 3)
+    totals = spark.createDataFrame([("a", 1000), ("b", 7), (None, 120), ("none", 0), ("null", None)], "source string, total long")
+    got = generation.plan_batches_by(totals, "source", "total", 40).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append((r.number, r.batch_size, r.batch))
+    assert {k: sum(n for _, n, _ in v) for k, v in by.items()} == {"a": 1000, "b": 7, None: 120}
+    for k, v in by.items():
+        assert sorted(x for x, _, _ in v) == list(range(len(v))) and {b for _, _, b in v} == {f"{k or ''}:{x}" for x in range(len(v))}
+        assert all(25 <= n <= 40 for _, n, _ in sorted(v)[:-1])
+
+
 REPLIES = [("[]", 0), ('```json\n[{"text": "a"}]\n```', 1), ('{"text": "a"}', 0), ("[{broken", 0), (None, 0), ('[{"text": "a", "entities": []}, {"x": 1}]', 2)]
 
 
