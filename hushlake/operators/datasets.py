@@ -114,11 +114,11 @@ def report_lines(dialogs: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], out: str = "id", start: int = 1) -> DataFrame:
     """Adds consecutive numbers in the given order without one task seeing all rows; a column named ``out`` is replaced."""
-    rows, _ = _numbered(df, [F.col(f"`{c}`") for c in order])
+    rows, _ = numbered_rows(df, [F.col(f"`{c}`") for c in order])
     return unpacked(rows, df.columns, {out: F.col("number") + (start - 1)})
 
 
-def _numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+def numbered_rows(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
     """Each row as a struct ``row`` with its ``number`` from 1, and how many there are.
 
     Rows are range-partitioned by the order and written with their partition and their place in it, so that all later steps see
@@ -155,7 +155,7 @@ def split_dataset(dialogs: DataFrame, train_ratio: float = 0.7, seed: int = 42)
     ``original_id`` is the id before. Rows that share an id, or have none, are shuffled by a hash of the whole row.
     """
     rows = dialogs.drop("original_id").withColumnRenamed("id", "original_id")
-    shuffled, n = _numbered(rows, [shuffle_key(F.col("original_id"), seed), F.col("original_id")])
+    shuffled, n = numbered_rows(rows, [shuffle_key(F.col("original_id"), seed), F.col("original_id")])
     cut = int(n * train_ratio)
     train = unpacked(shuffled.where(F.col("number") <= cut), rows.columns, {"id": F.col("number")})
     return train, unpacked(shuffled.where(F.col("number") > cut), rows.columns, {"id": F.col("number") - cut})
@@ -167,7 +167,7 @@ def shuffle_key(id_: Column, seed: int = 42) -> Column:
 
 def shards(dialogs: DataFrame, size: int = 50, order: str = "id") -> DataFrame:
     """Adds place (from 1), shard (from 1), and dialog_range ``first-last`` of the shard's places; columns of these names are replaced."""
-    placed, n = _numbered(dialogs, [F.col(f"`{order}`")])
+    placed, n = numbered_rows(dialogs, [F.col(f"`{order}`")])
     shard = F.floor((F.col("number") - 1) / size) + 1
     label = F.concat(((shard - 1) * size + 1).cast("string"), F.lit("-"), F.least(shard * size, F.lit(n)).cast("string"))
     return unpacked(placed, dialogs.columns, {"place": F.col("number"), "shard": shard.cast("long"), "dialog_range": label})

@@ -756,10 +756,10 @@ def shard_documents(spark, sf_dir):
     FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id"""
 )
 def dialog_file(spark, sf_dir):
-    """All documents with their entities as one dialog file, which many tasks read back."""
+    """All documents with their entities as one dialog document, which many tasks write and read back."""
     rows = dialogs(spark, sf_dir).withColumn("description", F.coalesce("lang", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     path = new_folder(spark, "dialog-file")
     dialog_files.write_document(rows, {"model_used": "none"}, path)
     listed = F.transform("entities", lambda e: F.concat(e["start"].cast("string"), F.lit("-"), e["end"].cast("string"), F.lit(" "), e["type"], F.lit(" "), e["text"]))
-    read = dialog_files.read_large_dialogs(spark, path)
+    read = dialog_files.read_large_dialogs(spark, path, in_parts=True)
     return read.select(F.col("pos").cast("long").alias("pos"), "id", F.md5("text").alias("text_md5"), F.array_join(listed, "|").alias("entities"), "has_pd", "description")

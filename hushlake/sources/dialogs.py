@@ -1,8 +1,9 @@
 """Dialog files: one JSON document of metadata and dialogs, or a bare list of dialogs; and tables of dialogs.
 
-A document is one JSON value in one file. ``read_dialogs`` reads each file with one task; ``read_large_dialogs`` deals a file out to many. A
-document is written row by row by one task that never holds it. Datasets of any size are best written as JSON lines beside a document of their
-metadata (``write_dataset``), or as shards of documents of a bounded number of dialogs.
+A document is one JSON value in one file, or in parts: files of one folder that are the value one after the other. ``read_dialogs`` reads each
+file with one task; ``read_large_dialogs`` deals a file, or the parts of a document, out to many. A document is written in parts of a bounded size,
+a task for each; a small one has one part. Datasets of any size may also be written as JSON lines beside a document of their metadata
+(``write_dataset``), or as shards of documents of a bounded number of dialogs.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ _METADATA = T.StructType(
 )
 _DOCUMENT = T.StructType([T.StructField("metadata", _METADATA), T.StructField("dialogs", T.ArrayType(_DIALOG)), *_DIALOG.fields, T.StructField("_corrupt_record", T.StringType())])
 ENTITY = "struct<start:long,end:long,type:string,text:string>"
+#: Bytes of a document's part, about: parts have equal numbers of dialogs.
+PART_BYTES = 32 * 2**20
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -54,9 +57,12 @@ def read_dialogs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _dialogs(whole.unionByName(bare))
 
 
-def read_large_dialogs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """What ``read_dialogs`` gives, each file read by many tasks. Objects that do not fit a dialog's shape are left out."""
-    found = parts.elements(spark, paths).select("file", F.col("pos").cast("int").alias("pos"), F.from_json("json", T.StructType(_DIALOG.fields)).alias("d"))
+def read_large_dialogs(spark: SparkSession, paths: str | list[str], in_parts: bool = False) -> DataFrame:
+    """What ``read_dialogs`` gives, each file read by many tasks. Objects that do not fit a dialog's shape are left out.
+
+    ``in_parts``: the files of a folder are one document, as ``write_document`` writes it; ``file`` is then the folder.
+    """
+    found = parts.elements(spark, paths, in_parts=in_parts).select("file", F.col("pos").cast("int").alias("pos"), F.from_json("json", T.StructType(_DIALOG.fields)).alias("d"))
     return _dialogs(found.where("d.text IS NOT NULL OR d.id IS NOT NULL OR d.entities IS NOT NULL OR d.personal_data IS NOT NULL"))
 
 
@@ -86,21 +92,26 @@ def _listed(order: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(row)), lambda x: x["d"])
 
 
-def write_document(dialogs: DataFrame, metadata: dict, path: str) -> None:
-    """One document as one text file in a new folder, a dialog a line in the order of their ids. A task that fails leaves no file.
+def write_document(dialogs: DataFrame, metadata: dict, path: str, part_bytes: int = PART_BYTES) -> None:
+    """One document as text files in a new folder, a dialog a line in the order of their ids. A task that fails leaves no file.
 
-    Dialogs are numbered and turned to text by many tasks; the last one sorts the lines, on its disk where they outgrow its memory, and holds none of
-    them. ``total_dialogs`` of the metadata is set to the number of dialogs, ``generation_timestamp`` to now if there is none.
+    The files are the document one after the other in order of their names, one for each ``part_bytes``: a small document is one file. Each is
+    written by a task that sorts its lines and holds none, and ends with a brace. ``total_dialogs`` of the metadata is set to the number of dialogs,
+    ``generation_timestamp`` to now if there is none.
     """
     fields = [c for c in ("text", "entities", "has_pd", "description", "id") if c in dialogs.columns]
-    numbered = datasets.numbered(dialogs.select(*fields), ["id"], "line_no")
-    lines = written(numbered.select("line_no", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value")), "lines")
-    n = lines.count()
+    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+    # Without their last brace, which ends each line of the files. What makes the dialogs runs once.
+    lines = written(dialogs.select("id", F.substring(text, F.lit(1), F.length(text) - 1).alias("value")), "lines")
+    rows, n = datasets.numbered_rows(lines, [F.col("id")])
+    size = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0
     known = {"generation_timestamp": time.time()} | metadata | {"total_dialogs": n}
-    ends = [(0, '{"metadata": ' + json.dumps(known, ensure_ascii=False) + ', "dialogs": ['), (n + 1, "]}")]
-    comma = F.when(F.col("line_no") < n, F.concat("value", F.lit(","))).otherwise(F.col("value"))
-    every = lines.select("line_no", comma.alias("value")).unionByName(lines.sparkSession.createDataFrame(ends, "line_no long, value string"))
-    every.repartition(1).sortWithinPartitions("line_no").select("value").write.mode("errorifexists").text(path)
+    head = '{"metadata": ' + json.dumps(known, ensure_ascii=False) + ', "dialogs": [\n'
+    listed = F.concat(F.when(F.col("number") == 1, F.lit(head)).otherwise(F.lit(",\n")), "row.value")
+    last = lines.sparkSession.createDataFrame([(n + 1, "\n]" if n else head + "]")], "number long, value string")
+    every = rows.select("number", listed.alias("value")).unionByName(last)
+    ordered = every.repartitionByRange(max(1, -(-size // part_bytes)), "number").sortWithinPartitions("number")
+    ordered.select("value").write.mode("errorifexists").option("lineSep", "}").option("compression", "none").text(path)
     release(lines)
 
 

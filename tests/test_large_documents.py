@@ -80,6 +80,22 @@ def test_a_document_is_written_and_read_by_many_tasks(spark, tmp_path):
     assert json.loads(next((tmp_path / "none").glob("part-*")).read_text())["dialogs"] == [] and files.read_large_dialogs(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_no_task_writes_or_reads_a_whole_document(spark, tmp_path):
+    n = 3000
+    rows = spark.range(n).select((F.lit(n) - F.col("id")).alias("id"), F.concat(F.lit('"dialogs": [}{"\\ ]'), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, F.lit("}")).alias("description"))
+    path = f"{tmp_path}/in parts"
+    files.write_document(rows, {"model_used": "m}"}, path, part_bytes=20_000)
+    written = sorted((tmp_path / "in parts").glob("part-*"))
+    whole = "".join(p.read_text(encoding="utf-8") for p in written)
+    read = json.loads(whole)
+    assert len(written) > 8 and max(p.stat().st_size for p in written) < len(whole) / 4
+    assert read["metadata"]["total_dialogs"] == n and [d["id"] for d in read["dialogs"]] == list(range(1, n + 1))
+    back = files.read_large_dialogs(spark, path, in_parts=True)
+    got = {r.pos: (r.id, r.text, r.description) for r in back.collect()}
+    assert len(got) == back.count() == n and got == {k: (d["id"], d["text"], d.get("description", "")) for k, d in enumerate(read["dialogs"])}
+    assert back.select("file").distinct().count() == 1
+
+
 def test_a_failed_task_leaves_no_document(spark, tmp_path):
     bad = spark.range(50).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("long").alias("id"), F.lit("t").alias("text"))
     with pytest.raises(Exception, match="broken"):
