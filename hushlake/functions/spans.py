@@ -52,8 +52,12 @@ def windows(text: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("shift"), F.array().cast("array<int>").alias("shifts"), F.array().cast("array<string>").alias("hits"))
     cut = F.aggregate(pairs, start, step, lambda acc: F.struct(F.array_join(acc["hits"], BETWEEN).alias("text"), acc["shifts"].alias("shifts")))
-    whole, nothing = F.struct(text.alias("text"), F.array(F.lit(0)).alias("shifts")), F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
-    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit(MARK)), whole).when(may_match(text), cut).otherwise(nothing)
+    whole = F.struct(text.alias("text"), F.array(F.lit(0)).alias("shifts"))
+    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit(MARK)), whole).when(may_match(text), cut).otherwise(no_stretches())
+
+
+def no_stretches() -> Column:
+    return F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
 
 
 def find_in(windows_: Column, regex: str, type_: str, order: int = 0, priority: int = 1) -> Column:

@@ -3,7 +3,8 @@
 A token is a number with its inner marks (``1,5``, ``10/12``), a run of letters, digits and underscores with inner apostrophes, or one other
 character: hyphens, brackets and the dots of abbreviations are tokens of their own. A rule is a row of elements, each true or false of a
 token. The elements of all rules are bits of one number, and a fold over the tokens keeps the bits of the elements reached so far, so a text
-is read once whatever the number of rules.
+is read once whatever the number of rules. Where every rule needs a word with a Cyrillic letter or a plus sign, only the words around those
+are cut into tokens: regular expressions leave the rest of a text out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ TOKEN = rf"\p{{Nd}}+(?:[.,/]\p{{Nd}}+)+|{_WORD}+(?:['’]{_WORD}+)*|[^\s\p{{Z}}]
 NUMBER, LETTERS = r"^\p{Nd}+(?:[.,]\p{Nd}+)*(?:/\p{Nd}+)?$", r"^\p{L}+$"
 #: Bits of a group of rules that are folded together.
 MOST_BITS = 62
+#: Characters between anchors (``anchors``) up to which nothing is left out there.
+NEAR = 40
 
 Rule = tuple[str, list[Element]]
 
@@ -40,6 +43,50 @@ def needs(rule: Rule) -> str:
     return "window" if plus_and_numbers and rule[1][0] == ("text", ["+"]) else ""
 
 
+def anchors(rules: list[Rule]) -> str:
+    """Characters of which every match holds one, as members of a class; empty if some rule needs none."""
+    kinds = {needs(r) for r in rules}
+    return "" if "" in kinds else ("А-Яа-яЁё" if "cyrillic" in kinds else "") + ("+" if "window" in kinds else "")
+
+
+def windows(text: Column, rules: list[Rule]) -> Column:
+    """The stretches of a text (``spans.windows``) that can hold a match of rules with ``anchors``: anchors, and as many words at both sides as a match can have besides.
+
+    Words are what stands between the characters that no token holds, so each has a token, and none is cut.
+    """
+    marks, beside = anchors(rules), max(len(row) for _, row in rules) - 1
+    space = r"\s\p{Z}"
+    near = rf"[{marks}]++(?:[^{marks}]{{1,{NEAR}}}+[{marks}]++)*+"
+    # The rest of an anchor's word and the words beside it.
+    edge = rf"^[^{space}]*+(?:[{space}]++[^{space}]++){{0,{beside}}}+"
+    pairs = F.arrays_zip(F.split(text, near, -1).alias("gap"), F.regexp_extract_all(text, F.lit(near), F.lit(0)).alias("hit"))
+    ends = F.transform(
+        pairs,
+        lambda p, i: F.struct(
+            p["gap"].alias("gap"), F.coalesce(p["hit"], F.lit("")).alias("hit"), (i == 0).alias("first"), p["hit"].isNull().alias("last"),
+            F.when(i == 0, "").otherwise(F.regexp_extract(p["gap"], edge, 0)).alias("head"),
+            F.when(p["hit"].isNull(), "").otherwise(F.reverse(F.regexp_extract(F.reverse(p["gap"]), edge, 0))).alias("tail"),
+            F.length(p["gap"]).alias("n"),
+        ),
+    )
+    left_out = lambda x: x["n"] - F.length(x["head"]) - F.length(x["tail"])
+    cut = lambda x: x["first"] | (~x["last"] & (left_out(x) > 0))
+    parts = F.transform(
+        ends,
+        lambda x: F.when(x["first"], F.concat(x["tail"], x["hit"])).when(x["last"], x["head"]).when(cut(x), F.concat(x["head"], F.lit(spans.BETWEEN), x["tail"], x["hit"])).otherwise(F.concat(x["gap"], x["hit"])),
+    )
+
+    def step(shifts: Column, x: Column) -> Column:
+        before = F.when(x["first"], 0).otherwise(F.element_at(shifts, -1) - len(spans.BETWEEN))
+        return F.concat(shifts, F.array(before + left_out(x)))
+
+    shifts = F.aggregate(F.filter(ends, cut), F.array().cast("array<int>"), step)
+    found = F.struct(F.array_join(parts, "").alias("text"), shifts.alias("shifts"))
+    whole = F.struct(text.alias("text"), F.array(F.lit(0)).alias("shifts"))
+    some = F.when(F.contains(text, F.lit(spans.MARK)), whole).otherwise(found)
+    return F.when(F.regexp_like(text, F.lit(f"[{marks}]")), some).otherwise(spans.no_stretches())
+
+
 def _either(masks: list[Column]) -> Column:
     out = F.lit(0).cast("long")
     for m in masks:

@@ -136,13 +136,8 @@ class TokenRuleDetector(Detector):
     name: str = "spacy_rules"
 
     def candidates(self, rows: DataFrame) -> tuple[DataFrame, Column]:
-        kinds = {tokens.needs(r) for r in self.rules}
         whole = F.struct(F.col("t").alias("text"), F.array(F.lit(0)).alias("shifts"))
-        string, regex = GUARDS["cyrillic"]
-        # A text without Cyrillic letters is read where its plus signs and digits stand, if at all.
-        nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("shifts"))
-        some = F.when(F.contains("t", F.lit("+")), spans.windows(F.col("t"))).otherwise(nothing) if "window" in kinds else nothing
-        read = whole if "" in kinds else F.when(F.regexp_like("t", F.lit(regex)), whole).otherwise(some)
+        read = tokens.windows(F.col("t"), self.rules) if self.rules and tokens.anchors(self.rules) else whole
         rows = rows.withColumn("read", read)
         return rows, F.when(F.col("t").isNotNull(), tokens.find_rules(F.col("read"), self.rules))
 

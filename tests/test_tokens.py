@@ -68,6 +68,21 @@ def test_token_rules_equal_a_plain_matcher(spark):
         assert [(s.start, s.end, s.type, s.text) for s in r.spans] == brute(r.text, TOKEN_RULES), r.text
 
 
+def test_only_words_around_anchors_are_read(spark):
+    rng = random.Random(7)
+    # Words of no token, runs of other words of every length between anchors, and stretches that meet.
+    pieces = ["word", "Latin", "x1", ":", "25", "лет", "мне", "студент", "тел", "+", "адрес", "\u00a0", "\u2003", "-", "a:b"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "\u00a0", "\n", "  "]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += [f"{a} {w * n}{b} MIT x" for n in range(8) for w in ("w ", "longer:words ", "seventeen-letters ") for a in ("студент", "+", "5") for b in ("лет", "+ 5", "студент")]
+    texts += ["plain words only " * 2000 + "мне 25 лет", "студент \u00a0 \u2003 MIT", "студент" + " " * 5000 + "MIT", "лет " * 20000, "w" * 100000 + " 5 лет"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for r in TokenRuleDetector().detect(df).collect():
+        assert [(s.start, s.end, s.type, s.text) for s in r.spans] == brute(r.text, TOKEN_RULES), r.text
+    long = df.where("text LIKE 'plain%'").select(tokens.windows(F.col("text"), TOKEN_RULES).alias("w")).first().w
+    assert long.text == "words only мне 25 лет" and len(long.shifts) == 1
+    assert tokens.anchors([*TOKEN_RULES, ("X", [("letters", [])])]) == ""
+
+
 def test_more_rules_than_one_number_has_bits(spark):
     rules = [(f"T{k}", [("lower", [w]), ("letters", []), ("number", [])]) for k, w in enumerate("abcdefghijklmnopqrstuvwxyz")] + [("ONE", [("number", [])])]
     assert len(tokens._groups(rules)) == 2
