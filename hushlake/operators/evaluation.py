@@ -2,9 +2,9 @@
 
 Spans are rows of scope, start, end, type. The scope is a document, or one constant for all of them ("pooled",
 where equal spans of different texts collapse). Matching is one-to-one and greedy: gold spans in order of start and end take the best
-prediction that is left. It is one ordered sweep: spans are cut into islands where none reaches into the next, and each island is
-folded once in order of start, with only those spans in memory that later ones can still reach. The number of jobs does not depend on how
-many spans wait for each other.
+prediction that is left. It is one ordered sweep: the spans of a scope and type are folded once in order of start, with only those spans in
+memory that later ones can still reach. Where a scope has more spans than one task should read, they are first cut into islands where none
+reaches into the next, and each island is folded. The number of jobs does not depend on how many spans wait for each other.
 
 Defined results: repeated spans count once; spans without a scope, start, end or type match nothing, but count; rates of an empty side are 0.
 """
@@ -26,6 +26,8 @@ from . import ordered
 KEYS = ["scope", "start", "end", "type"]
 #: Fixed value: most characters between persons' spans that are one person.
 NAME_GAP = 3
+#: Spans of a scope and type that one task may read in order; more are cut into islands first.
+MOST_IN_ORDER = 1_000_000
 
 
 def span_rows(df: DataFrame, column: str = "spans", key: str = "doc_id", pooled: bool = False) -> DataFrame:
@@ -71,6 +73,7 @@ class Sweep:
         self.reach = (lambda s: s[1]) if threshold < 1.0 else (lambda s: s[0] + 2)
         self.waiting: deque[tuple[int, int]] = deque()
         self.free: list[tuple[int, int]] = []
+        self.most = 4
 
     def add(self, span: tuple[int, int], gold: bool, predicted: bool) -> Iterator[tuple[int, int, int, int]]:
         """Takes the next span in; gives the matches that are settled before it."""
@@ -92,31 +95,47 @@ class Sweep:
             if found is not None:
                 self.free.remove(found)
                 yield (*gold, *found)
-        behind = min(at, self.waiting[0][0]) if self.waiting else at
-        if self.free and any(self.reach(p) <= behind for p in self.free):
+        if len(self.free) > self.most:  # what lies behind matches nothing: it is dropped when the list has doubled
+            behind = min(at, self.waiting[0][0]) if self.waiting else at
             self.free = [p for p in self.free if self.reach(p) > behind]
+            self.most = 2 * len(self.free) + 4
 
 
 def _swept(spans_: DataFrame, threshold: float) -> DataFrame:
     """One-to-one matches of distinct spans (KEYS, gold, predicted): each gold span in order takes its best free prediction, then the first."""
     ship(spans_.sparkSession)
     reach = F.col("end") if threshold < 1.0 else F.col("start") + 2
-    whole = spans_.where(" AND ".join(f"`{k}` IS NOT NULL" for k in KEYS)).withColumn("reach", reach)
-    rows = ordered.islands(whole, ["scope", "type"], ["start", "end"], "reach").select(F.col("island.part").alias("a"), F.col("island.number").alias("b"), *KEYS, "gold", "predicted")
+    whole = spans_.where(" AND ".join(f"`{k}` IS NOT NULL" for k in KEYS))
+    # At most a row for each MOST_IN_ORDER spans, and mostly none.
+    large = whole.groupBy("scope", "type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_ORDER).select("scope", "type").collect()
+    found = _folded(whole, [], threshold)
+    if large:
+        known = F.broadcast(whole.sparkSession.createDataFrame(large, "scope string, type string"))
+        rows = ordered.islands(whole.join(known, ["scope", "type"], "left_semi").withColumn("reach", reach), ["scope", "type"], ["start", "end"], "reach")
+        cut = _folded(rows.select(F.col("island.part").alias("a"), F.col("island.number").alias("b"), *KEYS, "gold", "predicted"), ["a", "b"], threshold)
+        found = _folded(whole.join(known, ["scope", "type"], "left_anti"), [], threshold).unionByName(cut)
+    return found
+
+
+def _folded(rows: DataFrame, island: list[str], threshold: float) -> DataFrame:
+    """The matches of each island, or of each scope and type, by one sweep in order."""
+    group = island or ["scope", "type"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, sweep, scope, type_ = None, Sweep(threshold), None, None
+        of, sweep, scope, type_ = None, Sweep(threshold), None, None
         for batch in batches:
-            found = []
-            for a, b, new_scope, start, end, new_type, gold, predicted in batch.itertuples(index=False, name=None):
-                if (a, b) != island:
+            found, columns = [], {c: batch[c].tolist() for c in batch.columns}
+            keys = zip(*[columns[c] for c in group], strict=True)
+            for key, new_scope, start, end, new_type, side in zip(keys, *[columns[c] for c in (*KEYS, "side")], strict=True):
+                if key != of:
                     found += [(scope, type_, *m) for m in sweep.settle()]
-                    island, sweep, scope, type_ = (a, b), Sweep(threshold), new_scope, new_type
-                found += [(scope, type_, *m) for m in sweep.add((start, end), gold == 1, predicted == 1)]
+                    of, sweep, scope, type_ = key, Sweep(threshold), new_scope, new_type
+                found += [(scope, type_, *m) for m in sweep.add((start, end), side & 1 == 1, side & 2 == 2)]
             yield pd.DataFrame(found, columns=["scope", "type", "start", "end", "p_start", "p_end"])
         yield pd.DataFrame([(scope, type_, *m) for m in sweep.settle()], columns=["scope", "type", "start", "end", "p_start", "p_end"])
 
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "start", "end").mapInPandas(fold, MATCH)
+    sides = rows.select(*island, *KEYS, (F.col("gold") + 2 * F.col("predicted")).cast("int").alias("side"))
+    return sides.repartition(*group).sortWithinPartitions(*group, "start", "end").mapInPandas(fold, MATCH)
 
 
 def _labelled(gold: DataFrame, predicted: DataFrame) -> DataFrame:

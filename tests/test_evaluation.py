@@ -207,6 +207,24 @@ def test_chains_and_ties_over_many_parts(spark, threshold):
     assert sorted((r.start, r.end, r.p_start, r.p_end, r.type) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("most", [5, 60, 10**6])
+@pytest.mark.parametrize("threshold", [0.4, 1.0])
+def test_only_large_scopes_are_cut_into_islands(spark, monkeypatch, most, threshold):
+    rng, calls = random.Random(4), []
+    rows = [(f"d{k % 9}" if k % 2 else "big", s := rng.randint(0, 900), s + rng.randint(1, 25), rng.choice("AB")) for k in range(500)]
+    moved = [(scope, s + rng.randint(-2, 2), e + rng.randint(0, 2), t) for scope, s, e, t in rows if rng.random() < 0.8]
+    shape = "scope string, start long, end long, type string"
+    gold, predicted = spark.createDataFrame(rows, shape), spark.createDataFrame(moved, shape)
+    cut = evaluation.ordered.islands
+    monkeypatch.setattr(evaluation.ordered, "islands", lambda *a, **k: calls.append(1) or cut(*a, **k))
+    monkeypatch.setattr(evaluation, "MOST_IN_ORDER", 0)
+    want = sorted(evaluation.match_spans(gold, predicted, threshold).collect())
+    assert len(calls) == 1 and len(want) > 100
+    monkeypatch.setattr(evaluation, "MOST_IN_ORDER", most)
+    assert sorted(evaluation.match_spans(gold, predicted, threshold).collect()) == want
+    assert len(calls) == (2 if most < 100 else 1)
+
+
 def test_spans_with_nulls_match_nothing(spark):
     holes = spark.createDataFrame([(None, 0, 5, P), ("d", None, 5, P), ("d", 0, None, P), ("d", 0, 5, None), ("d", 0, 5, P)], "scope string, start long, end long, type string")
     assert [tuple(r) for r in evaluation.match_spans(holes, holes, 0.5).select("start", "end", "p_start", "p_end").collect()] == [(0, 5, 0, 5)]
