@@ -16,8 +16,9 @@ A text with none of its language's common words is only as far from it as these
 limit is a share of that distance, over the listed words that hold a letter, and ``max_word_distance`` holds besides. It counts for
 texts in which the language lets ``MIN_EXPECTED`` such words be expected, but not for texts without a language.
 
-Repeated windows are found without comparing all pairs: equal windows have equal hashes, and only where a text's hashes repeat, they are
-sorted with their positions and the windows of equal ones are compared as text.
+Repeated windows are found without comparing all pairs: equal windows have equal hashes (of words in lower case), and only where a text's hashes
+repeat, they are sorted with their positions and the windows of equal ones are compared as text. By the same hashes most words that are not
+listed are told from listed ones without looking them up.
 
 Defined results: a null or empty text has no words and fails; every row is judged on
 its own, so equal rows have equal results; an empty table stays empty; input columns that bear an
@@ -48,6 +49,8 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
 LACKING_SHARE, MIN_EXPECTED = 0.9, 15
 #: One character for each place in a language's list of words, and the start of an entry of class counts, which no word has.
 PLACES = "".join(chr(0x30 + i) for i in range(N_COMMON))
+#: Slots by hash, a power of two: a word whose slot no listed word has is not listed.
+N_SLOTS = 512
 ENTRY = "\n"
 
 
@@ -133,8 +136,12 @@ def language_references(docs: DataFrame) -> DataFrame:
     )
 
 
+def _slot(hash_: Column) -> Column:
+    return hash_.bitwiseAND(F.lit(N_SLOTS - 1).cast("long")).cast("int")
+
+
 def _with_limits(references: DataFrame) -> DataFrame:
-    """Adds the places of the listed words that hold a letter, their shares with the rest's, the language's limit (null: none), and the longest word's length."""
+    """Adds the places of the listed words that hold a letter, their shares with the rest's, the language's limit (null: none), and which slots listed words have."""
     places = F.filter(F.transform("common", lambda w, i: F.when(F.regexp_like(w, F.lit(r"\p{L}")), i)), lambda i: i.isNotNull())
     of_words = F.transform("places", lambda i: F.get("word_shares", i))
     covered = F.aggregate("of_words", F.lit(0.0), lambda a, x: a + x)
@@ -142,20 +149,20 @@ def _with_limits(references: DataFrame) -> DataFrame:
     none = F.concat(F.transform("of_words", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
     listed = with_shares.withColumn("letter_shares", F.concat("of_words", F.array(1 - F.col("covered"))))
     limit = F.when(F.col("language").isNotNull(), LACKING_SHARE * js_distance(none, F.col("letter_shares")))
-    longest = F.coalesce(F.array_max(F.transform("common", lambda w: F.length(w))), F.lit(0))
-    return listed.withColumn("word_limit", limit).withColumn("longest", longest).drop("of_words")
+    own = listed.withColumn("word_limit", limit).withColumn("own", F.transform("common", lambda w: _slot(F.xxhash64(w))))
+    return own.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(N_SLOTS - 1)), lambda k: F.array_contains("own", k))).drop("of_words", "own")
 
 
 def _repeat_words(frame: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to a frame with the words ``w`` and their number ``n``."""
+    """Adds n_repeat_words, and ``each``, the hashes of the words in lower case, to a frame with the words ``w`` and their number ``n``."""
 
     def window(i: Column) -> list[Column]:
         return [F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)]
 
-    places = F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>"))
     # Each word is hashed once, and a window by its words' hashes.
-    each = frame.withColumn("each", F.transform("w", lambda x: F.xxhash64(x)))
-    hashed = each.withColumn("hashes", F.transform(places, lambda i: F.xxhash64(F.get("each", i), F.get("each", i + 1), F.get("each", i + 2)))).drop("each")
+    each = frame.withColumn("each", F.transform("w", lambda x: F.xxhash64(F.lower(x))))
+    every = F.transform("each", lambda h, i: F.xxhash64(h, F.get("each", i + 1), F.get("each", i + 2)))
+    hashed = each.withColumn("hashes", F.slice(every, 1, F.greatest(F.col("n") - 2, F.lit(0))))
 
     def beside(name: str, same) -> Column:
         return F.filter(name, lambda x, i: F.coalesce(same(x, F.get(name, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(name, i + 1)), F.lit(False)))
@@ -194,13 +201,14 @@ def judge_quality(
     split = known.select("row", "t", split_words(F.col("t")).alias("w"), uncommon(F.col("t")).alias("few"), *of_reference).withColumn("n", F.size("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = _repeat_words(split).select(
-        "row", "t", "w", "few", "n", "n_repeat_words", *of_reference,
+        "row", "t", "w", "each", "few", "n", "n_repeat_words", *of_reference,
         F.length(F.array_join("w", "")).alias("word_chars"), lines.alias("lines"),
     )
     failed = (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n"))
-    # A text's common words, each as the character of its place in the list. Only words as short as some listed one are looked up, each once.
-    places = F.transform(F.filter("w", lambda w: F.length(w) <= F.col("longest")), lambda w: F.array_position("common", F.lower(w)).cast("int"))
-    coded = F.array_join(F.transform(F.array_remove(places, 0), lambda place: F.substring(F.lit(PLACES), place, F.lit(1))), "")
+    # A text's common words, each as the character of its place in the list. Only words whose slot some listed one has are looked up.
+    listed = F.array(*[F.lit(c) for c in PLACES])
+    place = lambda w, i: F.when(F.get("slots", _slot(F.get("each", i))), F.get(listed, F.array_position("common", F.lower(w)).cast("int") - 1))
+    coded = F.array_join(F.transform("w", place), "")
     based = counted.select(
         "row", "t", "n", "n_repeat_words", *of_reference, "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from hushlake.llm import quality
 from hushlake.llm.quality import OUTPUT, js_distance, judge_quality, language_references
 
 from . import brute
@@ -84,3 +85,16 @@ def test_languages_without_enough_text_have_no_reference(spark):
     got = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[200].kept and got[200].class_distance is None and got[200].word_distance is None
     assert got[201].kept and got[201].word_distance is not None and not got[202].kept
+
+
+def test_words_that_share_a_slot_are_looked_up(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, prose(rng), "en") for i in range(40)] + [(100, prose(rng).upper(), "en"), (101, "A b C a B c " * 30 + prose(rng), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # The lists of words are read back with their slots: every listed word has one, and with one slot all words are looked up.
+    limits = quality._with_limits(language_references(docs)).where("language = 'en'")
+    first = limits.select("common", "slots", F.transform("common", lambda w: F.get("slots", quality._slot(F.xxhash64(w)))).alias("own")).first()
+    assert all(first.own) and len(first.slots) == quality.N_SLOTS and sum(first.slots) <= len(first.common) < quality.N_SLOTS / 10
+    want = sorted(judge_quality(docs).collect())
+    monkeypatch.setattr(quality, "N_SLOTS", 1)
+    assert sorted(judge_quality(docs).collect()) == want
