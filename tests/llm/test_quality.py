@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -98,3 +99,21 @@ def test_words_that_share_a_slot_are_looked_up(spark, monkeypatch):
     want = sorted(judge_quality(docs).collect())
     monkeypatch.setattr(quality, "N_SLOTS", 1)
     assert sorted(judge_quality(docs).collect()) == want
+
+
+def test_texts_are_put_in_lower_case_once_and_as_a_whole(spark):
+    rng = random.Random(6)
+    words = ["ΟΔΟΣ", "οδος", "Σ", "ΑΣ.", "İstanbul", "ÉTÉ", "The", "tHe", "the", "áΣ", "Σ́", "😀", "ǅ"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\t", "\x0b", "\x0c", "\r", "  "]) for _ in range(300)) for _ in range(10)]
+    texts += [" ".join(rng.choice(words) for _ in range(300)), None, "", "\t", "\x0b \n"]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    count = Counter(w.lower() for t in texts for w in brute.WORD.findall(t or ""))
+    reference = language_references(docs).where("language = 'xx'").first()
+    assert {w: round(s, 9) for w, s in zip(reference.common, reference.word_shares, strict=False)} == {w: round(n / count.total(), 9) for w, n in count.items()}
+    judged = judge_quality(docs)
+    for r in judged.collect():
+        want = brute.base_counts(texts[r.doc_id])
+        assert {k: r[k] for k in want} == want and (r.word_distance is None) is (r.n_words < 100)
+    # A mapping for each word, or a text's length for each class or place, would be work for each element.
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "lower(lambda" not in plan
